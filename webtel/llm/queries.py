@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtel.llm import simhash
+from webtel.llm import packing, simhash, substring
 from webtel.session import ship_package
 
 
@@ -19,8 +20,19 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.digest_without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("out").alias("kept_sha256"))
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_packing": op6_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
