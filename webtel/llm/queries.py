@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtel.llm import licenses, packing, simhash, sp_codec, substring, toxicity
+from webtel.llm import licenses, packing, pii, secret_scan, simhash, sp_codec, substring, toxicity
 from webtel.session import ship_package
 
 
@@ -19,6 +19,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(F.concat_ws(",", pii.base_spans()), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, base, F.concat_ws(",", pii.all_spans()).alias("spans"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sp_codec.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumnRenamed("id", "doc_id")
@@ -46,13 +53,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("out").alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = F.sha2(secret_scan.listed(secret_scan.KINDS), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, base, secret_scan.listed((*secret_scan.KINDS, "random")).alias("spans"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
