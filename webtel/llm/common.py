@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtel.session import Stages
+
 #: Rows of one Arrow batch; texts can be long, so batches hold few rows.
 BATCH_ROWS = 1000
 
@@ -26,6 +28,17 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Largest table that is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int, lists: str | None = None, item_bytes: int = 8) -> DataFrame:
+    """`df`, to be broadcast only if its rows, and the items of a list column, take no more than BROADCAST_BYTES."""
+    items = F.sum(F.size(lists)) if lists else F.lit(0)
+    n, m = df.agg(F.count(F.lit(1)), F.coalesce(items, F.lit(0))).first()
+    return F.broadcast(df) if row_bytes * n + item_bytes * m <= BROADCAST_BYTES else df
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content, for joins where ids may repeat."""
     return F.xxhash64(*[F.col(c) for c in columns])
@@ -70,26 +83,22 @@ def group_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def block_pairs(df: DataFrame, cell: list[str], node: str, block: int, spread: int | None = None) -> DataFrame:
+def block_pairs(df: DataFrame, cell: list[str], node: str, block: int, stages: Stages) -> DataFrame:
     """Deal the rows of each cell into pairs of blocks, so that no task gets a whole large cell.
 
-    A cell of n rows has k = ceil(n / block) blocks; each row goes to the k
-    pairs that hold its own block, so any two rows meet in at least one
-    pair. A pair holds about 2 * block rows however large its cell is.
-    Cells of one row are dropped. Adds columns `bi` and `bj`.
+    A cell of more than `block` rows has k = ceil(rows / block) blocks, by a
+    hash of `node`; each row goes to the k pairs that hold its own block, so
+    any two rows meet in at least one pair. A pair holds about 2 * block
+    rows however large its cell is. Adds columns `own`, `bi` and `bj`. The
+    sizes of large cells are a written table, of rows / block rows at most;
+    Spark broadcasts it only below its own threshold.
     """
-    sizes = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    k = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(F.col(node)), F.col("_k")).cast("int")
-    return (
-        df.join(sizes, cell)
-        .withColumn("_k", k)
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .withColumn("bi", F.least("_own", "_other"))
-        .withColumn("bj", F.greatest("_own", "_other"))
-        .drop("_n", "_k", "_own", "_other")
-    )
+    sizes = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    k = F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int")
+    dealt = df.join(stages.write(sizes, "large_cells"), cell, "left").withColumn("_k", k)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col(node)), F.col("_k")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return dealt.withColumn("bi", F.least("own", "_other")).withColumn("bj", F.greatest("own", "_other")).drop("_n", "_k", "_other")
 
 
 def forest(link: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtel.llm.common import small_side
 from webtel.llm.spans import located, matches, named
 from webtel.session import Stages
 
@@ -152,6 +153,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     found = find(docs, id_col, text_col)
     spans = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in (*KINDS, "random")]))
     marks = found.select("rid", spans.alias("_marks")).where("size(_marks) > 0").dropDuplicates(["rid"])
+    marks = small_side(Stages(docs.sparkSession, "secrets-marks").write(marks, "marks"), 64, "_marks", 16)
     text = F.col(text_col).cast("string")
     t = F.coalesce(text, F.lit(""))
 

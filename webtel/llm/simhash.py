@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, small_batches, texts_of, whole_groups
+from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, small_batches, small_side, texts_of, whole_groups
 from webtel.llm.graph import connected_components
 from webtel.session import Stages
 
@@ -120,7 +120,7 @@ def _compare(tables, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
 
 
-def links(points: DataFrame, n: int, radius: int = 3) -> DataFrame:
+def links(points: DataFrame, n: int, stages: Stages, radius: int = 3) -> DataFrame:
     """Edges (u, v) that connect all of `points` (node, fp; fp distinct) within `radius` differing bits."""
     masks = F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(m).alias("mask")) for i, m in enumerate(grids(n, radius))])
     cells = (
@@ -129,7 +129,7 @@ def links(points: DataFrame, n: int, radius: int = 3) -> DataFrame:
         .select("node", "fp", "emb", F.col("g.grid").alias("grid"), F.col("emb").bitwiseAND(F.col("g.mask")).alias("cell"))
     )
     keys = ["grid", "cell", "bi", "bj"]
-    dealt = block_pairs(cells, ["grid", "cell"], "node", BLOCK).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    dealt = block_pairs(cells, ["grid", "cell"], "node", BLOCK, stages).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return dealt.mapInArrow(lambda it: _compare(whole_groups(it, keys), radius), "u long, v long")
 
 
@@ -145,17 +145,21 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     prints = stages.write(add_fingerprints(docs, id_col, text_col), "prints")
     classes = stages.write(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
     points = classes.where("node is not null")
-    edges = links(points, classes.count(), radius)
+    edges = links(points, classes.count(), stages, radius)
     comp = connected_components(edges, stages)
     named = classes.join(comp, classes.node == comp.u, "left").select("fp", F.coalesce("v", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component; rows with a null id stay."""
+    """The rows of `docs` whose doc_id is the smallest of its component.
+
+    Rows with a null id stay; rows that share an id count as one document.
+    """
     found = near_duplicates(docs, radius)
     gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = Stages(docs.sparkSession, "simhash-gone").write(gone, "gone")
+    return docs.join(small_side(gone, 32), "doc_id", "left_anti").select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

@@ -22,11 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import log2_ceil, row_key, small_batches, texts_of
+from webtel.llm.common import log2_ceil, row_key, small_batches, small_side, texts_of
 from webtel.session import Stages
 
-#: Largest table that is sent to every executor; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -196,12 +194,6 @@ def _cover(window: int):
     return run
 
 
-def _small_side(df: DataFrame, lists: str) -> DataFrame:
-    """`df`, to be broadcast if its lists and keys take no more than BROADCAST_BYTES."""
-    n, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
-    return F.broadcast(df) if 64 * n + 8 * items <= BROADCAST_BYTES else df
-
-
 def repeated_ranges(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rid, cover): word ranges to remove, for documents that have any; rid is row_key(id, text).
 
@@ -235,7 +227,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     exploded = exploded.join(merged.where("lane = 1").select("cell"), "cell", "left_semi")
     flagged = stages.write(exploded.groupBy("id", "rid").agg(F.collect_list("key").alias("flagged")), "flagged")
 
-    windows = base.join(_small_side(flagged, "flagged"), ["id", "rid"]).select("id", "rid", "t", "flagged")
+    windows = base.join(small_side(flagged, 64, "flagged"), ["id", "rid"]).select("id", "rid", "t", "flagged")
     windows = stages.write(windows.mapInArrow(_window_digests(window), "h1 long, h2 long, id long, rid long, start int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     first = stages.write(first.select("h1", "h2", "first"), "first")
@@ -267,7 +259,7 @@ def _apply(batches, texts: bool):
 
 
 def _joined(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    cover = _small_side(repeated_ranges(docs, window, id_col, text_col), "cover")
+    cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
     return docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_t", F.col(text_col).cast("string")), cover
 
 
