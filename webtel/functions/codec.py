@@ -41,7 +41,7 @@ def bloom_bits(value: Column, k: int, m: int) -> Column:
 def bloom_table(df: DataFrame, value: str, k: int, m: int, words: int = 32) -> DataFrame:
     """A Bloom filter as rows (word, bits): it is built and merged by one aggregate and can grow with m."""
     bit = df.select(F.explode(bloom_bits(F.col(value), k, m)).alias("bit")).distinct()
-    one = F.shiftleft(F.lit(1).cast("long"), F.pmod("bit", F.lit(words)).cast("int"))
+    one = F.expr(f"shiftleft(1L, cast(pmod(bit, {words}) as int))")
     return bit.groupBy(F.floor(F.col("bit") / words).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 

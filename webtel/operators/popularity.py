@@ -55,13 +55,13 @@ def weighted_picks(counted: DataFrame, picks: DataFrame, n: str = "n", key: str
 
     `picks` has `group` (if any) and `position` from 0 below the total.
     """
-    g = [group] if group else []
-    w = Window.partitionBy(*g).orderBy(key)
-    end = counted.withColumn("_end", F.sum(n).over(w)).withColumn("_start", F.col("_end") - F.col(n))
-    hit = (picks["position"] >= end["_start"]) & (picks["position"] < end["_end"])
+    w = Window.partitionBy(*([group] if group else [])).orderBy(key)
+    end = F.sum(n).over(w)
+    spans = counted.select(F.col(key).alias("_key"), *([F.col(group).alias("_group")] if group else []), (end - F.col(n)).alias("_start"), end.alias("_end"))
+    hit = (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
     if group:
-        hit &= picks[group] == end[group]
-    return picks.join(end, hit).select(*[picks[c] for c in picks.columns], end[key])
+        hit &= F.col(group) == F.col("_group")
+    return picks.join(spans, hit).select(*picks.columns, F.col("_key").alias(key))
 
 
 def with_noise(c: Column, low: float, high: float, seed: int | None) -> Column:

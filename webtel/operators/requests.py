@@ -18,13 +18,13 @@ def attribute(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return j.where(F.coalesce(F.col("_life"), F.lit("active")) != "prerender").drop("_own", "_parent", "_life")
 
 
-def request_facts(requests: DataFrame, page_url: str = "page_url", url: str = "url") -> DataFrame:
+def request_facts(requests: DataFrame, page_url: str = "page_url", url: str = "url", suffixes: tuple[str, ...] = urls.SUFFIXES) -> DataFrame:
     """Parties of each request; requests without two valid URLs go."""
     first, other = F.col(page_url), F.col(url)
     r = requests.where(urls.is_page(first) & urls.is_page(other))
-    r = r.withColumn("first_party", urls.registrable_domain(urls.part(first, "host")))
-    r = r.withColumn("third_party", urls.registrable_domain(urls.part(other, "host")))
-    return r.withColumn("tp_domain", urls.truncate_domain(urls.part(other, "host")))
+    r = r.withColumn("first_party", urls.registrable_domain(urls.part(first, "host"), suffixes))
+    r = r.withColumn("third_party", urls.registrable_domain(urls.part(other, "host"), suffixes))
+    return r.withColumn("tp_domain", urls.truncate_domain(urls.part(other, "host"), suffixes=suffixes))
 
 
 def third_party_only(facts: DataFrame) -> DataFrame:
