@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_BYTES, MOST_BYTES = 1024, 32767
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress_and_pad(payload: pd.Series) -> pd.Series:
     """Deflated text behind its length (4 bytes), padded with zeros to a power of two of at least 1 KiB; null if too long."""
 

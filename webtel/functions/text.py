@@ -113,14 +113,8 @@ def country(c: Column, allowed: tuple[str, ...]) -> Column:
     return F.when(c.isin(*allowed), c).otherwise("--")
 
 
-def fill_template(template: Column, values: Column, depth: int = 8) -> Column:
+def fill_template(template: Column, values: Column) -> Column:
     """{{a||b}} replaced by the first of the named values in a map that is not empty; unresolved ones by nothing."""
-    out = template
-    for _ in range(depth):
-        slot = F.regexp_substr(out, F.lit(r"\{\{[^{}]*\}\}"))
-        names = F.split(F.regexp_replace(slot, r"^\{\{|\}\}$", ""), r"\|\|")
-        found = F.get(F.filter(F.transform(names, lambda n: F.try_element_at(values, F.trim(n))), lambda v: F.length(v) > 0), F.lit(0))
-        at = F.instr(out, slot)
-        done = F.concat(F.substring(out, F.lit(1), at - 1), F.coalesce(found, F.lit("")), F.substring(out, at + F.length(slot), F.length(out)))
-        out = F.when(slot.isNotNull(), done).otherwise(out)
-    return out
+    slots = F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{([^{}]*)\}\}"), F.lit(1)))
+    found = lambda s: F.get(F.filter(F.transform(F.split(s, r"\|\|"), lambda n: F.try_element_at(values, F.trim(n))), lambda v: F.length(v) > 0), F.lit(0))
+    return F.aggregate(slots, template, lambda out, s: F.replace(out, F.concat(F.lit("{{"), s, F.lit("}}")), F.coalesce(found(s), F.lit(""))))

@@ -19,7 +19,6 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
-NTZ = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1))"
 _PATH = "coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), ''), '/')"
 _SEARCH = "regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
@@ -281,7 +280,7 @@ def _user_keys(spark, d):
 
 @query(_SAFE)
 def safe_keys(spark, d):
-    return requests.safe_keys(_user_keys(spark, d), NTZ)
+    return requests.safe_keys(_user_keys(spark, d), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
 
 
 _BLOCKED = f"SELECT {_K} || '/' || (user_id % 40) AS token, count(DISTINCT user_id)::BIGINT AS n_sites, strftime(max(ts) + INTERVAL 7 DAY, '%Y%m%d') AS expires FROM events GROUP BY ALL HAVING count(DISTINCT user_id) >= 3"
@@ -304,7 +303,7 @@ FROM t LEFT JOIN s ON t.tracker = s.tracker AND t.key = s.key LEFT JOIN b ON t.t
 """)
 def token_verdicts(spark, d):
     t = _fine_tokens(spark, d)
-    v = requests.token_verdicts(t, requests.safe_keys(_user_keys(spark, d), NTZ), requests.blocked_tokens(t, sites=3), F.length("token") >= 4)
+    v = requests.token_verdicts(t, requests.safe_keys(_user_keys(spark, d), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))), requests.blocked_tokens(t, sites=3), F.length("token") >= 4)
     return v.groupBy("tracker", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
