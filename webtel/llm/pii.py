@@ -159,7 +159,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     parts = [mark(k, label(k)) for k in KINDS]
     parts.append(mark("terms", lambda s: F.when(s["action"] == "remove", "").otherwise("[TERM]")))
-    marks = found.select("rid", F.array_sort(F.concat(*parts)).alias("_marks")).dropDuplicates(["rid"])
+    marks = found.select(F.col("rid").alias("_webtel_rid"), F.array_sort(F.concat(*parts)).alias("_webtel_marks")).dropDuplicates(["_webtel_rid"])
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def step(acc, m):
@@ -167,6 +167,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         text = F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["start"] - acc["at"]), m["put"])
         return F.struct(F.when(free, -m["neg"]).otherwise(acc["at"]).alias("at"), F.when(free, text).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    keyed = docs.withColumn("_rid", F.xxhash64(F.col(id_col).cast("long"), t))
-    return keyed.join(marks, keyed["_rid"] == marks["rid"], "left").withColumn("sanitised", done).drop("_rid", "rid", "_marks")
+    done = F.aggregate("_webtel_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    keyed = docs.withColumn("_webtel_rid", F.xxhash64(F.col(id_col).cast("long"), t))
+    return keyed.join(marks, "_webtel_rid", "left").withColumn("sanitised", done).drop("_webtel_rid", "_webtel_marks")

@@ -152,8 +152,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """`docs` with every secret in the texts replaced by `mark`; other columns and texts stay as they are."""
     found = find(docs, id_col, text_col)
     spans = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in (*KINDS, "random")]))
-    marks = found.select("rid", spans.alias("_marks")).where("size(_marks) > 0").dropDuplicates(["rid"])
-    marks = small_side(Stages(docs.sparkSession, "secrets-marks").write(marks, "marks"), 64, "_marks", 16)
+    marks = found.select(F.col("rid").alias("_webtel_rid"), spans.alias("_webtel_marks")).where("size(_webtel_marks) > 0").dropDuplicates(["_webtel_rid"])
+    marks = small_side(Stages(docs.sparkSession, "secrets-marks").write(marks, "marks"), 64, "_webtel_marks", 16)
     text = F.col(text_col).cast("string")
     t = F.coalesce(text, F.lit(""))
 
@@ -162,7 +162,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         free = m["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(free, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    keyed = docs.withColumn("_rid", F.xxhash64(F.col(id_col).cast("long"), t))
-    joined = keyed.join(marks, keyed["_rid"] == marks["rid"], "left")
-    return joined.withColumn(text_col, F.when(F.col("_marks").isNull(), text).otherwise(done)).select(*docs.columns)
+    done = F.aggregate("_webtel_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    joined = docs.withColumn("_webtel_rid", F.xxhash64(F.col(id_col).cast("long"), t)).join(marks, "_webtel_rid", "left")
+    return joined.withColumn(text_col, F.when(F.col("_webtel_marks").isNull(), text).otherwise(done)).select(*[f"`{c}`" for c in docs.columns])

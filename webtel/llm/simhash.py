@@ -159,7 +159,7 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     found = near_duplicates(docs, radius)
     gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     gone = Stages(docs.sparkSession, "simhash-gone").write(gone, "gone")
-    return docs.join(small_side(gone, 32), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone, 32), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_of(fp: Column) -> Column:

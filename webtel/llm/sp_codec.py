@@ -269,7 +269,7 @@ def encode_ids(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
             ids = [[i for w in words for i in w[3]] for words in model.encode_words(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids"])
 
-    cols = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     out = docs.select(*cols, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], "ids")
 
@@ -285,6 +285,6 @@ def decode_ids(frame: DataFrame, model_path: str, ids_col: str = "ids") -> DataF
             ids = b.column(b.num_columns - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else model.decode(x) for x in ids], pa.string())], [*b.schema.names[:-1], "decoded"])
 
-    cols = [F.col(c).alias(f"_c{i}") for i, c in enumerate(frame.columns)]
+    cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(frame.columns)]
     out = frame.select(*cols, F.col(ids_col).alias("_t")).mapInArrow(run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(frame.columns)], "decoded")

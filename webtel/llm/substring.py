@@ -258,11 +258,6 @@ def _apply(batches, texts: bool):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), last], [*names, "n_words", "n_removed", "out"])
 
 
-def _joined(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
-    return docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_t", F.col(text_col).cast("string")), cover
-
-
 def digest_without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (id, n_words, n_removed, out); out is the SHA-256 of the kept words joined by spaces.
 
@@ -271,21 +266,20 @@ def digest_without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc
     keeps all. Rows that share an id never remove from each other. An empty
     table gives an empty result; other columns are ignored.
     """
-    d, cover = _joined(docs, window, id_col, text_col)
-    d = d.select(F.col("_id").alias("id"), F.col("_t").alias("t")).withColumn("rid", row_key("id", "t"))
+    cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("rid", row_key("id", "t"))
     d = d.join(cover, ["id", "rid"], "left").select("id", "t", "cover")
     return d.mapInArrow(lambda it: _apply(it, False), "id long, n_words long, n_removed long, out string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated words cut from the texts; a text that loses words has the others joined by one space."""
-    d, cover = _joined(docs, window, id_col, text_col)
-    d = d.withColumn("_rid", F.xxhash64("_id", "_t"))
-    cover = cover.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"), F.col("cover").alias("_cover"))
-    j = d.join(cover, ["_id", "_rid"], "left")
-    extra = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    d = docs.select(*own, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("rid", row_key("id", "t"))
+    j = d.join(cover, ["id", "rid"], "left").drop("id", "rid")
     schema = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
-    out = j.select(*extra, F.col("_t").alias("t"), F.col("_cover").alias("cover")).mapInArrow(lambda it: _apply(it, True), f"{schema}, n_words long, n_removed long, out string")
+    out = j.mapInArrow(lambda it: _apply(it, True), f"{schema}, n_words long, n_removed long, out string")
     k = docs.columns.index(text_col)
     text = F.when(F.col("n_removed") > 0, F.col("out")).otherwise(F.col(f"_c{k}"))
     return out.select(*[(text if i == k else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])

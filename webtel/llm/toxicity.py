@@ -282,6 +282,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             x = np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(model.scores(x))], [*keep, "toxicity"])
 
-    cols = [F.col(c).alias(k) for c, k in zip(docs.columns, keep, strict=True)]
+    cols = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, keep, strict=True)]
     out = docs.select(*cols, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
     return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keep, strict=True)], "toxicity")
