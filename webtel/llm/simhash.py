@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, small_batches, small_side, texts_of, whole_groups
+from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, row_key, small_batches, small_side, texts_of, whole_groups
 from webtel.llm.graph import connected_components
 from webtel.session import Stages
 
@@ -54,15 +54,16 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
 
 
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of `docs`, the fingerprint as a signed long. A null text counts as empty."""
+    """(id, rid, fp): one row per row of `docs`, its row_key and the fingerprint as a signed long. A null text counts as empty."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in texts_of(b, "t")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(fps.view(np.int64))], ["id", "rid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return base.select("id", row_key("id", "t").alias("rid"), "t").mapInArrow(run, "id long, rid long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -134,7 +135,7 @@ def links(points: DataFrame, n: int, stages: Stages, radius: int = 3) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (id, fp, component_id), the smallest id reachable by links of at most `radius` bits.
+    """One row per row of `docs`: (id, rid, fp, component_id), the smallest id reachable by links of at most `radius` bits.
 
     Copies share a fingerprint and are one node, whatever their number.
     Null and empty texts have fingerprint zero. Rows with a null id link
@@ -148,18 +149,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     edges = links(points, classes.count(), stages, radius)
     comp = connected_components(edges, stages)
     named = classes.join(comp, classes.node == comp.u, "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("id", "rid", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component.
 
-    Rows with a null id stay; rows that share an id count as one document.
+    Rows with a null id stay; equal rows are one document and stay together.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    gone = near_duplicates(docs, radius).where("id <> component_id").select(F.col("rid").alias("_webtel_rid")).distinct()
     gone = Stages(docs.sparkSession, "simhash-gone").write(gone, "gone")
-    return docs.join(small_side(gone, 32), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.withColumn("_webtel_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(small_side(gone, 32), "_webtel_rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_of(fp: Column) -> Column:
