@@ -357,6 +357,16 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_chunks_encode_as_whole_texts():
+    tok, own = Tokenizer.from_file(WORDS), packing.ChunkEncoder.get(WORDS)
+    rnd = random.Random(9)
+    al = ["a", "B", "É", "é", "e\u0301", "\u0301", "=\u0338", "'", "'s", "'S", "don't", ".", ",", "###", "-", "_", "1", "23", "²", "Ⅷ", "漢", "각", "ᄀ", "ᅡ", "😀", " ", "\n", "\u00a0", "\u2003", "<|", "|>", "<|endoftext|>", "İ", "Σ", "ΑΣ", "K", "ß", "€", "\u200b", "!", "(", ")", "a.b"]
+    texts = ["".join(rnd.choice(al) for _ in range(rnd.randint(0, 12))) for _ in range(20000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = own.encode([t.encode() for t in texts])
+    assert [t for t, w, g in zip(texts, want, got, strict=True) if w != g] == []
+
+
 # --- op8
 
 

@@ -12,6 +12,7 @@ padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -32,19 +33,24 @@ _FIELDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 class ChunkEncoder:
-    """Ids of texts by a `tokenizers` file whose pre-tokeniser drops white space.
+    """Ids of texts by a `tokenizers` file whose pre-tokeniser drops white space and parts letters from punctuation.
 
     No token crosses white space and nothing before it looks across it, so
-    the ids of a text are those of its chunks between ASCII white space;
-    chunks are encoded once and remembered.
+    the ids of a text are those of its chunks between ASCII white space. A
+    chunk parts further where ASCII punctuation (but the apostrophe of short
+    forms) meets a letter or a digit: no normal form composes across such a
+    place, and lower-casing is by character. Chunks and their units are
+    remembered, so that each unit is encoded once.
     """
 
     own: dict[str, ChunkEncoder] = {}
+    UNIT = re.compile(r"[!-&(-/:-@\[-`{-~]+|[^!-&(-/:-@\[-`{-~]+")
+    PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.units = Tokenizer.from_file(path), most, {}, {}
 
     @classmethod
     def get(cls, path: str) -> ChunkEncoder:
@@ -52,16 +58,33 @@ class ChunkEncoder:
             cls.own[path] = cls(path)
         return cls.own[path]
 
+    def part(self, chunk: str) -> list[str]:
+        """Units of a chunk; a chunk that may hold a special token, or has no safe place, is one unit."""
+        units = self.UNIT.findall(chunk)
+        if len(units) > 1:
+            if "<|" in chunk:
+                return [chunk]
+            last = len(units) - 1
+            for i, u in enumerate(units):
+                if u[0] not in self.PUNCTUATION and (i and not u[0].isalnum() or i < last and not u[-1].lower()[-1].isalnum()):
+                    return [chunk]
+        return [u.lower() if u.isascii() and "<|" not in u else u for u in units]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         chunks = [t.split() for t in texts]
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.units) > self.most:
             self.known.clear()
+            self.units.clear()
         new = list(set(chain.from_iterable(chunks)).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
+        parts = [self.part(c.decode()) for c in new]
+        fresh = list(set(chain.from_iterable(parts)).difference(self.units))
+        for i in range(0, len(fresh), 10_000):
+            some = fresh[i : i + 10_000]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.units.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
+        of = self.units.__getitem__
+        self.known.update(zip(new, (b"".join(map(of, p)) for p in parts), strict=True))
         return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
 
 
