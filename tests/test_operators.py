@@ -92,3 +92,25 @@ def test_expiring_set_stream(spark):
     flows.run_to_end(out, f"{stages.root}/out", f"{stages.root}/cp")
     base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
     assert sorted(r.at_ms // 1000 - base for r in spark.read.parquet(f"{stages.root}/out").collect()) == [0, 100, 260]
+
+
+def test_gates(spark):
+    from webtel.operators import gates
+
+    ua = ["Mozilla/5.0 Firefox/153.0", "Mozilla/5.0 Chrome/105.0 Safari/537", "Mozilla/5.0 Version/18 Safari/605", "curl/8", None]
+    df = spark.createDataFrame([(x,) for x in ua], "a string")
+    got = df.select(gates.browser(F.col("a"))["name"].alias("n"), gates.supported(F.col("a"), {"Firefox": 150, "Chrome": 106}).alias("s")).collect()
+    assert [(r.n, r.s) for r in got] == [("Firefox", True), ("Chrome", False), ("Safari", False), (None, False), (None, False)]
+    lines = spark.createDataFrame([(["a=1; Path=/", "b=x=y", "a=2", "junk"],)], "l array<string>")
+    assert lines.select(gates.captured(F.col("l")).alias("m")).first().m == {"a": "2", "b": "x=y"}
+    t = spark.createDataFrame([("Caf� society news", "Café society news"), ("A long enough headline here", "A long enough headline, here!"), ("x", "y"), (None, "a")], "a string, b string")
+    assert [r.c for r in t.select(gates.close_titles()("a", "b").alias("c")).collect()] == [True, True, False, False]
+    h = spark.createDataFrame([("printer.local", None), ("shop.com", True), ("shop.com", None), ("10.0.0.1", None)], "h string, l boolean")
+    assert [r.p for r in h.select(gates.private_host(F.col("h"), F.col("l")).alias("p")).collect()] == [True, True, False, True]
+    u = spark.createDataFrame([("https://a.test/login", True, True, True), ("https://a.test/login", True, False, None), ("https://a.test/x", None, None, None)], "u string, c boolean, i boolean, r boolean")
+    assert [r.x for r in u.select(gates.tiered_url(*map(F.col, "ucir")).alias("x")).collect()] == ["https://a.test/login", None, "https://a.test/x"]
+    rules = {"e": ("https://e.test/click", ["id"])}
+    a = spark.createDataFrame([("https://shop.test/p", "red shoes", ["https://e.test/click?id=1"]), ("https://shop.test/p", "q", ["https://o.test/"])], "l string, q string, r array<string>")
+    assert [r.x and tuple(r.x) for r in a.select(gates.ad_landing(F.col("l"), F.col("q"), F.col("r"), rules).alias("x")).collect()] == [("e", "red shoes", "e.test", "shop.test"), None]
+    m = spark.createDataFrame([("old", at(0)), ("new", at(86400 * 200))], "value string, ts timestamp_ntz")
+    assert [r.value for r in gates.rotating_members(m, F.lit(at(86400 * 220))).collect()] == ["new"]

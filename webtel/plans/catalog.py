@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtel.functions import classify, codec, html, masking, nested, sanitize, text, times, urls
-from webtel.operators import messages, pages, popularity, requests
+from webtel.operators import gates, messages, pages, popularity, requests
 from webtel.session import Stages, ship_package
 from webtel.sources.tables import table
 from webtel.streaming import flows
@@ -421,6 +421,70 @@ def mask_path(spark, d):
     return masking.mask_column(_segments(spark, d), "segment", model)
 
 
+# --- gates ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_type, user_id AS tab, CAST({_K} AS INT) % 5 AS host, ts FROM events)
+SELECT r.event_id FROM e r WHERE r.event_type = 'signup'
+  AND EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'click' AND c.tab = r.tab AND c.ts <= r.ts AND r.ts <= c.ts + INTERVAL 7200 SECOND)
+  AND EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'view' AND v.host = r.host AND v.ts <= r.ts AND r.ts <= v.ts + INTERVAL 240 SECOND)
+""")
+def oauth_flows(spark, d):
+    e = _events(spark, d).select("event_id", "event_type", F.col("user_id").alias("tab"), (F.col("k").cast("int") % 5).alias("host"), "ts")
+    r = e.where("event_type = 'signup'").withColumn("path", F.lit("/oauth"))
+    return gates.oauth_flows(r, e.where("event_type = 'click'").select("tab", "ts"), e.where("event_type = 'view'").select("host", "ts"), click_s=7200).select("event_id")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') AND regexp_matches(url, '[?&]page=') AND regexp_matches(url, '[?&]ref=') THEN 'secure' WHEN starts_with(url, 'http://') AND regexp_matches(url, '[?&]page=') THEN 'plain' END AS engine FROM pages")
+def ad_redirects(spark, d):
+    rules = {"secure": ("https://", ["page", "ref"]), "plain": ("http://", ["page"])}
+    return table(spark, d, "pages").select("page_id", gates.ad_redirect(F.col("url"), rules).alias("engine"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS client, strftime(ts, '%Y%m%d%H') AS hour, event_type AS kind, {_K} AS version FROM events),
+n AS (SELECT kind, version, count(DISTINCT client) AS n FROM e GROUP BY ALL)
+SELECT DISTINCT client, hour, CASE WHEN n >= 20 THEN kind ELSE '' END AS kind, CASE WHEN n >= 20 THEN version ELSE '' END AS version FROM e JOIN n USING (kind, version)
+""")
+def alive_messages(spark, d):
+    e = _events(spark, d).select(F.col("user_id").alias("client"), times.hour(F.col("ts")).alias("hour"), F.col("event_type").alias("kind"), F.col("k").alias("version"))
+    return gates.alive_messages(e, ["kind", "version"], 20)
+
+
+@query(f"""
+SELECT {_K} AS host, arg_max('10.0.0.' || user_id, (ts, event_id)) AS ip, true AS local FROM events WHERE ts > {NOW} - INTERVAL 24 HOUR GROUP BY {_K}
+""")
+def learned_addresses(spark, d):
+    e = _events(spark, d).select(F.col("k").alias("host"), F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("ip"), "ts", F.col("event_id").alias("id"))
+    return gates.learned_addresses(e, F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+
+
+@query("""
+WITH a AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a)
+SELECT user_id, run::BIGINT AS run, event_type, count(*)::BIGINT AS n FROM b GROUP BY ALL
+""")
+def value_runs(spark, d):
+    return gates.runs(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("SELECT event_id, ts + INTERVAL '990 seconds' AS ready_at, ts + INTERVAL '990 seconds' + INTERVAL 5 DAY AS expire_at FROM events")
+def delayed_messages(spark, d):
+    return gates.delayed(_events(spark, d), "ts", 180, 1800).select("event_id", "ready_at", "expire_at")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-10' + to_days((page_id % 9)::INT) AS ts FROM pages),
+c AS (SELECT p.url, TIMESTAMP '2024-01-14' AS until FROM p WHERE page_id % 3 = 0), v AS (SELECT url FROM p WHERE page_id % 5 = 0)
+SELECT page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.url = p.url AND p.ts < c.until) AND url NOT IN (SELECT url FROM v)
+""")
+def admitted_pages(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", (F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'") + F.make_dt_interval(days=(F.col("page_id") % 9).cast("int"))).alias("ts"))
+    c = p.where("page_id % 3 = 0").select(F.sha1("url").alias("hash"), F.expr("TIMESTAMP_NTZ '2024-01-14 00:00:00'").alias("until"))
+    return gates.admitted_pages(p, c, p.where("page_id % 5 = 0").select(F.sha1("url").alias("hash"))).select("page_id")
+
+
 # --- messages, jobs, sets, quality ------------------------------------------------------------------------------
 
 
