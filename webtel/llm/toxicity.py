@@ -186,12 +186,18 @@ def _confident_log_odds(tox: str, clean: str, n_tox: int, n_clean: int) -> Colum
     return F.log(a / x) - F.log(c / y) - 2 * F.sqrt(1 / a + 1 / c + 1 / x + 1 / y)
 
 
-def _top_terms(counts: DataFrame, tox: str, clean: str, n_tox: int, n_clean: int, support: int = 5, least: float = 1.5) -> dict[str, float]:
+def _top_terms(counts: DataFrame, tox: str, clean: str, n_tox: int, n_clean: int, support: int = 5, share: float = 0.004, least: float = 2.0) -> dict[str, float]:
+    """Terms of enough toxic documents (a number and a share of them, since copies repeat words) and high confident log odds."""
     if not n_tox or not n_clean:
         return {}
-    scored = counts.where(F.col(tox) >= support).select("term", _confident_log_odds(tox, clean, n_tox, n_clean).alias("w"))
+    scored = counts.where(F.col(tox) >= max(support, share * n_tox)).select("term", F.col(tox).alias("n"), _confident_log_odds(tox, clean, n_tox, n_clean).alias("w"))
     rows = scored.where((F.col("w") > least) & (F.col("term") != "")).orderBy(F.desc("w"), "term").limit(LEXICON_TERMS).collect()
-    return {r.term: min(r.w, 6.0) / 6.0 for r in rows}
+    # A beginning that nearly always begins one and the same word says nothing of other words.
+    single: dict[str, int] = {}
+    for r in rows:
+        for t in terms(r.term)[1:] if not r.term.endswith("*") else ():
+            single[t] = max(single.get(t, 0), r.n)
+    return {r.term: min(r.w, 6.0) / 6.0 for r in rows if single.get(r.term, 0) < 0.6 * r.n}
 
 
 def _regression(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
