@@ -12,6 +12,7 @@ padding.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
@@ -48,6 +49,7 @@ class ChunkEncoder:
     PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
     def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.units = Tokenizer.from_file(path), most, {}, {}
@@ -60,6 +62,8 @@ class ChunkEncoder:
 
     def part(self, chunk: str) -> list[str]:
         """Units of a chunk; a chunk that may hold a special token, or has no safe place, is one unit."""
+        if chunk.isalpha():
+            return [chunk.lower() if chunk.isascii() else chunk]
         units = self.UNIT.findall(chunk)
         if len(units) > 1:
             if "<|" in chunk:
@@ -70,6 +74,27 @@ class ChunkEncoder:
                     return [chunk]
         return [u.lower() if u.isascii() and "<|" not in u else u for u in units]
 
+    def learn(self, words: list[str], others: list[str], size: int = 10_000) -> None:
+        """Ids of new units. Words of letters only are encoded together, which costs less than one by one.
+
+        Each such word should be one word of the pre-tokeniser too; where the
+        two disagree on what is a letter, there are more, and they go one by one.
+        """
+        for i in range(0, len(words), size):
+            some = words[i : i + size]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of = np.array(got.word_ids)
+            if of[-1] + 1 != len(some):
+                others += some
+                continue
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            at = (ID_BYTES * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+            self.units.update(zip(some, (ids[s:e] for s, e in zip(at, at[1:], strict=False)), strict=True))
+        for i in range(0, len(others), size):
+            some = others[i : i + size]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.units.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         chunks = [t.split() for t in texts]
@@ -79,10 +104,7 @@ class ChunkEncoder:
         new = list(set(chain.from_iterable(chunks)).difference(self.known))
         parts = [self.part(c.decode()) for c in new]
         fresh = list(set(chain.from_iterable(parts)).difference(self.units))
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.units.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
+        self.learn([u for u in fresh if u.isalpha()], [u for u in fresh if not u.isalpha()])
         of = self.units.__getitem__
         self.known.update(zip(new, (b"".join(map(of, p)) for p in parts), strict=True))
         return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
