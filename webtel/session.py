@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one of our own only in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="webtel-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
