@@ -48,6 +48,7 @@ class PieceModel:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[p] = i
         self.text_of = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
+        self.names, self.texts = list(map(str, range(n))), [self.text_of.get(i, "") for i in range(n)]
         # Rank: by falling score; pieces of equal score share a rank and the leftmost pair wins.
         scores = np.array([sp.get_score(i) for i in range(n)])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
@@ -128,9 +129,10 @@ class PieceModel:
                 for w, s, e in zip(seg[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(flat)], strict=True):
                     out[w] = flat[s:e]
 
+        to = np.full(len(sym), -1, dtype=np.int64)
+        same = np.flatnonzero(seg[:-1] == seg[1:])
+        to[same] = self.merged(sym[same], sym[same + 1])
         while len(sym):
-            to = np.full(len(sym), -1, dtype=np.int64)
-            to[:-1] = np.where(seg[:-1] == seg[1:], self.merged(sym[:-1], sym[1:]), -1)
             rank = np.where(to >= 0, self.rank[to], NONE)
             starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
             best = np.minimum.reduceat(rank, starts)
@@ -149,24 +151,28 @@ class PieceModel:
             keep[at + 1] = False
             fresh = np.zeros(len(sym), dtype=bool)
             fresh[at] = True
-            low = np.repeat(best, sizes)[keep]
-            new, fresh, new_seg = new[keep], fresh[keep], seg[keep]
-            if len(new) > 1:
-                beside = (fresh[:-1] | fresh[1:]) & (new_seg[:-1] == new_seg[1:])
-                made = np.where(beside, self.merged(new[:-1], new[1:]), -1)
-                unsafe = np.unique(new_seg[:-1][(made >= 0) & (self.rank[made] <= low[:-1])])
-                if len(unsafe):
-                    old = np.isin(seg, unsafe)
-                    cut = np.flatnonzero(np.append(True, seg[old][1:] != seg[old][:-1]))
-                    for w, part in zip(seg[old][cut].tolist(), np.split(sym[old], cut[1:]), strict=True):
-                        out[w] = self._one_by_one(part.tolist())
-                    rest = ~np.isin(new_seg, unsafe)
-                    new, new_seg = new[rest], new_seg[rest]
-            sym, seg = new, new_seg
+            new, fresh, new_seg, new_to = new[keep], fresh[keep], seg[keep], to[keep]
+            # Only pairs with a merged symbol have changed.
+            new_to[fresh] = -1
+            beside = np.flatnonzero((fresh[:-1] | fresh[1:]) & (new_seg[:-1] == new_seg[1:]))
+            made = self.merged(new[beside], new[beside + 1])
+            new_to[beside] = made
+            low = np.repeat(best, sizes)[keep][beside]
+            unsafe = np.unique(new_seg[beside][(made >= 0) & (self.rank[made] <= low)])
+            if len(unsafe):
+                old = np.isin(seg, unsafe)
+                cut = np.flatnonzero(np.append(True, seg[old][1:] != seg[old][:-1]))
+                for w, part in zip(seg[old][cut].tolist(), np.split(sym[old], cut[1:]), strict=True):
+                    out[w] = self._one_by_one(part.tolist())
+                rest = ~np.isin(new_seg, unsafe)
+                new, new_seg, new_to = new[rest], new_seg[rest], new_to[rest]
+            sym, seg, to = new, new_seg, new_to
         return out
 
     def _finish(self, symbols: list[int]) -> tuple[int, str, str, list[int]]:
         """Count, ids and text of a word; characters without a piece become bytes."""
+        if min(symbols) >= 0:
+            return len(symbols), ",".join([self.names[i] for i in symbols]), "".join([self.texts[i] for i in symbols]), symbols
         ids: list[int] = []
         for s in symbols:
             ids += [s] if s >= 0 else self.byte_id[list(chr(-1 - s).encode())].tolist()
