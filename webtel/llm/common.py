@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,6 @@ from webtel.session import Stages
 #: Rows of one Arrow batch; texts can be long, so batches hold few rows.
 BATCH_ROWS = 1000
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,8 +23,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+_held: dict = {}
+
+
+def worker_held(key: tuple, make: Callable):
+    """An object that a Python worker keeps between tasks, such as a cache. A worker keeps one: another key frees it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 #: Largest table that is sent to every executor; a larger one is joined by a shuffle.

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches, texts_of
+from webtel.llm.common import small_batches, texts_of, worker_held
 from webtel.session import Stages
 
 ID_BYTES = 4
@@ -44,11 +44,10 @@ class ChunkEncoder:
     remembered, so that each unit is encoded once.
     """
 
-    own: dict[str, ChunkEncoder] = {}
     UNIT = re.compile(r"[!-&(-/:-@\[-`{-~]+|[^!-&(-/:-@\[-`{-~]+")
     PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task on each core already
         from tokenizers import Tokenizer
 
@@ -56,9 +55,7 @@ class ChunkEncoder:
 
     @classmethod
     def get(cls, path: str) -> ChunkEncoder:
-        if path not in cls.own:
-            cls.own[path] = cls(path)
-        return cls.own[path]
+        return worker_held((cls, path), lambda: cls(path))
 
     def part(self, chunk: str) -> list[str]:
         """Units of a chunk; a chunk that may hold a special token, or has no safe place, is one unit."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches
+from webtel.llm.common import small_batches, worker_held
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -30,9 +30,7 @@ NONE = np.int32(2**31 - 1)
 class PieceModel:
     """Tables of a SentencePiece BPE model with byte fallback and the identity normaliser."""
 
-    own: dict[str, PieceModel] = {}
-
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,9 +68,7 @@ class PieceModel:
 
     @classmethod
     def get(cls, path: str) -> PieceModel:
-        if path not in cls.own:
-            cls.own[path] = cls(path)
-        return cls.own[path]
+        return worker_held((cls, path), lambda: cls(path))
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair merges to, or -1. Symbols without a piece are negative."""

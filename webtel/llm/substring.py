@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import log2_ceil, row_key, small_batches, small_side, texts_of
+from webtel.llm.common import log2_ceil, row_key, small_batches, small_side, texts_of, worker_held
 from webtel.session import Stages
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -31,7 +31,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it holds too many."""
 
-    def __init__(self, seed: int, most: int = 500_000):
+    def __init__(self, seed: int, most: int = 150_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -83,17 +83,13 @@ def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 class _Hasher:
     """One per Python worker: word hashes stay between tasks."""
 
-    own = None
-
     def __init__(self):
         self.words = [WordHashes(1), WordHashes(2)]
         self.rolls = [Rolling(b) for b in _BASES]
 
     @classmethod
     def get(cls) -> _Hasher:
-        if cls.own is None:
-            cls.own = cls()
-        return cls.own
+        return worker_held((cls,), cls)
 
     def keys(self, w: np.ndarray, window: int) -> np.ndarray:
         """The sketch key of each window."""
