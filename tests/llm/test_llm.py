@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -145,6 +146,28 @@ def test_pii_terms(spark):
     assert clean[0] == "call  at [EMAIL] now" and clean[5] == texts[5]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A name far from an address discloses it; the counts are those of a loop over all pairs."""
+    far = "und so weiter " * 40
+    texts = [f"{far} Wolkenstein {far} mail {k}@x.test" for k in ("a", "a", "b")] + [f"Nebel {far}", "a@x.test", *["und so weiter mail"] * 30]
+    df = spark.createDataFrame(list(enumerate([*texts, *["c@x.test near Amsel", "c@x.test " + far + "Amsel"]])), "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    word = re.compile(pii.TERM.replace(r"\p{L}\p{N}", "A-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "0-9"))
+    held = {i: set(re.findall(r"[a-z]@x\.test", x)) for i, x in rows}
+    n, want = len(rows), {}
+    words = {i: {w.lower() for w in re.findall("[A-Za-z]{3,}", x)} for i, x in rows}
+    for i, x in rows:
+        for m in word.finditer(x):
+            for e in held[i]:
+                df_e, df_t = sum(e in h for h in held.values()), sum(m[0].lower() in w for w in words.values())
+                both = sum(e in held[k] and m[0].lower() in words[k] for k, _ in rows)
+                if both >= 2 and math.log2(n * both / (df_t * df_e)) / math.log2(n / df_e) >= 0.6:
+                    want.setdefault(i, set()).add((m.start(), m.end()))
+    got = {r.id: {(s.start, s.end) for s in r.terms} for r in pii.find(df).collect()}
+    assert {i: s for i, s in got.items() if s} == want
+    assert any(rows[0][1][s:e] == "Wolkenstein" for s, e in want[0]) and len(want) >= 4
+
+
 def test_secrets_base(marked, empty):
     rows, df = marked
     got = secret_scan.find(df).select("id", secret_scan.listed(secret_scan.KINDS)).collect()

@@ -1,8 +1,8 @@
 """PII: base patterns, and information-theoretic sanitisation of revealing terms.
 
-Personal data found by patterns are the protected entities. Terms that stand
-near an entity are weighed by corpus co-occurrence: with p from document
-frequencies over all documents, a term's disclosure of an entity is its
+Personal data found by patterns are the protected entities. Terms anywhere in
+a text that holds an entity are weighed by corpus co-occurrence: with p from
+document frequencies over all documents, a term's disclosure of an entity is its
 pointwise mutual information with it as a share of the entity's own
 information, PMI(t; e) / IC(e), which is 1 when the term occurs only with the
 entity. Terms above the upper threshold are removed, terms above the lower
@@ -27,12 +27,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Code points on either side of an entity that are its context.
-CONTEXT = 120
 #: A term inside an address or a number with letters is no term.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
 TERM_KINDS = ("generalise", "remove")
+#: Keys with more than a HOT-th of the counted rows, of which there are fewer than HOT, are joined by broadcast.
+HOT = 1000
 
 
 def _digits(c: Column) -> Column:
@@ -73,26 +73,29 @@ def with_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("id", "rid", "t", *[located(t, p, F.col(f"m_{k}"), keep).alias(k) for k, (p, _, keep) in PATTERNS.items()])
 
 
-def _contexts(row: DataFrame) -> DataFrame:
-    """(rid, entity, term, start, end): terms near each entity."""
-    t = F.col("t")
+def _entities(row: DataFrame) -> DataFrame:
+    """(rid, entity): the distinct entities of each text."""
+    keys = [F.transform(F.col(k), lambda s, k=k: F.xxhash64(F.lit(k), F.lower(s["value"]))) for k in KINDS]
+    return row.select("rid", F.explode(F.concat(*keys)).alias("entity")).distinct()
+
 
-    def around(kind: str) -> Column:
-        def both(s):
-            entity = F.xxhash64(F.lit(kind), F.lower(s["value"]))
-            low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            before = F.struct(entity.alias("entity"), low.alias("at"), F.substring(t, low + 1, s["start"] - low).alias("x"), (low > 0).alias("cut_front"), F.lit(False).alias("cut_back"))
-            after = F.struct(entity.alias("entity"), s["end"].alias("at"), F.substring(t, s["end"] + 1, F.lit(CONTEXT)).alias("x"), F.lit(False).alias("cut_front"), (F.length(t) > s["end"] + CONTEXT).alias("cut_back"))
-            return F.array(before, after)
+def _terms(texts: DataFrame) -> DataFrame:
+    """(rid, term): the distinct terms of each text."""
+    return texts.select("rid", F.explode(F.array_distinct(F.transform(matches(F.col("t"), TERM), F.lower))).alias("term"))
 
-        return F.flatten(F.transform(F.col(kind), both))
 
-    some = row.where(" or ".join(f"size({k}) > 0" for k in KINDS))
-    near = some.select("rid", F.explode(F.concat(*[around(k) for k in KINDS])).alias("c")).select("rid", "c.*")
-    near = near.withColumn("found", matches(F.col("x"), TERM)).withColumn("spans", located(F.col("x"), TERM, F.col("found"), lambda m: F.lit(True)))
-    near = near.withColumn("n", F.length("x")).withColumn("s", F.explode("spans"))
-    whole = near.where(~(F.col("cut_front") & (F.col("s.start") == 0)) & ~(F.col("cut_back") & (F.col("s.end") == F.col("n"))))
-    return whole.select("rid", "entity", F.lower("s.value").alias("term"), (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end")).distinct()
+def _joined(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, keep: Column | None = None) -> DataFrame:
+    """`rows` joined with those of `counts` that `keep` accepts; no task gets all rows of a frequent key.
+
+    `counts` has one row for each value of `keys`, with its number of rows in
+    column `n`. Both are read more than once, so they are written tables.
+    """
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * HOT > total
+    kept = counts if keep is None else counts.where(keep)
+    frequent = rows.join(F.broadcast(kept.where(hot)), keys)
+    others = rows.join(F.broadcast(counts.where(hot).select(*keys)), keys, "left_anti").join(kept.where(~hot), keys)
+    return frequent.unionByName(others)
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -101,34 +104,51 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def disclosing(contexts: DataFrame, df: DataFrame, n_docs: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, action, disclosure) of the pairs at or above the lower threshold."""
-    held = contexts.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = contexts.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    j = pairs.join(held, "entity").join(df, "term")
+def most_df(df_e: Column, n_docs: int, generalise: float) -> Column:
+    """The largest df of a term that can reach the lower threshold: it would stand in every document of the entity."""
+    n = F.lit(float(max(n_docs, 2)))
+    return df_e * F.pow(n / df_e, F.lit(1.0 - generalise)) * (1 + 1e-9)
+
+
+def disclosing(pairs: DataFrame, n_docs: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, term, both, action) of `pairs` (rid, entity, df_e, term, df); no action below the lower threshold."""
+    j = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
     information = F.log2(F.lit(float(max(n_docs, 2))) / F.col("df_e"))
     pmi = F.log2(F.lit(float(max(n_docs, 2))) * F.col("both") / (F.greatest("df", "both") * F.col("df_e")))
-    share = F.when(information > 0, pmi / information)
-    j = j.withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
-    return j.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"), "disclosure")
+    share = F.when((information > 0) & (F.col("both") >= support), pmi / information)
+    return j.select("entity", "term", "both", F.when(share >= remove, "remove").when(share >= generalise, "generalise").alias("action"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of `docs`: (id, rid, the four arrays of base spans, terms).
 
     `terms` has structs (start, end, action). A null or empty text has no
     spans. Ids may be null or repeat; equal rows get equal results. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. Only entities of
+    fewer than `support` documents, and pairs whose term is too frequent for
+    the lower threshold, go before pairs are counted: they cannot reach it.
     """
     stages = Stages(docs.sparkSession, "pii")
     rows = with_entities(docs, id_col, text_col)
     found = stages.write(rows.select("id", "rid", *KINDS, F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, F.col("t")).alias("t")), "entities")
-    contexts = stages.write(_contexts(found.where("t is not null")), "contexts")
-    revealing = stages.write(disclosing(contexts, document_frequency(docs, text_col), found.count(), **thresholds), "revealing")
-    hits = contexts.join(revealing, ["entity", "term"])
-    rank = F.max(F.when(F.col("action") == "remove", 1).otherwise(0))
-    strongest = hits.groupBy("rid", "start", "end").agg(rank.alias("r"))
-    per_doc = strongest.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("r") == 1, "remove").otherwise("generalise").alias("action")))).alias("terms"))
+    n_docs = found.count()
+    entities = stages.write(_entities(found.where("t is not null")), "held")
+    held = stages.write(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= support), "entity_counts")
+    linked = stages.write(_joined(entities, held, ["entity"], "df_e"), "linked")
+    texts = found.where("t is not null").select("rid", "t").join(linked.select("rid").distinct(), "rid", "left_semi")
+    texts = stages.write(texts.dropDuplicates(["rid"]), "texts")
+    frequency = stages.write(document_frequency(docs, text_col), "frequency")
+    widest = held.agg(F.max(most_df(F.col("df_e"), n_docs, generalise))).first()[0] or 0.0
+    terms = _joined(stages.write(_terms(texts), "terms"), frequency, ["term"], "df", F.col("df") <= widest)
+    pairs = stages.write(terms.join(linked, "rid").where(F.col("df") <= most_df(F.col("df_e"), n_docs, generalise)), "pairs")
+    counted = stages.write(disclosing(pairs, n_docs, support, generalise, remove), "revealing")
+    hits = _joined(pairs.select("rid", "entity", "term"), counted, ["entity", "term"], "both", F.col("action").isNotNull())
+    removed = F.collect_set(F.when(F.col("action") == "remove", F.col("term")))
+    marks = hits.groupBy("rid").agg(F.collect_set("term").alias("revealing"), removed.alias("removed"))
+    t = F.col("t")
+    spans = located(t, TERM, matches(t, TERM), lambda m: F.array_contains("revealing", F.lower(m)))
+    action = lambda s: F.when(F.array_contains("removed", F.lower(s["value"])), "remove").otherwise("generalise")
+    per_doc = texts.join(marks, "rid").select("rid", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action"))).alias("terms"))
     out = found.drop("t").join(per_doc, "rid", "left")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
 
