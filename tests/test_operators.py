@@ -94,6 +94,17 @@ def test_expiring_set_stream(spark):
     assert sorted(r.at_ms // 1000 - base for r in spark.read.parquet(f"{stages.root}/out").collect()) == [0, 100, 260]
 
 
+def test_streams_of_many_files(spark):
+    """Late files do not change the registered queries of whole tables."""
+    from webtel.plans.catalog import QUERIES
+
+    root = Stages(spark, "test-late").root
+    rows = [(i, T0 + dt.timedelta(days=i), i % 7, "view", 1.0, None) for i in range(240)]
+    spark.createDataFrame(rows, tables.EVENTS).repartitionByRange(60, F.desc("ts")).write.parquet(f"{root}/events.parquet")
+    assert QUERIES["stream_sessions"](spark, root).agg(F.sum("n")).first()[0] == 240
+    assert QUERIES["stream_dedup"](spark, root).count() == 240
+
+
 def test_gates(spark):
     from webtel.operators import gates
 

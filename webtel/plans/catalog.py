@@ -597,7 +597,7 @@ def bloom_membership(spark, d):
 @query("SELECT DISTINCT user_id, event_type, strftime(ts, '%Y%m%d') AS day FROM events")
 def stream_dedup(spark, d):
     stages = Stages(spark, "stream-dedup")
-    s = flows.events_stream(spark, f"{d}/events.parquet", lateness="40 days").withColumn("day", times.day(F.col("ts")))
+    s = flows.events_stream(spark, f"{d}/events.parquet", lateness="40 days", files=None).withColumn("day", times.day(F.col("ts")))
     out = flows.deduplicated(s, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
     flows.run_to_end(out, f"{stages.root}/out", f"{stages.root}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{stages.root}/out")
@@ -606,7 +606,7 @@ def stream_dedup(spark, d):
 @query(ORACLE_SQL["sessions"])
 def stream_sessions(spark, d):
     stages = Stages(spark, "stream-sessions")
-    out = flows.sessions(flows.events_stream(spark, f"{d}/events.parquet"), "user_id", "6 hours")
+    out = flows.sessions(flows.events_stream(spark, f"{d}/events.parquet", files=None), "user_id", "6 hours")
 
     def write(batch, i):
         batch.write.mode("overwrite").parquet(f"{stages.root}/out")

@@ -12,9 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor
 from webtel.sources.tables import EVENTS
 
 
-def events_stream(spark: SparkSession, path: str, lateness: str = "2 minutes", files: int = 50) -> DataFrame:
-    """A folder of Parquet files of events (or one file) as a stream with a watermark; events later than it are dropped."""
-    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files)
+def events_stream(spark: SparkSession, path: str, lateness: str = "2 minutes", files: int | None = 50) -> DataFrame:
+    """A folder of Parquet files of events (or one file) as a stream with a watermark; events later than it are dropped.
+
+    With no number of files, all that is there is one batch, in which nothing is late.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isFile():
         raw = reader.option("pathGlobFilter", jpath.getName()).parquet(str(jpath.getParent().toString()))
