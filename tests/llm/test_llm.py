@@ -188,6 +188,23 @@ def test_random_tokens(spark):
     assert "[SECRET]" in red[0] and red[15] == texts[15]
 
 
+def test_random_tokens_of_letters_and_in_paths(spark):
+    rnd = random.Random(5)
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    letters = [word(a, n) for a, n in ((low, 40), (low.upper(), 16), (low.upper(), 40), (low + low.upper(), 20), (low + low.upper(), 60)) for _ in range(4)]
+    keys = [word(low + low.upper() + "0123456789", 40) for _ in range(10)]
+    paths = [f"host/services/T01-AB/{k}" for k in keys]
+    plain = ["host/services/and-a-path/of-words/and-words", "this_is_the_name_of_the_function_that_is_called", "12345678901234567890"]
+    plain += ["telecommunications"]
+    prose = ["the name of this host is that of the function which calls the services, and a path of words is called telecommunication"] * 100
+    df = spark.createDataFrame(list(enumerate([*(f"see {s} here" for s in (*letters, *paths, *plain * 5)), *prose])), "doc_id int, text string")
+    got = {r.id: [s.value for s in r.random] for r in secret_scan.find(df).collect()}
+    assert sum(got[i] == [s] for i, s in enumerate(letters)) >= 18
+    assert sum(any(s.endswith(k) for s in got[20 + i]) for i, k in enumerate(keys)) >= 9
+    assert not any(got[i] for i in range(30, 50))
+
+
 # --- op3
 
 

@@ -1,7 +1,10 @@
 """Secret scans: base patterns, and a battery of randomness tests.
 
-Long tokens that mix letters and digits are candidates. The alphabet of a
-token gives its encoding; within it three tests ask whether the token could
+Long tokens are candidates, and the long parts of those with separators. The
+alphabet of a token gives its encoding; letters only may be of an alphabet of
+letters or of a wider one, and the better stands. Tokens without digits must
+also differ from words, by the pairs of letters that the texts' own words have:
+on short tokens of letters the battery alone cannot. Within it three tests ask whether the token could
 be random: chi-squared for the uniform use of the alphabet, the number of
 runs above and below its middle, and the correlation of neighbours. Their
 sum of squares has a p-value. In each class of lengths, the procedure of
@@ -12,6 +15,8 @@ All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ PATTERNS = {
     "hex": (HEX, lambda m: F.lit(True)),
 }
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Parts of a candidate: base64url between / and +, base64 between - and _, letters and digits between any of them.
+PARTS = tuple(rf"[A-Za-z0-9{x}]{{16,}}+={{0,2}}" for x in ("_-", "+/", ""))
 _D, _U, _L = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encoding -> (its tokens, its alphabet); the first that fits is inferred.
 ENCODINGS = {
@@ -42,6 +49,13 @@ ENCODINGS = {
     "base64": ("^[A-Za-z0-9+/]+$", _U + _L + _D + "+/"),
     "base64url": ("^[A-Za-z0-9_-]+$", _U + _L + _D + "-_"),
 }
+#: Alphabets of letters only, tested besides the wider one; digits only are tested as such.
+LETTERS = {
+    "lower26": ("^[a-z]+$", _L),
+    "upper26": ("^[A-Z]+$", _U),
+    "letters52": ("^[A-Za-z]+$", _U + _L),
+}
+ENCODINGS = {"digits": ("^[0-9]+$", _D)} | ENCODINGS
 RATE, LEAST_BITS = 0.05, 80.0
 #: p-values are counted in steps of exp(-1 / STEPS), down to exp(-BINS / STEPS).
 STEPS, BINS = 20, 800
@@ -59,12 +73,39 @@ def _cube_root_normal(x: Column, df: Column) -> Column:
     return (F.pow(x / df, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n, bits and p (of being random) to rows with a column `value`; tokens of no encoding go."""
+def letter_pairs(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """For each pair of letters, the log of how much likelier the second is after the first in words than by chance.
+
+    From all words of fewer than 16 letters; 676 numbers, each with one added to its count.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("w")).where(F.length("w").between(2, 15))
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    pairs = words.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("ab"))
+    seen = {r.ab: r.c for r in pairs.groupBy("ab").agg(F.sum("c").alias("c")).collect()}
+    after = {a: sum(seen.get(a + b, 0) for b in _L) for a in _L}
+    return [math.log((seen.get(a + b, 0) + 1) / (after[a] + 26) * 26) for a in _L for b in _L]
+
+
+def unlike_words(core: Column, model: list[float]) -> Column:
+    """p of neighbouring letters being at random, against their being those of words; 1 where there are none."""
+    mean = sum(model) / len(model)
+    var = sum((x - mean) ** 2 for x in model) / len(model)
+    if var == 0:
+        return F.lit(1.0)
+    at = F.transform(F.split(F.lower(core), ""), lambda c: F.instr(F.lit(_L), c) - 1)
+    m = F.size(at)
+    score = F.zip_with(F.slice(at, 1, m - 1), F.slice(at, 2, m - 1), lambda a, b: F.when((a >= 0) & (b >= 0), F.element_at(F.lit(model), a * 26 + b + 1)))
+    score = F.array_compact(score)
+    z = (F.aggregate(score, F.lit(0.0), lambda x, y: x + y) - F.size(score) * mean) / F.sqrt(F.size(score) * F.lit(var))
+    return F.when(F.size(score) > 0, _normal_tail(z)).otherwise(1.0)
+
+
+def battery(tokens: DataFrame, model: list[float] | None = None) -> DataFrame:
+    """Adds encoding, n, bits and p (of being random) to rows with a column `value`: a row for each encoding; tokens of none go."""
     core = F.regexp_replace("value", "=+$", "")
-    name = F.coalesce(*[F.when(core.rlike(p), F.lit(k)) for k, (p, _) in ENCODINGS.items()])
-    alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(a)) for k, (_, a) in ENCODINGS.items()])
-    t = tokens.withColumn("core", core).withColumn("encoding", name).where("encoding is not null")
+    names = [F.coalesce(*[F.when(core.rlike(p), F.lit(k)) for k, (p, _) in e.items()]) for e in (ENCODINGS, LETTERS)]
+    alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(a)) for k, (_, a) in (ENCODINGS | LETTERS).items()])
+    t = tokens.withColumn("core", core).withColumn("encoding", F.explode(F.array_compact(F.array(*names))))
     t = t.withColumn("alphabet", alphabet).withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.length("core").cast("double"))
     t = t.withColumn("code", F.transform(F.split("core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -86,6 +127,9 @@ def battery(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("z_chi", F.greatest(_cube_root_normal(F.col("chi"), F.col("k") - 1), F.lit(0.0)))
     x = F.col("z_chi") ** 2 + F.col("z_runs") ** 2 + F.col("z_serial") ** 2
     t = t.withColumn("p", _normal_tail(_cube_root_normal(x, F.lit(3.0))))
+    if model:
+        both = F.least(F.lit(1.0), 2 * F.least("p", unlike_words(F.col("core"), model)))
+        t = t.withColumn("p", F.when(F.col("core").rlike("[0-9]"), F.col("p")).otherwise(both))
     t = t.withColumn("bits", F.col("n") * F.log2("k"))
     return t.select(*tokens.columns, "encoding", "n", "bits", "p")
 
@@ -110,15 +154,23 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = base.withColumn("rid", F.xxhash64("id", "t"))
     t = F.col("t")
     found = base.select("*", *[matches(t, p).alias(f"m_{k}") for k, (p, _) in PATTERNS.items()], matches(t, CANDIDATE).alias("m_tokens"))
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     spans = [located(t, p, F.col(f"m_{k}"), keep).alias(k) for k, (p, keep) in PATTERNS.items()]
-    return found.select("id", "rid", *spans, located(t, CANDIDATE, F.col("m_tokens"), mixed).alias("tokens"))
+    return found.select("id", "rid", *spans, located(t, CANDIDATE, F.col("m_tokens"), lambda m: F.lit(True)).alias("tokens"))
+
+
+def with_parts(tokens: DataFrame) -> DataFrame:
+    """`tokens` (rid, start, end, value), and the parts of those with separators."""
+    v = F.col("value")
+    parts = F.concat(*[located(v, p, matches(v, p), lambda m: F.lit(True)) for p in PARTS])
+    cut = tokens.where(v.rlike("[+/_-]")).select("rid", F.col("start").alias("at"), F.explode(parts).alias("s"))
+    cut = cut.select("rid", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"), F.col("s.value").alias("value"))
+    return tokens.unionByName(cut).distinct()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, least_bits: float = LEAST_BITS) -> DataFrame:
     """One row per row of `docs`: (id, rid, assign, access, hex, random), arrays of located spans.
 
-    Tokens that a base span covers are not tested. A null or empty text has
+    Tokens that a base span covers are not tested; of spans in one another the outer stays. A null or empty text has
     no spans. Ids may be null or repeat; equal rows get equal results. An
     empty table gives an empty result; other columns are ignored.
     """
@@ -126,14 +178,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     found = stages.write(with_base(docs, id_col, text_col), "found")
     known = F.concat(*[F.col(k) for k in KINDS])
     clear = F.filter("tokens", lambda x: ~F.exists(known, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
-    tokens = found.where("size(tokens) > 0").select("rid", F.explode(clear).alias("s")).select("rid", "s.*").distinct()
-    tested = battery(tokens).where(F.col("bits") >= least_bits)
+    tokens = found.where("size(tokens) > 0").select("rid", F.explode(clear).alias("s")).select("rid", "s.*")
+    tested = battery(with_parts(tokens), letter_pairs(docs, text_col)).where(F.col("bits") >= least_bits)
+    tested = tested.groupBy("rid", "start", "end", "value").agg(F.max("p").alias("p"), F.first("n").alias("n"))
     p = F.greatest(F.col("p"), F.lit(1e-300))
     tested = tested.withColumn("bin", F.least(F.floor(-F.log(p) * STEPS), F.lit(BINS)).cast("int")).withColumn("class", F.floor(F.log2("n")).cast("int"))
     tested = stages.write(tested, "tested")
     # One row for each class of lengths: at most 31, since a text has less than 2**31 characters.
     kept = tested.join(F.broadcast(not_rejected(tested, rate)), "class").where("bin < stop")
-    per_doc = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("random"))
+    per_doc = kept.groupBy("rid").agg(F.collect_list(F.struct("start", "end", "value")).alias("random"))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    outer = F.filter("random", lambda x: ~F.exists("random", lambda y: inside(x, y)))
+    per_doc = per_doc.select("rid", F.array_sort(outer).alias("random"))
     out = found.drop("tokens").join(per_doc, "rid", "left")
     return out.withColumn("random", F.coalesce("random", F.array().cast("array<struct<start:int,end:int,value:string>>")))
 
