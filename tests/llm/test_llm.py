@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -396,14 +397,29 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
-def test_chunks_encode_as_whole_texts():
-    tok, own = Tokenizer.from_file(WORDS), packing.ChunkEncoder.get(WORDS)
+CONTEXTS = ("{}.", ".{}a", "a{}1", "'s{},", "a {}'t")
+
+
+def check_units(texts):
+    tok, own = Tokenizer.from_file(WORDS), packing.UnitEncoder.get(WORDS)
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, w, g in zip(texts, want, own.encode(texts), strict=True) if w != g] == []
+
+
+def test_characters_of_other_normal_forms_encode_as_whole_texts():
+    chars = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    other = [c for c in chars if not 0xAC00 <= ord(c) < 0xD7A4 and any(unicodedata.normalize(f, c) != c for f in ("NFC", "NFD"))]
+    assert len(other) > 2000
+    check_units([x.format(c) for c in other + chars[:0x600] for x in CONTEXTS])
+
+
+def test_units_encode_as_whole_texts(monkeypatch):
     rnd = random.Random(9)
     al = ["a", "B", "É", "é", "e\u0301", "\u0301", "=\u0338", "'", "'s", "'S", "don't", ".", ",", "###", "-", "_", "1", "23", "²", "Ⅷ", "漢", "각", "ᄀ", "ᅡ", "😀", " ", "\n", "\u00a0", "\u2003", "<|", "|>", "<|endoftext|>", "İ", "Σ", "ΑΣ", "K", "ß", "€", "\u200b", "!", "(", ")", "a.b"]
     texts = ["".join(rnd.choice(al) for _ in range(rnd.randint(0, 12))) for _ in range(20000)]
-    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
-    got = own.encode([t.encode() for t in texts])
-    assert [t for t, w, g in zip(texts, want, got, strict=True) if w != g] == []
+    check_units(texts)
+    monkeypatch.setattr(packing.UnitEncoder, "SLICE", 20)
+    check_units([" ".join(texts[i : i + 9]) for i in range(0, 2000, 9)])
 
 
 # --- op8

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from itertools import chain
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches, texts_of, worker_held
+from webtel.llm.common import small_batches, worker_held
 from webtel.session import Stages
 
 ID_BYTES = 4
@@ -33,78 +35,110 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tail", pa.binary())])
 
 
-class ChunkEncoder:
-    """Ids of texts by a `tokenizers` file whose pre-tokeniser drops white space and parts letters from punctuation.
+#: Letters that a normal form leaves alone and that have one lower case; sigma's depends on its place.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower() < "\u0530" and c != "Σ")
+_SPACE, _MARKS = r"\x20\t-\r", r"!-/:-@\[-`{-~"
 
-    No token crosses white space and nothing before it looks across it, so
-    the ids of a text are those of its chunks between ASCII white space. A
-    chunk parts further where ASCII punctuation (but the apostrophe of short
-    forms) meets a letter or a digit: no normal form composes across such a
-    place, and lower-casing is by character. Chunks and their units are
-    remembered, so that each unit is encoded once.
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class UnitEncoder:
+    """Ids of texts by a `tokenizers` file that applies NFC, lower-cases, drops white space and parts letters, digits and the rest.
+
+    A text is cut into units where the pre-tokeniser cuts it too: short forms
+    behind an apostrophe, runs of letters, digits, runs of punctuation. That
+    is done only between known characters, which are ASCII and letters that
+    no normal form changes or joins. A unit before any other character, such
+    as a combining mark, takes all up to the next white space with it in its
+    original case. A text that holds an added token's string is encoded
+    whole. Units are remembered, so that each is encoded once; of two
+    generations of units the older goes when the newer is full.
     """
 
-    UNIT = re.compile(r"[!-&(-/:-@\[-`{-~]+|[^!-&(-/:-@\[-`{-~]+")
-    PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
+    KNOWN = re.compile(f"{SHORT}|[{_LETTERS}]++|[0-9]|[{_MARKS}]++")
+    OTHER = re.compile(f"[^{_SPACE}{_MARKS}0-9{_LETTERS}]")
+    CAREFUL = re.compile(f"(?!{SHORT}{OTHER.pattern})(?:{KNOWN.pattern})(?!{OTHER.pattern})|[^{_SPACE}]++")
+    #: Characters that are cut into units at once.
+    SLICE = 1 << 20
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task on each core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.units = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.units, self.older = Tokenizer.from_file(path), most, {}, {}
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The model reads bytes as characters; the pre-tokeniser has the table.
+        pre = self.tokenizer.pre_tokenizer
+        self.bytes = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in _LETTERS if not c.isascii()}
 
     @classmethod
-    def get(cls, path: str) -> ChunkEncoder:
+    def get(cls, path: str) -> UnitEncoder:
         return worker_held((cls, path), lambda: cls(path))
 
-    def part(self, chunk: str) -> list[str]:
-        """Units of a chunk; a chunk that may hold a special token, or has no safe place, is one unit."""
-        if chunk.isalpha():
-            return [chunk.lower() if chunk.isascii() else chunk]
-        units = self.UNIT.findall(chunk)
-        if len(units) > 1:
-            if "<|" in chunk:
-                return [chunk]
-            last = len(units) - 1
-            for i, u in enumerate(units):
-                if u[0] not in self.PUNCTUATION and (i and not u[0].isalnum() or i < last and not u[-1].lower()[-1].isalnum()):
-                    return [chunk]
-        return [u.lower() if u.isascii() and "<|" not in u else u for u in units]
-
-    def learn(self, words: list[str], others: list[str], size: int = 10_000) -> None:
-        """Ids of new units. Words of letters only are encoded together, which costs less than one by one.
-
-        Each such word should be one word of the pre-tokeniser too; where the
-        two disagree on what is a letter, there are more, and they go one by one.
-        """
-        for i in range(0, len(words), size):
-            some = words[i : i + size]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            of = np.array(got.word_ids)
-            if of[-1] + 1 != len(some):
-                others += some
-                continue
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            at = (ID_BYTES * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
-            self.units.update(zip(some, (ids[s:e] for s, e in zip(at, at[1:], strict=False)), strict=True))
+    def cut(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            return [text]
+        if not self.OTHER.search(text):
+            return self.KNOWN.findall(text.lower())
+        return self.CAREFUL.findall(text)
+
+    def slices(self, text: str):
+        """Parts of a text of about SLICE characters that end before white space."""
+        at = 0
+        while len(text) - at > self.SLICE and not any(a in text for a in self.added):
+            m = re.compile(f"[{_SPACE}]").search(text, at + self.SLICE)
+            if m is None:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def learn(self, units: list[str], size: int = 10_000) -> None:
+        """Ids of new units. One that is a known run is one word of the pre-tokeniser, so that the model alone is asked."""
+        others = []
+        for u in units:
+            if self.KNOWN.fullmatch(u):
+                low = u.lower()
+                got = self.model.tokenize(low if low.isascii() else low.translate(self.bytes))
+                self.units[u] = pack_ids([t.id for t in got])
+            else:
+                others.append(u)
         for i in range(0, len(others), size):
-            some = others[i : i + size]
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.units.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        chunks = [t.split() for t in texts]
-        if len(self.known) > self.most or len(self.units) > self.most:
-            self.known.clear()
-            self.units.clear()
-        new = list(set(chain.from_iterable(chunks)).difference(self.known))
-        parts = [self.part(c.decode()) for c in new]
-        fresh = list(set(chain.from_iterable(parts)).difference(self.units))
-        self.learn([u for u in fresh if u.isalpha()], [u for u in fresh if not u.isalpha()])
+            got = self.tokenizer.encode_batch_fast(others[i : i + size], add_special_tokens=False)
+            self.units.update(zip(others[i : i + size], (pack_ids(e.ids) for e in got), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.units)
+        again = new.intersection(self.older)
+        self.units.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self.learn(list(new.difference(again)))
         of = self.units.__getitem__
-        self.known.update(zip(new, (b"".join(map(of, p)) for p in parts), strict=True))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        out = [b"".join(map(of, c)) for c in cut]
+        if len(self.units) > self.most:
+            self.units, self.older = {}, self.units
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; about SLICE characters are worked on at once."""
+        out, parts, held, n = [[] for _ in texts], [], [], 0
+        for k, t in enumerate(texts):
+            for part in self.slices(t):
+                parts.append(part)
+                held.append(k)
+                n += len(part)
+                if n >= self.SLICE:
+                    for j, ids in zip(held, self._encode(parts), strict=True):
+                        out[j].append(ids)
+                    parts, held, n = [], [], 0
+        for j, ids in zip(held, self._encode(parts), strict=True):
+            out[j].append(ids)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 class Packer:
@@ -189,9 +223,9 @@ def _pack_partition(path: str, end_id: int, size: int, windows: int):
 
     def run(batches):
         packer = Packer(size, windows, TaskContext.get().partitionId() << 32)
-        encoder = ChunkEncoder.get(path)
+        encoder = UnitEncoder.get(path)
         for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts_of(b, "t")), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("t").to_pylist()]), strict=True):
                 packer.document(doc, ids + end)
             yield packer.batch()
         packer.finish(False)
