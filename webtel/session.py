@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,16 +61,41 @@ class Stages:
     written before are read again from the shared folder.
     """
 
+    #: Those made since the innermost `released` began.
+    _inner: ClassVar[list[list[Stages]]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/webtel-{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        if Stages._inner:
+            Stages._inner[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete these tables; nothing that is still to be computed may read them."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[n for n in self.names if n not in names])
+
+    @classmethod
+    @contextmanager
+    def released(cls):
+        """Tables that operators write in this block are deleted at its end, once what reads them has been written."""
+        cls._inner.append([])
+        try:
+            yield
+        finally:
+            for s in cls._inner.pop():
+                s.keep_only()
