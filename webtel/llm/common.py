@@ -18,9 +18,15 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python task: at most BATCH_ROWS rows and 32 MB in an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Bound the memory of a Python task: at most BATCH_ROWS rows and 32 MB in an Arrow batch.
+
+    Spark reads these settings when a query runs, which is after an operator
+    has returned, so they stay; tighter ones that a session has are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", 32 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 _held: dict = {}
@@ -46,10 +52,21 @@ def small_side(df: DataFrame, row_bytes: int, lists: str | None = None, item_byt
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's content, for joins where ids may repeat."""
+    """A 64-bit key of a row's content, for joins where ids may repeat; joined together with the id."""
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def text_key(t: Column) -> Column:
+    """A 128-bit key of a text."""
+    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without columns of these names, in any case: results of the same name take their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 texts of a batch, null as empty, without decoding to str."""
     col = batch.column(column).cast(pa.large_binary())

@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, stages: Stages, max_rounds: int = 40)
 
     `edges` has long columns u and v in any order; loops, repeats and nulls
     are ignored. Each round is a large-star and a small-star step (joins
-    and minimum aggregates); its edges are written to the shared folder, so
-    lineage stays one round deep and nothing passes through the driver but
-    a count and a checksum.
+    and minimum aggregates); its edges and minima are written to the shared
+    folder, so lineage stays short, both sides of each join are plain
+    exchanges, where Spark can split the node of a large star, and nothing
+    passes through the driver but a count and a checksum.
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -29,14 +30,15 @@ def connected_components(edges: DataFrame, stages: Stages, max_rounds: int = 40)
         return e
     for k in range(1, max_rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stages.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{k}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stages.write(large, f"large{k}")
+        low = stages.write(large.groupBy("u").agg(F.min("v").alias("m")), f"low{k}")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = stages.write(small, f"edges{k}")
         now = _signature(e)
-        stages.drop(f"edges{k - 1}")
+        stages.drop(f"edges{k - 1}", f"least{k}", f"large{k}", f"low{k}")
         if now == seen:
             return e
         seen = now

@@ -128,8 +128,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of `docs`: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     A null or empty text has no words, no labels (empty strings) and score 0.
-    Ids may be null or repeat; an empty table gives an empty result; other
-    columns are ignored.
+    Texts of any length are read as a whole, one at a time. Ids may be null
+    or repeat; equal rows get equal results; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
     known = templates()

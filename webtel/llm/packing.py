@@ -249,9 +249,10 @@ def _merge(size: int, windows: int, last: bool):
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, windows: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A null or empty text is the end id alone. Each row of `docs` is a
-    document of its own, also if ids repeat or are null. An empty table
-    gives an empty result; other columns are ignored.
+    A null or empty text is the end id alone. A text of any length is read
+    in slices and cut over as many sequences as it needs. Each row of `docs`
+    is a document of its own, also if ids repeat or are null. An empty table
+    gives an empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

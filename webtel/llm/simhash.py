@@ -134,33 +134,67 @@ def links(points: DataFrame, n: int, stages: Stages, radius: int = 3) -> DataFra
     return dealt.mapInArrow(lambda it: _compare(whole_groups(it, keys), radius), "u long, v long")
 
 
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(id, rid, fp) of all rows, and (fp, best) with the first row (last, id, rid) of each fingerprint's component.
+
+    Rows of a null id come last. Fingerprints are the nodes, so that rows
+    without an id link others too.
+    """
+    prints = stages.write(add_fingerprints(docs, id_col, text_col), "prints")
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "rid")
+    classes = stages.write(prints.groupBy("fp").agg(F.min(first).alias("best")), "classes")
+    edges = links(classes.select(F.col("fp").alias("node"), "fp"), classes.count(), stages, radius)
+    comp = connected_components(edges, stages)
+    members = comp.unionByName(comp.select(F.col("v").alias("u"), "v").distinct()).withColumnRenamed("u", "fp")
+    members = stages.write(members.join(classes, "fp"), "members")
+    lead = stages.write(members.groupBy("v").agg(F.min("best").alias("lead")), "lead")
+    led = members.join(lead, "v").select("fp", "lead")
+    named = classes.join(led, "fp", "left").select("fp", F.coalesce("lead", "best").alias("best"))
+    return prints, stages.write(named, "named")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (id, rid, fp, component_id), the smallest id reachable by links of at most `radius` bits.
 
     Copies share a fingerprint and are one node, whatever their number.
-    Null and empty texts have fingerprint zero. Rows with a null id link
-    like others but never name a component; repeated rows give repeated
-    rows. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have fingerprint zero; texts of any length are read
+    as a whole. Rows with a null id link like others but name a component
+    only (as null) where no row of it has an id; repeated rows give repeated
+    rows. An empty table gives an empty result. Other columns, whatever
+    their names, are ignored.
     """
     stages = Stages(docs.sparkSession, "simhash")
-    prints = stages.write(add_fingerprints(docs, id_col, text_col), "prints")
-    classes = stages.write(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    points = classes.where("node is not null")
-    edges = links(points, classes.count(), stages, radius)
-    comp = connected_components(edges, stages)
-    named = classes.join(comp, classes.node == comp.u, "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("id", "rid", "fp", "component_id")
+    prints, named = _grouped(docs, radius, id_col, text_col, stages)
+    stages.keep_only("prints", "named")
+    return prints.join(named, "fp", "left").select("id", "rid", "fp", F.col("best.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component.
+    """One row of `docs` for each component: that of the smallest doc_id.
 
-    Rows with a null id stay; equal rows are one document and stay together.
+    Null ids come after all others; of different texts under one id, and of
+    texts without an id, the one of least hash stays, and of equal rows any.
+    Null and empty texts are one group. An empty table gives an empty
+    result; all columns of the rows stay.
     """
-    gone = near_duplicates(docs, radius).where("id <> component_id").select(F.col("rid").alias("_webtel_rid")).distinct()
-    gone = Stages(docs.sparkSession, "simhash-gone").write(gone, "gone")
-    keyed = docs.withColumn("_webtel_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(small_side(gone, 32), "_webtel_rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    stages = Stages(docs.sparkSession, "simhash")
+    prints, named = _grouped(docs, radius, "doc_id", "text", stages)
+    rows = prints.groupBy("fp", "id", "rid").agg(F.count(F.lit(1)).alias("n")).join(named, "fp")
+    stays = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.rid") == F.col("rid"))
+    rows = stages.write(rows.select(F.col("id").alias("_webtel_id"), F.col("rid").alias("_webtel_rid"), "n", stays.alias("stays")), "rows")
+    stages.keep_only("rows")
+    keyed = docs.withColumn("_webtel_id", F.col("doc_id").cast("long"))
+    keyed = keyed.withColumn("_webtel_rid", F.xxhash64("_webtel_id", F.col("text").cast("string")))
+
+    def match(t: DataFrame) -> DataFrame:
+        return small_side(t.select(F.col("_webtel_id").alias("_i"), F.col("_webtel_rid").alias("_r")), 32)
+
+    same = F.col("_webtel_id").eqNullSafe(F.col("_i")) & (F.col("_webtel_rid") == F.col("_r"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # Rows that stay and have equals come by another way, where all but one of them go.
+    single = keyed.join(match(rows.where("not stays or n > 1")), same, "left_anti").select(*own)
+    several = keyed.join(match(rows.where("stays and n > 1")), same, "left_semi").dropDuplicates(["_webtel_id", "_webtel_rid"]).select(*own)
+    return single.unionByName(several)
 
 
 def hex_of(fp: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches, worker_held
+from webtel.llm.common import small_batches, without, worker_held
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -237,9 +237,10 @@ def _utf8(run: bytearray) -> str:
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (id, n_tokens, ids_sha256, decoded_sha256).
 
-    A null or empty text has no ids and decodes to the empty text. Ids may
-    be null or repeat; an empty table gives an empty result; other columns
-    are ignored.
+    A null or empty text has no ids and decodes to the empty text. Texts may
+    be of any length: their words are encoded in slices. Ids may be null or
+    repeat; repeated rows give repeated rows; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -260,8 +261,13 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
 
 def encode_ids(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `ids`, the token ids of each text (empty for null)."""
+    """`docs` with a column `ids`, the token ids of each text (empty for null and empty texts).
+
+    Texts may be of any length and rows may repeat; an empty table gives an
+    empty result; a column `ids` that `docs` has is replaced.
+    """
     small_batches(docs.sparkSession)
+    docs = without(docs, "ids")
     schema = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", ids array<int>"
 
     def run(batches):
@@ -277,8 +283,13 @@ def encode_ids(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
 
 
 def decode_ids(frame: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """`frame` with a column `decoded`, the text of each row's ids (null ids: null)."""
+    """`frame` with a column `decoded`, the text of each row's ids (null ids: null, no ids: empty).
+
+    Rows may repeat; an empty table gives an empty result; a column `decoded`
+    that `frame` has is replaced.
+    """
     small_batches(frame.sparkSession)
+    frame = without(frame, "decoded")
     schema = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(frame.dtypes)) + ", decoded string"
 
     def run(batches):

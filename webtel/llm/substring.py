@@ -230,7 +230,9 @@ def repeated_ranges(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     hit = windows.join(first, ["h1", "h2"]).where("id > first")
     starts = hit.groupBy("id", "rid").agg(F.collect_list("start").alias("starts"))
     parts = starts.mapInArrow(_cover(window), "id long, rid long, cover array<int>")
-    return stages.write(parts.unionByName(copies).dropDuplicates(["id", "rid"]), "cover")
+    cover = stages.write(parts.unionByName(copies).dropDuplicates(["id", "rid"]), "cover")
+    stages.keep_only("cover")
+    return cover
 
 
 def _apply(batches, texts: bool):
@@ -258,9 +260,11 @@ def digest_without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc
     """One row per row of `docs`: (id, n_words, n_removed, out); out is the SHA-256 of the kept words joined by spaces.
 
     A word goes if a window over it also starts in a document with a smaller
-    id. Null texts have no words. A row with a null id removes nothing and
-    keeps all. Rows that share an id never remove from each other. An empty
-    table gives an empty result; other columns are ignored.
+    id. Null and empty texts have no words; texts of any length are read as
+    a whole, one at a time. A row with a null id removes nothing and keeps
+    all. Rows that share an id, repeated rows among them, never remove from
+    each other. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("rid", row_key("id", "t"))
@@ -269,7 +273,11 @@ def digest_without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated words cut from the texts; a text that loses words has the others joined by one space."""
+    """`docs` with repeated words cut from the texts; a text that loses words has the others joined by one space.
+
+    Which words go, and the odd cases, are as in digest_without_repeats; all
+    other columns and texts, nulls among them, stay as they are.
+    """
     cover = small_side(repeated_ranges(docs, window, id_col, text_col), 64, "cover")
     own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     d = docs.select(*own, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("rid", row_key("id", "t"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches
+from webtel.llm.common import small_batches, without
 
 #: Labelled rows that are fitted on, about; all are used if there are fewer.
 FIT_ROWS = 40_000
@@ -278,7 +278,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with `toxicity`, from 0 to 1 for every text; null and empty texts get the score of no event."""
+    """`docs` with `toxicity`, from 0 to 1 for every text, read as a whole; null and empty texts get the score of no event.
+
+    Equal texts get equal scores and repeated rows stay; ids may be null or
+    repeat; an empty table gives an empty result; a column `toxicity` that
+    `docs` has is replaced.
+    """
+    return _scored(without(docs, "toxicity"), model, text_col, "toxicity")
+
+
+def keep_below(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score below `most`, with all their columns, also such as are called `toxicity`."""
+    return _scored(docs, model, text_col, "_webtel_toxicity").where(F.col("_webtel_toxicity") < most).drop("_webtel_toxicity")
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, out_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     keep = [f"_c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{k} {t}" for k, (_, t) in zip(keep, docs.dtypes, strict=True)) + ", toxicity double"
@@ -290,4 +304,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     cols = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, keep, strict=True)]
     out = docs.select(*cols, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
-    return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keep, strict=True)], "toxicity")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keep, strict=True)], F.col("toxicity").alias(out_col))
