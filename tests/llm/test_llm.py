@@ -206,6 +206,57 @@ def test_random_tokens_of_letters_and_in_paths(spark):
     assert not any(got[i] for i in range(30, 50))
 
 
+def brute_distance(v, alphabet, model, words):
+    v = v.rstrip("=")
+    code, n, k = [alphabet.index(c) for c in v], len(v), len(alphabet)
+    cube = lambda x, df: ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    chi = max(0.0, cube(sum((n_c - n / k) ** 2 / (n / k) for n_c in (code.count(i) for i in range(k))), k - 1))
+    up = [c >= k / 2 for c in code]
+    mu = 2 * sum(up) * (n - sum(up)) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    runs = (1 + sum(a != b for a, b in zip(up, up[1:])) - mu) / math.sqrt(var) if var > 0 else math.sqrt(n)  # noqa: B905
+    dev = np.array(code) - np.mean(code)
+    serial = (dev[1:] * dev[:-1]).sum() / (dev**2).sum() * math.sqrt(n) if (dev**2).sum() > 1e-9 else math.sqrt(n)
+    low = ["abcdefghijklmnopqrstuvwxyz".find(c) for c in v.lower()]
+    pairs = [model[a * 26 + b] for a, b in zip(low, low[1:]) if a >= 0 and b >= 0]  # noqa: B905
+    z = max(0.0, (sum(pairs) - len(pairs) * np.mean(model)) / math.sqrt(len(pairs) * np.var(model))) if words and pairs else 0.0
+    return math.sqrt(chi**2 + runs**2 + serial**2 + z**2)
+
+
+def test_battery(spark):
+    rnd = random.Random(12)
+    model = [rnd.gauss(-0.3, 1) for _ in range(676)]
+    known = secret_scan.ENCODINGS | secret_scan.LETTERS
+    tokens = ["".join(rnd.choice(a) for _ in range(n)) for _, a in known.values() for n in (16, 21, 40, 131)] + ["a" * 30, "0" * 20, "ab" * 10 + "==", "not a token"]
+    got = secret_scan.battery(spark.createDataFrame([(t,) for t in tokens], "value string"), model).collect()
+    for r in got:
+        assert math.isclose(r.distance, brute_distance(r.value, known[r.encoding][1], model, r.encoding not in ("hex", "HEX", "digits")), rel_tol=1e-6, abs_tol=1e-6)
+    assert {r.value for r in got} == set(tokens[:-1])
+
+
+def test_false_discovery_control(spark):
+    """The bins that are reported are those of the procedure on sorted p-values."""
+    rnd = random.Random(13)
+    rows = [(c, min(secret_scan.BINS, int(rnd.expovariate(1 / s)))) for c, s in ((16, 20), (20, 150)) for _ in range(300)]
+    stop = {r["class"]: r.stop for r in secret_scan.reported(spark.createDataFrame(rows, "class int, bin int")).collect()}
+    for c in (16, 20):
+        bins = sorted((b for k, b in rows if k == c), reverse=True)
+        good = [b for i, b in enumerate(bins, 1) if math.exp(-b / secret_scan.STEPS) <= 0.05 * sum(x >= b for x in bins) / len(bins)]
+        assert {b for b in bins if b >= stop[c]} == set(good)
+
+
+def test_plain_identifiers_are_no_secrets(spark):
+    d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(14)
+    b62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    secrets = ["".join(rnd.choice(b62) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(10)]
+    plain = "getElementById2Foo MyVeryLongClassName3 configurationManagerImpl2 chapter12section3paragraph4 read_user_config_value handlerFactoryServiceImpl".split()
+    more = spark.createDataFrame([(10**6 + i, f"see {x} here") for i, x in enumerate(secrets + plain * 6)], "doc_id long, text string")
+    got = {r.id for r in secret_scan.find(d.unionByName(more)).where("size(random) > 0").collect()}
+    assert sum(10**6 + i in got for i in range(40)) >= 36
+    assert sum(10**6 + i in got for i in range(40, 76)) <= 2
+
+
 # --- op3
 
 

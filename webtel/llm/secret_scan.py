@@ -2,22 +2,26 @@
 
 Long tokens are candidates, and the long parts of those with separators. The
 alphabet of a token gives its encoding; letters only may be of an alphabet of
-letters or of a wider one, and the better stands. Tokens without digits must
-also differ from words, by the pairs of letters that the texts' own words have:
-on short tokens of letters the battery alone cannot. Within it three tests ask whether the token could
-be random: chi-squared for the uniform use of the alphabet, the number of
-runs above and below its middle, and the correlation of neighbours. Their
-sum of squares has a p-value. In each class of lengths, the procedure of
-Benjamini and Hochberg rejects tokens that are not random, at a given rate
-of false discoveries; those that stay and carry enough bits are secrets.
-All of it is DataFrame functions.
+letters or of a wider one. Within it a battery asks how far the token is from
+random: chi-squared for the uniform use of the alphabet, the number of runs
+above and below its middle, the correlation of neighbours, and the
+likelihood of its pairs of letters in words against chance. The root of the
+sum of squares is the token's distance from random.
+
+That distance is held against ordinary tokens: a chain of characters, with
+the transition counts of all short words of all texts, spells words that are
+joined in the ways of identifiers. Their distances in each encoding and
+class of lengths are the null distribution, and a token's p is the chance
+that an ordinary one looks as random. In each class of lengths the procedure
+of Benjamini and Hochberg then bounds the share of ordinary tokens among
+those that are reported. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webtel.llm.common import small_side
@@ -56,9 +60,21 @@ LETTERS = {
     "letters52": ("^[A-Za-z]+$", _U + _L),
 }
 ENCODINGS = {"digits": ("^[0-9]+$", _D)} | ENCODINGS
-RATE, LEAST_BITS = 0.05, 80.0
+#: False discovery rate; share of random tokens that the battery may refuse; least information of a secret.
+RATE, REFUSE, LEAST_BITS = 0.05, 0.03, 80.0
 #: p-values are counted in steps of exp(-1 / STEPS), down to exp(-BINS / STEPS).
 STEPS, BINS = 20, 800
+#: Least lengths of the classes of lengths.
+LENGTHS = (16, 20, 24, 28, 32, 40, 48, 64, 96, 128)
+#: Ordinary tokens of each way of joining and class of lengths; least number of an encoding's that make a null distribution.
+ORDINARY, LEAST_NULL = 200, 40
+CHARACTERS = _D + _U + _L
+#: A word, and the letters of an alphabet that have no part in words, to show how ordinary hexadecimal and decimal tokens repeat.
+_FOLD = {16: "0123456789abcdef", 10: _D}
+
+
+def _doubles(values: list[float]) -> str:
+    return f"array({','.join(f'{v!r}D' for v in values)})"
 
 
 def _normal_tail(z: Column) -> Column:
@@ -73,73 +89,150 @@ def _cube_root_normal(x: Column, df: Column) -> Column:
     return (F.pow(x / df, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
 
 
-def letter_pairs(docs: DataFrame, text_col: str = "text") -> list[float]:
-    """For each pair of letters, the log of how much likelier the second is after the first in words than by chance.
+def transitions(docs: DataFrame, text_col: str = "text") -> list[list[float]]:
+    """Counts of each character of CHARACTERS, and of a word's end (the last index), after each and after a word's beginning.
 
-    From all words of fewer than 16 letters; 676 numbers, each with one added to its count.
+    From all words of fewer than 16 letters and digits in all texts, and longer
+    ones of letters that stand there five times or more; 63 * 63 numbers.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("w")).where(F.length("w").between(2, 15))
-    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    pairs = words.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("ab"))
-    seen = {r.ab: r.c for r in pairs.groupBy("ab").agg(F.sum("c").alias("c")).collect()}
-    after = {a: sum(seen.get(a + b, 0) for b in _L) for a in _L}
-    return [math.log((seen.get(a + b, 0) + 1) / (after[a] + 26) * 26) for a in _L for b in _L]
-
-
-def unlike_words(core: Column, model: list[float]) -> Column:
-    """p of neighbouring letters being at random, against their being those of words; 1 where there are none."""
+    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "[^A-Za-z0-9]+")).alias("w")).where("w <> ''")
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where((F.length("w") < 16) | (F.col("c") >= 5) & (F.length("w") < 40) & F.col("w").rlike("^[A-Za-z]+$"))
+    words = words.withColumn("x", F.concat(F.lit(" "), "w", F.lit(" ")))
+    pairs = words.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring(F.col("x"), i, F.lit(2)))).alias("ab"))
+    at = {c: i for i, c in enumerate(CHARACTERS + " ")}
+    counts = [[0.0] * len(at) for _ in at]
+    for r in pairs.groupBy("ab").agg(F.sum("c").alias("c")).collect():
+        counts[at[r.ab[0]]][at[r.ab[1]]] += r.c
+    return counts
+
+
+def letter_pairs(counts: list[list[float]]) -> list[float]:
+    """For each pair of letters, whatever their case, the log of how much likelier the second is after the first in words than by chance."""
+    seen = [[1.0] * 26 for _ in range(26)]
+    for a, row in enumerate(counts[:62]):
+        for b, c in enumerate(row[:62]):
+            if a >= 10 and b >= 10:
+                seen[(a - 10) % 26][(b - 10) % 26] += c
+    return [math.log(26 * c / sum(row)) for row in seen for c in row]
+
+
+def ordinary_tokens(spark: SparkSession, counts: list[list[float]], n: int = ORDINARY) -> DataFrame:
+    """(value): words spelled by the chain of `counts`, joined as they are, in lower or upper case, by capitals, by _ - or /, or folded on few digits; of each least length."""
+    cumulative = []
+    for row in counts:
+        row = [c + 0.01 for c in row]
+        total, run = sum(row), 0.0
+        cumulative.append([(run := run + c) / total for c in row][:-1])
+    longest, chain = max(LENGTHS), F.expr(f"array({','.join(map(_doubles, cumulative))})")
+
+    def step(acc, i):
+        u = F.pmod(F.xxhash64("id", i, F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        k = F.size(F.filter(F.element_at(chain, acc["k"] + 1), lambda c: c <= u))
+        return F.struct(k.alias("k"), F.concat(acc["x"], F.substring(F.lit(CHARACTERS + " "), k + 1, F.lit(1))).alias("x"))
+
+    start = F.struct(F.lit(len(CHARACTERS)).alias("k"), F.lit("").alias("x"))
+    spelled = spark.range(0, n, 1, 8).withColumn("x", F.aggregate(F.sequence(F.lit(1), F.lit(2 * longest)), start, step, lambda a: F.trim(F.regexp_replace(a["x"], " +", " "))))
+    x, joined = F.col("x"), lambda c, by: F.replace(c, F.lit(" "), F.lit(by))
+    hexa = F.translate(F.lower(joined(x, "")), CHARACTERS, "".join(_FOLD[16][i % 16] for i in range(62)))
+    ways = [joined(x, ""), joined(F.lower(x), ""), joined(F.upper(x), ""), joined(F.initcap(x), ""), joined(F.lower(x), "_"), joined(F.lower(x), "-"), joined(x, "/")]
+    ways += [hexa, F.upper(hexa), F.translate(joined(x, ""), CHARACTERS, "".join(_FOLD[10][i % 10] for i in range(62)))]
+    each = spelled.select(F.explode(F.array(*ways)).alias("v"))
+    cut = each.select("v", F.explode(F.array(*[F.lit(k) for k in LENGTHS])).alias("k")).where(F.length("v") >= F.col("k"))
+    return cut.select(F.substring("v", F.lit(1), F.col("k")).alias("value"))
+
+
+def random_tokens(spark: SparkSession, n: int = ORDINARY) -> DataFrame:
+    """(value): tokens of each alphabet and least length whose characters are drawn by a hash."""
+    alphabets = F.array(*[F.lit(a) for _, a in (ENCODINGS | LETTERS).values()])
+    each = spark.range(0, n, 1, 8).select("id", F.explode(alphabets).alias("a"))
+    each = each.select("id", "a", F.explode(F.array(*[F.lit(k) for k in LENGTHS])).alias("k"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.substring("a", F.pmod(F.xxhash64("id", "a", "k", i), F.length("a")).cast("int") + 1, F.lit(1)))
+    return each.select(F.array_join(drawn, "").alias("value"))
+
+
+def unlike_random(core: Column, model: list[float]) -> Column:
+    """How many standard deviations the pairs of neighbouring letters are likelier in words than random ones; 0 if less or none."""
     mean = sum(model) / len(model)
     var = sum((x - mean) ** 2 for x in model) / len(model)
     if var == 0:
-        return F.lit(1.0)
-    at = F.transform(F.split(F.lower(core), ""), lambda c: F.instr(F.lit(_L), c) - 1)
-    m = F.size(at)
-    score = F.zip_with(F.slice(at, 1, m - 1), F.slice(at, 2, m - 1), lambda a, b: F.when((a >= 0) & (b >= 0), F.element_at(F.lit(model), a * 26 + b + 1)))
-    score = F.array_compact(score)
-    z = (F.aggregate(score, F.lit(0.0), lambda x, y: x + y) - F.size(score) * mean) / F.sqrt(F.size(score) * F.lit(var))
-    return F.when(F.size(score) > 0, _normal_tail(z)).otherwise(1.0)
-
-
-def battery(tokens: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """Adds encoding, n, bits and p (of being random) to rows with a column `value`: a row for each encoding; tokens of none go."""
+        return F.lit(0.0)
+    known = F.expr(_doubles(model))
+
+    def step(acc, c):
+        here = F.instr(F.lit(_L), c) - 1
+        pair = (acc["last"] >= 0) & (here >= 0)
+        score = F.when(pair, acc["score"] + F.element_at(known, acc["last"] * 26 + here + 1) - F.lit(mean)).otherwise(acc["score"])
+        return F.struct(here.alias("last"), score.alias("score"), (acc["n"] + pair.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("score"), F.lit(0).alias("n"))
+    z = lambda a: F.when(a["n"] > 0, F.greatest(a["score"] / F.sqrt(a["n"] * F.lit(var)), F.lit(0.0))).otherwise(0.0)
+    return F.aggregate(F.split(F.lower(core), ""), start, step, z)
+
+
+def _sums(code: Column, k: Column) -> Column:
+    """One pass over the places of a token's characters in its alphabet of k: what runs and correlation are made of."""
+
+    def step(acc, c):
+        up = c >= k / 2
+        first = acc["last"].isNull()
+        return F.struct(
+            c.alias("last"),
+            (acc["s"] + c).alias("s"),
+            (acc["ss"] + c * c).alias("ss"),
+            F.when(first, 0.0).otherwise(acc["lag"] + acc["last"] * c).alias("lag"),
+            (acc["n1"] + up.cast("int")).alias("n1"),
+            F.when(first, 1).otherwise(acc["runs"] + ((acc["last"] >= k / 2) != up).cast("int")).alias("runs"),
+            F.coalesce(acc["first"], c).alias("first"),
+        )
+
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    start = F.struct(none.alias("last"), zero.alias("s"), zero.alias("ss"), zero.alias("lag"), F.lit(0).alias("n1"), F.lit(0).alias("runs"), none.alias("first"))
+    return F.aggregate(code, start, step)
+
+
+def battery(tokens: DataFrame, model: list[float]) -> DataFrame:
+    """Adds encoding, class, bits and distance (from random) to rows with a column `value`: a row for each encoding; tokens of none go."""
     core = F.regexp_replace("value", "=+$", "")
-    names = [F.coalesce(*[F.when(core.rlike(p), F.lit(k)) for k, (p, _) in e.items()]) for e in (ENCODINGS, LETTERS)]
-    alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(a)) for k, (_, a) in (ENCODINGS | LETTERS).items()])
-    t = tokens.withColumn("core", core).withColumn("encoding", F.explode(F.array_compact(F.array(*names))))
-    t = t.withColumn("alphabet", alphabet).withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.length("core").cast("double"))
-    t = t.withColumn("code", F.transform(F.split("core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1))
+    known = lambda e: F.coalesce(*[F.when(core.rlike(p), F.struct(F.lit(k).alias("encoding"), F.lit(a).alias("alphabet"), F.lit(float(len(a))).alias("k"))) for k, (p, a) in e.items()])
+    t = tokens.withColumn("core", core).withColumn("e", F.explode(F.array_compact(F.array(known(ENCODINGS), known(LETTERS)))))
+    code = F.transform(F.split("core", ""), lambda c: F.instr(F.col("e.alphabet"), c).cast("double") - 1)
+    t = t.select("*", _sums(code, F.col("e.k")).alias("x"), F.length("core").cast("double").alias("n"), F.col("e.k").alias("k"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    squares = F.transform(F.split("alphabet", ""), lambda c: F.pow(F.col("n") - F.length(F.replace(F.col("core"), c, F.lit(""))), F.lit(2.0)))
-    t = t.withColumn("chi", total(squares) * F.col("k") / F.col("n") - F.col("n"))
-    t = t.withColumn("up", F.transform("code", lambda c: (c >= F.col("k") / 2).cast("int")))
-    t = t.withColumn("n1", total(F.transform("up", lambda u: u.cast("double")))).withColumn("n2", F.col("n") - F.col("n1"))
-    m = F.size("code")
-    neighbours = F.arrays_zip(F.slice("up", 1, m - 1).alias("a"), F.slice("up", 2, m - 1).alias("b"))
-    t = t.withColumn("runs", 1 + total(F.transform(neighbours, lambda p: (p["a"] != p["b"]).cast("double"))))
-    mu = 2 * F.col("n1") * F.col("n2") / F.col("n") + 1
-    var = (mu - 1) * (mu - 2) / (F.col("n") - 1)
-    t = t.withColumn("z_runs", F.when(var > 0, (F.col("runs") - mu) / F.sqrt(var)).otherwise(F.sqrt("n")))
-    t = t.withColumn("mean", total(F.col("code")) / F.col("n"))
-    t = t.withColumn("dev", F.transform("code", lambda c: c - F.col("mean")))
-    t = t.withColumn("ss", total(F.transform("dev", lambda d: d * d)))
-    lagged = F.zip_with(F.slice("dev", 1, m - 1), F.slice("dev", 2, m - 1), lambda a, b: a * b)
-    t = t.withColumn("z_serial", F.when(F.col("ss") > 0, total(lagged) / F.col("ss") * F.sqrt("n")).otherwise(F.sqrt("n")))
-    t = t.withColumn("z_chi", F.greatest(_cube_root_normal(F.col("chi"), F.col("k") - 1), F.lit(0.0)))
-    x = F.col("z_chi") ** 2 + F.col("z_runs") ** 2 + F.col("z_serial") ** 2
-    t = t.withColumn("p", _normal_tail(_cube_root_normal(x, F.lit(3.0))))
-    if model:
-        both = F.least(F.lit(1.0), 2 * F.least("p", unlike_words(F.col("core"), model)))
-        t = t.withColumn("p", F.when(F.col("core").rlike("[0-9]"), F.col("p")).otherwise(both))
-    t = t.withColumn("bits", F.col("n") * F.log2("k"))
-    return t.select(*tokens.columns, "encoding", "n", "bits", "p")
-
-
-def not_rejected(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """(class, stop): in each class of lengths, the first bin of p-values that is rejected as not random.
-
-    Rejection by Benjamini and Hochberg: the largest p with p <= rate * (tokens
-    of at most p) / (tokens). It needs only the counts of a fixed number of
-    bins in each class of lengths, of which a text of any length has few.
+    squares = F.transform(F.split("e.alphabet", ""), lambda c: F.pow(F.length("core") - F.length(F.replace(F.col("core"), c, F.lit(""))), F.lit(2.0)))
+    n, k, x = F.col("n"), F.col("k"), F.col("x")
+    chi = total(squares) * k / n - n
+    mu = 2 * x["n1"] * (n - x["n1"]) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    runs = F.when(var > 0, (x["runs"] - mu) / F.sqrt(var)).otherwise(F.sqrt(n))
+    mean = x["s"] / n
+    spread = x["ss"] - n * mean * mean
+    lagged = x["lag"] - mean * (2 * x["s"] - x["first"] - x["last"]) + (n - 1) * mean * mean
+    serial = F.when(spread > 1e-9, lagged / spread * F.sqrt(n)).otherwise(F.sqrt(n))
+    words = F.when(F.col("e.encoding").isin("hex", "HEX", "digits"), 0.0).otherwise(unlike_random(F.col("core"), model))
+    parts = [F.greatest(_cube_root_normal(chi, k - 1), F.lit(0.0)), runs, serial, words]
+    t = t.select(*tokens.columns, "e.encoding", "n", "k", *[c.alias(f"z{i}") for i, c in enumerate(parts)])
+    distance = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(len(parts))), F.lit(0.0)))
+    least = F.coalesce(*[F.when(n >= m, m) for m in reversed(LENGTHS)])
+    return t.select(*tokens.columns, "encoding", least.alias("class"), (n * F.log2(k)).alias("bits"), distance.alias("distance"))
+
+
+def null_distributions(spark: SparkSession, counts: list[list[float]], model: list[float], refuse: float = REFUSE) -> DataFrame:
+    """(encoding, class, mean, sd, most): mean and deviation of the distances of ordinary tokens, and what random ones exceed with chance `refuse` only.
+
+    One row for each of the fixed encodings and classes of lengths.
+    """
+    both = ordinary_tokens(spark, counts).withColumn("plain", F.lit(True)).unionByName(random_tokens(spark).withColumn("plain", F.lit(False)))
+    plain, random = F.when(F.col("plain"), F.col("distance")), F.when(~F.col("plain"), F.col("distance"))
+    null = battery(both, model).groupBy("encoding", "class").agg(F.avg(plain).alias("mean"), F.stddev(plain).alias("sd"), F.count(plain).alias("c"), F.percentile(random, 1 - refuse).alias("most"))
+    return null.where((F.col("c") >= LEAST_NULL) & F.col("most").isNotNull()).drop("c")
+
+
+def reported(tested: DataFrame, rate: float = RATE) -> DataFrame:
+    """(class, stop): in each class of lengths, the first bin of p-values that is reported.
+
+    By Benjamini and Hochberg: the largest p with p <= rate * (tokens of at
+    most p) / (tokens). It needs only the counts of a fixed number of bins in
+    each class of lengths.
     """
     counts = tested.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("c"))
     per = Window.partitionBy("class")
@@ -151,7 +244,7 @@ def not_rejected(tested: DataFrame, rate: float = RATE) -> DataFrame:
 def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rid, assign, access, hex, tokens): a row for each row of `docs`, with arrays of located spans."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    base = base.withColumn("rid", F.xxhash64("id", "t"))
+    base = base.withColumn("rid", F.struct("id", F.xxhash64("id", "t").alias("hash")))
     t = F.col("t")
     found = base.select("*", *[matches(t, p).alias(f"m_{k}") for k, (p, _) in PATTERNS.items()], matches(t, CANDIDATE).alias("m_tokens"))
     spans = [located(t, p, F.col(f"m_{k}"), keep).alias(k) for k, (p, keep) in PATTERNS.items()]
@@ -170,26 +263,35 @@ def with_parts(tokens: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, least_bits: float = LEAST_BITS) -> DataFrame:
     """One row per row of `docs`: (id, rid, assign, access, hex, random), arrays of located spans.
 
-    Tokens that a base span covers are not tested; of spans in one another the outer stays. A null or empty text has
-    no spans. Ids may be null or repeat; equal rows get equal results. An
-    empty table gives an empty result; other columns are ignored.
+    Tokens that a base span covers are not tested; of spans in one another
+    the outer stays. A null or empty text has no spans; texts of any length
+    are read as a whole. Ids may be null or repeat; equal rows get equal
+    results. An empty table gives an empty result; other columns, whatever
+    their names, are ignored.
     """
     stages = Stages(docs.sparkSession, "secrets")
     found = stages.write(with_base(docs, id_col, text_col), "found")
     known = F.concat(*[F.col(k) for k in KINDS])
     clear = F.filter("tokens", lambda x: ~F.exists(known, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
     tokens = found.where("size(tokens) > 0").select("rid", F.explode(clear).alias("s")).select("rid", "s.*")
-    tested = battery(with_parts(tokens), letter_pairs(docs, text_col)).where(F.col("bits") >= least_bits)
-    tested = tested.groupBy("rid", "start", "end", "value").agg(F.max("p").alias("p"), F.first("n").alias("n"))
-    p = F.greatest(F.col("p"), F.lit(1e-300))
-    tested = tested.withColumn("bin", F.least(F.floor(-F.log(p) * STEPS), F.lit(BINS)).cast("int")).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    counts = transitions(docs, text_col)
+    model = letter_pairs(counts)
+    null = stages.write(null_distributions(docs.sparkSession, counts, model), "null")
+    # Two rows a token at most; without a null distribution of its encoding and class it is not reported.
+    tested = battery(with_parts(tokens), model).where(F.col("bits") >= least_bits).join(F.broadcast(null), ["encoding", "class"])
+    p = F.when(F.col("distance") <= F.col("most"), _normal_tail((F.col("mean") - F.col("distance")) / F.greatest("sd", F.lit(1e-3)))).otherwise(1.0)
+    tested = tested.groupBy("rid", "start", "end", "value").agg(F.min(p).alias("p"), F.count(F.lit(1)).alias("tries"), F.first("class").alias("class"))
+    p = F.greatest(F.least(F.col("p") * F.col("tries"), F.lit(1.0)), F.lit(1e-300))
+    tested = tested.withColumn("bin", F.least(F.floor(-F.log(p) * STEPS), F.lit(BINS)).cast("int"))
     tested = stages.write(tested, "tested")
-    # One row for each class of lengths: at most 31, since a text has less than 2**31 characters.
-    kept = tested.join(F.broadcast(not_rejected(tested, rate)), "class").where("bin < stop")
+    # One row for each class of lengths.
+    kept = tested.join(F.broadcast(reported(tested, rate)), "class").where("bin >= stop")
     per_doc = kept.groupBy("rid").agg(F.collect_list(F.struct("start", "end", "value")).alias("random"))
     inside = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
     outer = F.filter("random", lambda x: ~F.exists("random", lambda y: inside(x, y)))
     per_doc = per_doc.select("rid", F.array_sort(outer).alias("random"))
+    per_doc = stages.write(per_doc, "random")
+    stages.keep_only("found", "random")
     out = found.drop("tokens").join(per_doc, "rid", "left")
     return out.withColumn("random", F.coalesce("random", F.array().cast("array<struct<start:int,end:int,value:string>>")))
 
@@ -219,5 +321,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(free, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("_webtel_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    joined = docs.withColumn("_webtel_rid", F.xxhash64(F.col(id_col).cast("long"), t)).join(marks, "_webtel_rid", "left")
+    own_id = F.col(id_col).cast("long")
+    joined = docs.withColumn("_webtel_rid", F.struct(own_id.alias("id"), F.xxhash64(own_id, t).alias("hash"))).join(marks, "_webtel_rid", "left")
     return joined.withColumn(text_col, F.when(F.col("_webtel_marks").isNull(), text).otherwise(done)).select(*[f"`{c}`" for c in docs.columns])
