@@ -150,9 +150,13 @@ def test_pii_terms(spark):
 def test_pii_terms_of_whole_texts(spark):
     """A name far from an address discloses it; the counts are those of a loop over all pairs."""
     far = "und so weiter " * 40
-    texts = [f"{far} Wolkenstein {far} mail {k}@x.test" for k in ("a", "a", "b")] + [f"Nebel {far}", "a@x.test", *["und so weiter mail"] * 30]
+    back = "oder auch nicht " * 40
+    texts = [f"{far} Wolkenstein {far} mail a@x.test", f"a@x.test {back} Wolkenstein {back}", f"{far} Wolkenstein {far} mail b@x.test"]
+    texts += [f"Nebel {far}", "a@x.test", *[f"und so weiter mail {k}" for k in range(30)], *[texts[0]] * 3]
     df = spark.createDataFrame(list(enumerate([*texts, *["c@x.test near Amsel", "c@x.test " + far + "Amsel"]])), "doc_id long, text string")
-    rows = [(r.doc_id, r.text) for r in df.collect()]
+    every = [(r.doc_id, r.text) for r in df.collect()]
+    first = {x: i for i, x in reversed(every)}
+    rows = [(i, x) for x, i in first.items()]  # distinct texts count
     word = re.compile(pii.TERM.replace(r"\p{L}\p{N}", "A-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "0-9"))
     held = {i: set(re.findall(r"[a-z]@x\.test", x)) for i, x in rows}
     n, want = len(rows), {}
@@ -165,8 +169,21 @@ def test_pii_terms_of_whole_texts(spark):
                 if both >= 2 and math.log2(n * both / (df_t * df_e)) / math.log2(n / df_e) >= 0.6:
                     want.setdefault(i, set()).add((m.start(), m.end()))
     got = {r.id: {(s.start, s.end) for s in r.terms} for r in pii.find(df).collect()}
-    assert {i: s for i, s in got.items() if s} == want
-    assert any(rows[0][1][s:e] == "Wolkenstein" for s, e in want[0]) and len(want) >= 4
+    assert {i: s for i, s in got.items() if s} == {i: want[first[x]] for i, x in every if first[x] in want}
+    assert any(every[0][1][s:e] == "Wolkenstein" for s, e in want[0]) and len(want) >= 4
+
+
+def test_copies_disclose_nothing(spark):
+    rnd = random.Random(15)
+    words = "the budget of this office was planned with great care by all who had a part in it and then sent on to others".split()
+    text = " ".join(rnd.choice(words) for _ in range(80)) + " Contact Maria Delgado about the budget at m.d@x.org today " + " ".join(rnd.choice(words) for _ in range(80))
+    near = text.replace("budget", "plan", 1)
+    rest = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(40)]
+    for pair in ([text, text], [text, near]):
+        df = spark.createDataFrame(list(enumerate([*pair, *rest])), "doc_id long, text string")
+        assert not any(r.terms for r in pii.find(df).collect())
+    apart = spark.createDataFrame(list(enumerate([text, "Yesterday Delgado wrote from m.d@x.org again", *rest])), "doc_id long, text string")
+    assert [s.action for s in pii.find(apart).where("id = 1").first().terms] == ["remove"]
 
 
 def test_secrets_base(marked, empty):

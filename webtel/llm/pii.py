@@ -6,7 +6,12 @@ document frequencies over all documents, a term's disclosure of an entity is its
 pointwise mutual information with it as a share of the entity's own
 information, PMI(t; e) / IC(e), which is 1 when the term occurs only with the
 entity. Terms above the upper threshold are removed, terms above the lower
-one generalised. All of it is DataFrame functions.
+one generalised.
+
+All counts are of distinct texts, however often they repeat. Near copies
+prove nothing either: a pair counts only if its texts differ in each of
+three keys, the least and the largest hash of their runs of five words and
+the words around the entity. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webtel.llm.common import small_side, text_key, without
 from webtel.llm.spans import located, matches, named
 from webtel.session import Stages
 
@@ -65,23 +71,38 @@ PATTERNS = {
 
 
 def with_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, t, email, ip, card, phone): a row for each row of `docs`, with arrays of located spans."""
+    """(id, tid, t, email, ip, card, phone): a row for each row of `docs`, with arrays of located spans; tid is the key of the text."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    base = base.withColumn("rid", F.xxhash64("id", "t"))
     t = F.col("t")
+    base = base.withColumn("tid", text_key(t))
     found = base.select("*", *[matches(t, p, test(t) if test else None).alias(f"m_{k}") for k, (p, test, _) in PATTERNS.items()])
-    return found.select("id", "rid", "t", *[located(t, p, F.col(f"m_{k}"), keep).alias(k) for k, (p, _, keep) in PATTERNS.items()])
+    return found.select("id", "tid", "t", *[located(t, p, F.col(f"m_{k}"), keep).alias(k) for k, (p, _, keep) in PATTERNS.items()])
+
+
+def _entities(texts: DataFrame) -> DataFrame:
+    """(tid, entity, around): the distinct entities of each text, and a hash of the 30 characters on either side of the first."""
+
+    def keys(k: str) -> Column:
+        near = lambda s: F.xxhash64(F.substring("t", s["start"] - 29, F.least(s["start"], F.lit(30))), F.substring("t", s["end"] + 1, F.lit(30)))
+        return F.transform(F.col(k), lambda s: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), near(s).alias("around")))
+
+    each = texts.select("tid", F.explode(F.concat(*[keys(k) for k in KINDS])).alias("e")).select("tid", "e.*")
+    return each.groupBy("tid", "entity").agg(F.min_by("around", "start").alias("around"))
 
 
-def _entities(row: DataFrame) -> DataFrame:
-    """(rid, entity): the distinct entities of each text."""
-    keys = [F.transform(F.col(k), lambda s, k=k: F.xxhash64(F.lit(k), F.lower(s["value"]))) for k in KINDS]
-    return row.select("rid", F.explode(F.concat(*keys)).alias("entity")).distinct()
+def _likeness(t: Column) -> Column:
+    """(low, high): the least and the largest hash of a text's runs of five words, alike in near copies."""
+    words = F.filter(F.split(t, r"[\x20\t-\r]+"), lambda w: w != "")
+    many = F.size(words) >= 5
+    runs = F.when(many, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)])))
+    runs = F.coalesce(runs, F.array(F.xxhash64(words)))
+    return F.struct(F.array_min(runs).alias("low"), F.array_max(runs).alias("high"))
 
 
 def _terms(texts: DataFrame) -> DataFrame:
-    """(rid, term): the distinct terms of each text."""
-    return texts.select("rid", F.explode(F.array_distinct(F.transform(matches(F.col("t"), TERM), F.lower))).alias("term"))
+    """(tid, low, high, term): the distinct terms of each text."""
+    terms = F.explode(F.array_distinct(F.transform(matches(F.col("t"), TERM), F.lower))).alias("term")
+    return texts.select("tid", "low", "high", terms)
 
 
 def _joined(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, keep: Column | None = None) -> DataFrame:
@@ -98,10 +119,13 @@ def _joined(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, keep: C
     return frequent.unionByName(others)
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): the number of documents that hold each word of three letters or more."""
-    words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))
-    return docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df): the number of distinct texts that hold each word of three letters or more; `copies` has (tid, n) of repeated texts."""
+    t = F.col(text_col).cast("string")
+    words = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))
+    base = docs.select(t.alias("t"), text_key(F.coalesce(t, F.lit(""))).alias("tid")).join(small_side(copies, 48), "tid", "left")
+    each = base.select(F.explode(words).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("part")).where(F.length("term") >= 3)
+    return each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df"))
 
 
 def most_df(df_e: Column, n_docs: int, generalise: float) -> Column:
@@ -110,46 +134,53 @@ def most_df(df_e: Column, n_docs: int, generalise: float) -> Column:
     return df_e * F.pow(n / df_e, F.lit(1.0 - generalise)) * (1 + 1e-9)
 
 
-def disclosing(pairs: DataFrame, n_docs: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, both, action) of `pairs` (rid, entity, df_e, term, df); no action below the lower threshold."""
-    j = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
-    information = F.log2(F.lit(float(max(n_docs, 2))) / F.col("df_e"))
-    pmi = F.log2(F.lit(float(max(n_docs, 2))) * F.col("both") / (F.greatest("df", "both") * F.col("df_e")))
-    share = F.when((information > 0) & (F.col("both") >= support), pmi / information)
+def disclosing(pairs: DataFrame, n_texts: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, term, both, action) of `pairs` (tid, low, high, around, entity, df_e, term, df); no action below the lower threshold."""
+    apart = [F.min(c) != F.max(c) for c in ("low", "high", "around")]
+    j = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df").alias("df"), (apart[0] & apart[1] & apart[2]).alias("apart"))
+    n = F.lit(float(max(n_texts, 2)))
+    information = F.log2(n / F.col("df_e"))
+    pmi = F.log2(n * F.col("both") / (F.greatest("df", "both") * F.col("df_e")))
+    share = F.when((information > 0) & (F.col("both") >= support) & (F.col("apart") | (F.lit(support) < 2)), pmi / information)
     return j.select("entity", "term", "both", F.when(share >= remove, "remove").when(share >= generalise, "generalise").alias("action"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """One row per row of `docs`: (id, rid, the four arrays of base spans, terms).
+    """One row per row of `docs`: (id, tid, the four arrays of base spans, terms).
 
     `terms` has structs (start, end, action). A null or empty text has no
-    spans. Ids may be null or repeat; equal rows get equal results. An empty
-    table gives an empty result; other columns are ignored. Only entities of
-    fewer than `support` documents, and pairs whose term is too frequent for
+    spans; texts of any length are read as a whole. Ids may be null or
+    repeat, and equal texts get equal results. An empty table gives an empty
+    result; other columns, whatever their names, are ignored. Only entities
+    of fewer than `support` texts, and pairs whose term is too frequent for
     the lower threshold, go before pairs are counted: they cannot reach it.
     """
     stages = Stages(docs.sparkSession, "pii")
     rows = with_entities(docs, id_col, text_col)
-    found = stages.write(rows.select("id", "rid", *KINDS, F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, F.col("t")).alias("t")), "entities")
-    n_docs = found.count()
-    entities = stages.write(_entities(found.where("t is not null")), "held")
+    found = stages.write(rows.select("id", "tid", *KINDS, F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, F.col("t")).alias("t")), "entities")
+    copies = stages.write(found.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    n_texts = found.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    whole = stages.write(found.where("t is not null").drop("id").dropDuplicates(["tid"]), "whole")
+    entities = stages.write(_entities(whole), "held")
     held = stages.write(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= support), "entity_counts")
     linked = stages.write(_joined(entities, held, ["entity"], "df_e"), "linked")
-    texts = found.where("t is not null").select("rid", "t").join(linked.select("rid").distinct(), "rid", "left_semi")
-    texts = stages.write(texts.dropDuplicates(["rid"]), "texts")
-    frequency = stages.write(document_frequency(docs, text_col), "frequency")
-    widest = held.agg(F.max(most_df(F.col("df_e"), n_docs, generalise))).first()[0] or 0.0
+    texts = whole.select("tid", "t").join(linked.select("tid").distinct(), "tid", "left_semi")
+    texts = stages.write(texts.select("tid", "t", _likeness(F.col("t")).alias("x")).select("tid", "t", "x.*"), "texts")
+    frequency = stages.write(document_frequency(docs, copies, text_col), "frequency")
+    widest = held.agg(F.max(most_df(F.col("df_e"), n_texts, generalise))).first()[0] or 0.0
     terms = _joined(stages.write(_terms(texts), "terms"), frequency, ["term"], "df", F.col("df") <= widest)
-    pairs = stages.write(terms.join(linked, "rid").where(F.col("df") <= most_df(F.col("df_e"), n_docs, generalise)), "pairs")
-    counted = stages.write(disclosing(pairs, n_docs, support, generalise, remove), "revealing")
-    hits = _joined(pairs.select("rid", "entity", "term"), counted, ["entity", "term"], "both", F.col("action").isNotNull())
+    pairs = stages.write(terms.join(linked, "tid").where(F.col("df") <= most_df(F.col("df_e"), n_texts, generalise)), "pairs")
+    counted = stages.write(disclosing(pairs, n_texts, support, generalise, remove), "revealing")
+    hits = _joined(pairs.select("tid", "entity", "term"), counted, ["entity", "term"], "both", F.col("action").isNotNull())
     removed = F.collect_set(F.when(F.col("action") == "remove", F.col("term")))
-    marks = hits.groupBy("rid").agg(F.collect_set("term").alias("revealing"), removed.alias("removed"))
+    marks = hits.groupBy("tid").agg(F.collect_set("term").alias("revealing"), removed.alias("removed"))
     t = F.col("t")
     spans = located(t, TERM, matches(t, TERM), lambda m: F.array_contains("revealing", F.lower(m)))
     action = lambda s: F.when(F.array_contains("removed", F.lower(s["value"])), "remove").otherwise("generalise")
-    per_doc = texts.join(marks, "rid").select("rid", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action"))).alias("terms"))
-    out = found.drop("t").join(per_doc, "rid", "left")
+    per_text = texts.join(marks, "tid").select("tid", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action"))).alias("terms"))
+    per_text = stages.write(per_text, "spans")
+    stages.keep_only("entities", "spans")
+    out = found.drop("t").join(per_text, "tid", "left").select("id", "tid", *KINDS, "terms")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
 
 
@@ -167,8 +198,11 @@ def all_spans() -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """`docs` with a column `sanitised`: entities as [KIND], generalised terms as [TERM], removed terms cut.
 
-    Of overlapping spans the one that starts first stays, then the longer.
+    Of overlapping spans the one that starts first stays, then the longer. A
+    null text gives an empty one; a column `sanitised` that `docs` has is
+    replaced; other columns and the odd cases are as in find.
     """
+    docs = without(docs, "sanitised")
     found = find(docs, id_col, text_col, **thresholds)
 
     def mark(c: str, put) -> Column:
@@ -179,7 +213,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     parts = [mark(k, label(k)) for k in KINDS]
     parts.append(mark("terms", lambda s: F.when(s["action"] == "remove", "").otherwise("[TERM]")))
-    marks = found.select(F.col("rid").alias("_webtel_rid"), F.array_sort(F.concat(*parts)).alias("_webtel_marks")).dropDuplicates(["_webtel_rid"])
+    marks = found.select(F.col("tid").alias("_webtel_tid"), F.array_sort(F.concat(*parts)).alias("_webtel_marks")).where("size(_webtel_marks) > 0").dropDuplicates(["_webtel_tid"])
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def step(acc, m):
@@ -188,5 +222,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.struct(F.when(free, -m["neg"]).otherwise(acc["at"]).alias("at"), F.when(free, text).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("_webtel_marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    keyed = docs.withColumn("_webtel_rid", F.xxhash64(F.col(id_col).cast("long"), t))
-    return keyed.join(marks, "_webtel_rid", "left").withColumn("sanitised", done).drop("_webtel_rid", "_webtel_marks")
+    keyed = docs.withColumn("_webtel_tid", text_key(t))
+    return keyed.join(marks, "_webtel_tid", "left").withColumn("sanitised", F.coalesce(done, t)).drop("_webtel_tid", "_webtel_marks")
