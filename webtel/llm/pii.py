@@ -91,12 +91,18 @@ def _entities(texts: DataFrame) -> DataFrame:
 
 
 def _likeness(t: Column) -> Column:
-    """(low, high): the least and the largest hash of a text's runs of five words, alike in near copies."""
-    words = F.filter(F.split(t, r"[\x20\t-\r]+"), lambda w: w != "")
-    many = F.size(words) >= 5
-    runs = F.when(many, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)])))
-    runs = F.coalesce(runs, F.array(F.xxhash64(words)))
-    return F.struct(F.array_min(runs).alias("low"), F.array_max(runs).alias("high"))
+    """(low, high): the least and the largest hash of a text's runs of five words, alike in near copies; in one pass."""
+    none, before = F.lit(None).cast("long"), [f"w{i}" for i in range(4)]
+
+    def step(acc, w):
+        here = F.xxhash64(w)
+        run = F.when(acc["w0"].isNotNull(), F.xxhash64(*[acc[c] for c in before], here))
+        moved = [acc[c].alias(to) for to, c in zip(before, before[1:], strict=False)]
+        return F.struct(*moved, here.alias("w3"), F.least(acc["low"], run).alias("low"), F.greatest(acc["high"], run).alias("high"), acc["whole"].bitwiseXOR(here).alias("whole"))
+
+    start = F.struct(*[none.alias(c) for c in (*before, "low", "high")], F.lit(0).cast("long").alias("whole"))
+    done = lambda a: F.struct(F.coalesce(a["low"], a["whole"]).alias("low"), F.coalesce(a["high"], a["whole"]).alias("high"))
+    return F.aggregate(F.split(t, r"[\x20\t-\r]+"), start, step, done)
 
 
 def _terms(texts: DataFrame) -> DataFrame:
