@@ -187,3 +187,9 @@ def test_masking_never_lengthens(model, s):
 @given(st.text(max_size=300))
 def test_parser_never_raises(s):
     html.structure(s, "https://x.test/")
+
+
+def test_hostile_pages(spark):
+    page = '<link rel="canonical" href="http://["><script type="application/ld+json">' + "[" * 100000 + "</script><title>t</title>"
+    got = html.structure(page, "https://a.example/")
+    assert got["title"] == "t" and got["canonical"] is None and got["jsonld"] == []

@@ -57,6 +57,14 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+def absolute(base: str | None, href: str) -> str | None:
+    """`href` resolved against a base; null where either is no URL."""
+    try:
+        return urljoin(base or "", href)
+    except ValueError:
+        return None
+
+
 def parse(html: str) -> Node:
     b = _Builder()
     b.feed(html)
@@ -144,7 +152,7 @@ JSONLD = ("@type", "@id", "url", "name", "headline", "datePublished", "dateModif
 def _jsonld(text: str) -> list[dict]:
     try:
         found = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     todo, out = (found if isinstance(found, list) else [found]), []
     for item in todo:
@@ -169,7 +177,7 @@ def structure(html: str | None, url: str | None) -> dict | None:
             lang = n.attrs.get("lang", "")
             out["language"] = lang if 0 < len(lang) <= 10 else None
         elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href"):
-            out["canonical"] = out["canonical"] or urljoin(url or "", n.attrs["href"])
+            out["canonical"] = out["canonical"] or absolute(url, n.attrs["href"])
         elif n.tag == "meta":
             name, content = n.attrs.get("name", "").lower(), n.attrs.get("content", "")
             if name == "robots":
@@ -238,7 +246,7 @@ def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url")
             if what == "text":
                 return node.text()
             v = node.attrs.get(what)
-            return urljoin(base or "", v) if what == "href" and v is not None else v
+            return absolute(base, v) if what == "href" and v is not None else v
 
         def one(text, base):
             out = []

@@ -77,7 +77,7 @@ def flatten_json(texts: pd.Series) -> pd.Series:
     def one(t):
         try:
             return list(leaves(json.loads(t), ""))
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return texts.map(one)

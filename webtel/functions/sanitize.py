@@ -31,7 +31,7 @@ def _value(p: Column) -> Column:
 
 def _bad_param(p: Column) -> Column:
     v = F.coalesce(F.try_url_decode(_value(p)), _value(p))
-    unsafe = (F.length(v) > 18) & ~v.rlike("^[a-z-_]+$")
+    unsafe = (F.length(v) >= 18) & ~v.rlike("^[a-z-_]+$")
     return F.when(unsafe, text.suspicious(v).isNotNull()).otherwise(F.lit(False))
 
 

@@ -118,7 +118,11 @@ def learned_addresses(answers: DataFrame, now: Column, host: str = "host", ip: s
     return newest.withColumn("local", urls.is_local_ip(F.col(ip)))
 
 
-def private_host(host: Column, known_local: Column, suffixes: tuple[str, ...] = ("local", "localhost", "internal", "intranet", "lan", "home", "corp", "test")) -> Column:
+#: Domain suffixes of hosts that are not public.
+PRIVATE_SUFFIXES = ("local", "internal", "intranet", "private", "corp", "home", "lan", "mail", "localhost", "invalid", "test", "arpa", "onion", "alt")
+
+
+def private_host(host: Column, known_local: Column, suffixes: tuple[str, ...] = PRIVATE_SUFFIXES) -> Column:
     """Host names of private networks: by suffix, by learned address, or an address itself; else public."""
     by_name = reduce(lambda a, s: a | (host == s) | F.endswith(host, F.lit("." + s)), suffixes, F.lit(False))
     return F.coalesce(by_name | known_local | urls.is_local_ip(host), F.lit(False))

@@ -145,5 +145,7 @@ def visits_trusted(cookies: DataFrame, visits: DataFrame, unused: str = "2 minut
     v = v.withColumn("slot", F.explode(F.array(F.floor(F.unix_seconds(F.col("visit_ts").cast("timestamp")) / span), F.floor(F.unix_seconds(F.col("visit_ts").cast("timestamp")) / span) + 1)))
     c = cookies.withColumn("slot", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span))
     limit = F.when(F.col("used"), F.col("visit_ts") + F.expr(f"INTERVAL '{used}'")).otherwise(F.col("visit_ts") + F.expr(f"INTERVAL '{unused}'"))
-    hit = c.join(v, ["source", "target", "slot"]).where((F.col("ts") >= F.col("visit_ts")) & (F.col("ts") <= limit))
-    return hit.select(*cookies.columns).distinct()
+    v = v.withColumn("visit_end", limit).select(*[F.col(c).alias(f"_{c}") for c in ("source", "target", "slot", "visit_ts", "visit_end")])
+    same = [F.col(k) == F.col(f"_{k}") for k in ("source", "target", "slot")]
+    hit = c.join(v, [*same, F.col("ts") >= F.col("_visit_ts"), F.col("ts") <= F.col("_visit_end")], "left_semi")
+    return hit.select(*cookies.columns)
