@@ -99,11 +99,11 @@ def key_stats(tokens: DataFrame) -> DataFrame:
 
 
 def key_messages(keys: DataFrame, most_tokens: int = 512) -> DataFrame:
-    """Tokens of a site in one message, unsafe ones apart for each tracker and key; at most so many of least hash."""
+    """Tokens of a site in messages of at most so many, unsafe ones apart for each tracker and key; none is left out."""
     apart = F.when(~F.col("safe"), F.concat_ws(":", "tracker", "key")).otherwise("")
-    order = Window.partitionBy("site", "apart").orderBy(F.xxhash64("token"), "token", "tracker", "key")
-    k = keys.withColumn("apart", apart).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_tokens)
-    return k.groupBy("site", "apart").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("site", "apart").orderBy("token", "tracker", "key")
+    k = keys.withColumn("apart", apart).withColumn("part", F.floor((F.row_number().over(order) - 1) / most_tokens))
+    return k.groupBy("site", "apart", "part").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.count(F.lit(1)).alias("n")).drop("part")
 
 
 def safe_keys(tokens: DataFrame, now: Column, days: int = 7, more_than: int = 4) -> DataFrame:

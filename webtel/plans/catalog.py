@@ -264,8 +264,10 @@ def key_stats(spark, d):
 
 
 @query(f"""
-WITH k AS (SELECT event_type AS tracker, user_id AS site, {_K} AS token, arg_max(value < 50, (ts, event_id)) AS safe FROM events GROUP BY ALL)
-SELECT site, CASE WHEN safe THEN '' ELSE tracker || ':k' END AS apart, md5(string_agg(token, ',' ORDER BY token)) AS tokens, count(*)::BIGINT AS n FROM k GROUP BY ALL
+WITH k AS (SELECT event_type AS tracker, user_id AS site, {_K} AS token, arg_max(value < 50, (ts, event_id)) AS safe FROM events GROUP BY ALL),
+a AS (SELECT *, CASE WHEN safe THEN '' ELSE tracker || ':k' END AS apart FROM k),
+m AS (SELECT *, (row_number() OVER (PARTITION BY site, apart ORDER BY token, tracker) - 1) // 512 AS part FROM a)
+SELECT site, apart, md5(string_agg(token, ',' ORDER BY token)) AS tokens, count(*)::BIGINT AS n FROM m GROUP BY site, apart, part
 """)
 def key_messages(spark, d):
     return requests.key_messages(requests.key_stats(_tokens(spark, d))).withColumn("tokens", F.md5(F.array_join("tokens", ",")))
