@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webtel.functions import urls
+from webtel.functions import sanitize, urls
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -24,34 +24,47 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        """Elements below this one in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    def text(self, gone: frozenset | set = frozenset()) -> str:
+        """The text below, but for that of elements that are gone."""
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c not in gone:
+                todo.extend(reversed(c.children))
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
-        self.depth = 0
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
-        if tag not in VOID and self.depth < 400:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in VOID:
+            self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        up = 0
-        while node.parent is not None and node.tag != tag:
-            node, up = node.parent, up + 1
-        if node.parent is not None:
-            self.at, self.depth = node.parent, self.depth - up - 1
+        """Closes the innermost open element of that name and all inside; without one, nothing."""
+        if not self.open.get(tag):
+            return
+        while True:
+            closed, self.at = self.at, self.at.parent
+            self.open[closed.tag] -= 1
+            if closed.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -113,24 +126,27 @@ class Selector:
                     return False
         return True
 
-    def _matches(self, node: Node | None, steps) -> bool:
-        if not steps:
-            return True
-        if node is None or not self._fits(node, steps[-1]):
-            return False
-        if len(steps) == 1:
-            return True
-        up = node.parent
-        while up is not None:
-            if self._matches(up, steps[:-1]):
-                return True
-            if steps[-1][0]:
-                return False
-            up = up.parent
-        return False
-
-    def select(self, root: Node):
-        return (n for n in root.walk() if any(self._matches(n, p) for p in self.paths))
+    def _reached(self, node: Node, steps, parent: int, above: int) -> int:
+        """Bits of the steps that end at a node, from those that end at its parent and at any ancestor."""
+        bits = 0
+        for i, step in enumerate(steps):
+            if (i == 0 or (parent if step[0] else above) >> (i - 1) & 1) and self._fits(node, step):
+                bits |= 1 << i
+        return bits
+
+    def select(self, root: Node, gone: frozenset | set = frozenset()):
+        """Elements below `root` that fit, in document order, from one walk; those that are gone are left out with all inside."""
+        none = (0,) * len(self.paths)
+        todo = [(c, none, none) for c in reversed(root.children) if isinstance(c, Node)]
+        while todo:
+            node, parent, above = todo.pop()
+            if node in gone:
+                continue
+            own = tuple(self._reached(node, p, u, a) for p, u, a in zip(self.paths, parent, above, strict=True))
+            if any(bits >> (len(p) - 1) & 1 for bits, p in zip(own, self.paths, strict=True)):
+                yield node
+            below = tuple(a | bits for a, bits in zip(above, own, strict=True))
+            todo.extend((c, own, below) for c in reversed(node.children) if isinstance(c, Node))
 
 
 STRUCTURE = T.StructType(
@@ -198,82 +214,240 @@ def page_structure(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=STRUCTURE.names)
 
 
+def _prunes(rule: dict) -> list[tuple[str, str]]:
+    """(first or all, selector) of what is removed before; a bare selector means all."""
+    return [("all", p) if isinstance(p, str) else next(iter(p.items())) for p in rule.get("prune", [])]
+
+
+def _inputs(rule: dict) -> dict[str, tuple[str, dict]]:
+    """selector -> (first or all, {field: alternatives of (relative selector or null, attribute, transforms)})."""
+
+    def alternatives(field):
+        if isinstance(field, (tuple, list)):
+            return [(None, field[0], list(field[1]))]
+        return [(f.get("select"), f["attr"], list(f.get("transform", []))) for f in field.get("firstMatch", [field])]
+
+    out = {}
+    for selector, given in rule["input"].items():
+        how = next((h for h in ("first", "all") if set(given) == {h}), None)
+        out[selector] = (how or "all", {k: alternatives(f) for k, f in (given[how] if how else given).items()})
+    return out
+
+
 def validate_rules(rules: dict, version: int = 1) -> None:
-    """Refuse rules that are too new, or have unknown transforms or selectors."""
+    """Refuse rules that are too new, or have unknown transforms, selectors or sources."""
     if rules.get("_meta", {}).get("minVersion", 0) > version:
         raise ValueError("the rules need a newer version")
     for name, rule in rules.items():
         if name == "_meta":
             continue
-        for sel in rule.get("prune", []):
+        for how, sel in _prunes(rule):
+            if how not in ("first", "all"):
+                raise ValueError(f"unknown way to prune: {how}")
             Selector(sel)
-        for sel, fields in rule["input"].items():
+        inputs = _inputs(rule)
+        for sel, (_, fields) in inputs.items():
             Selector(sel)
-            for key, (_, steps) in fields.items():
-                for step in steps:
-                    if step[0] not in TRANSFORMS:
-                        raise ValueError(f"unknown transform {step[0]} of {key}")
+            for key, ways in fields.items():
+                for inner, _, steps in ways:
+                    if inner:
+                        Selector(inner)
+                    for step in steps:
+                        if step[0] not in TRANSFORMS:
+                            raise ValueError(f"unknown transform {step[0]} of {key}")
+        for action, schema in rule.get("output", {}).items():
+            for field in schema["fields"]:
+                source = field.get("source")
+                if source is not None and (source not in inputs or inputs[source][0] == "first" and field["key"] not in inputs[source][1]):
+                    raise ValueError(f"action {action} has an unknown source for {field['key']}")
+
+
+def _json(c, path: str, objects: bool = False):
+    """The value at a dotted path of a JSON text; empty if there is none, or it is no scalar and only scalars are wanted."""
+    found = F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path.split(".")))
+    return F.coalesce(found if objects else F.when(~found.rlike(r"^\s*[\[{]"), found), F.when(c.isNotNull(), ""))
 
 
-#: Transforms of extracted columns: name -> column builder.
+def _masked(c, **how):
+    return sanitize.sanitize(c, **how)["safe_url"]
+
+
+#: Transforms of extracted columns: name -> column builder. They keep null as null.
 TRANSFORMS = {
     "trim": lambda c: F.trim(c),
-    "require_url": lambda c: F.when(c.rlike("^https?://"), c),
+    "require_url": lambda c: F.when(urls.part(c, "scheme").isNotNull(), c),
     "filter_exact": lambda c, *allowed: F.when(c.isin(*allowed), c),
     "split": lambda c, sep, i: F.when(F.contains(c, F.lit(sep)), F.split_part(c, F.lit(sep), F.lit(i + 1))),
     "try_split": lambda c, sep, i: F.coalesce(F.when(F.split_part(c, F.lit(sep), F.lit(i + 1)) != "", F.split_part(c, F.lit(sep), F.lit(i + 1))), c),
     "query_param": lambda c, name: urls.query_param(c, name),
     "strip_fragment": lambda c: F.substring_index(c, "#", 1),
+    "remove_params": lambda c, *names: F.when(urls.part(c, "scheme").isNotNull(), urls.remove_params(c, list(names))),
+    "decode_component": lambda c: urls.decode_component(c),
+    "try_decode_component": lambda c: F.coalesce(urls.decode_component(c), c),
+    "json": _json,
+    "mask_url": lambda c: _masked(c),
+    "strict_mask_url": lambda c: _masked(c, is_id=lambda p: F.length(p) >= 12),
+    "relaxed_mask_url": lambda c: _masked(c, preserve_path=True),
 }
 
+_RAW = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("rule", T.StringType()),
+            T.StructField("selector", T.StringType()),
+            T.StructField("position", T.IntegerType()),
+            T.StructField("raw", T.MapType(T.StringType(), T.StringType())),
+        ]
+    )
+)
 
-def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url") -> DataFrame:
-    """(rule, selector, position, record): a row for each node that a rule's selector finds, in document order.
 
-    A rule has `prune` (selectors to remove first) and `input`: selector ->
-    {field: (attribute or 'text', [(transform, args...)])}. The page is
-    parsed once; transforms are columns. A null in a chain stays null.
+def _way(key: str, i: int) -> str:
+    return f"{key}#{i}"
+
+
+def _raw(rules: dict):
+    """Pandas UDF (html, url) -> what the selectors of all rules find, before any transform. A page is parsed once.
+
+    Of a field with several alternatives only the first that matches is there, under its number.
     """
-    validate_rules(rules)
-    plans = {k: r for k, r in rules.items() if k != "_meta"}
-    item = T.StructType([T.StructField("rule", T.StringType()), T.StructField("selector", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("raw", T.MapType(T.StringType(), T.StringType()))])
+    plans = {k: (_prunes(r), _inputs(r)) for k, r in rules.items() if k != "_meta"}
 
-    @F.pandas_udf(T.ArrayType(item))
+    @F.pandas_udf(_RAW)
     def run(texts: pd.Series, bases: pd.Series) -> pd.Series:
-        ready = {k: ([Selector(s) for s in r.get("prune", [])], {s: (Selector(s), f) for s, f in r["input"].items()}) for k, r in plans.items()}
-
-        def value(node, what, base):
+        compiled: dict[str, Selector] = {}
+
+        def select(text, root, gone):
+            if text not in compiled:
+                compiled[text] = Selector(text)
+            return compiled[text].select(root, gone)
+
+        def value(node, inner, what, base, gone):
+            if inner:
+                node = next(select(inner, node, gone), None)
+            if node is None:
+                return None
             if what == "text":
-                return node.text()
+                return node.text(gone)
             v = node.attrs.get(what)
             return absolute(base, v) if what == "href" and v is not None else v
 
         def one(text, base):
             out = []
-            for rule, (prune, inputs) in ready.items():
-                root = parse(text or "")
-                for p in prune:
-                    for n in list(p.select(root)):
-                        n.parent.children.remove(n)
-                for name, (selector, fields) in inputs.items():
-                    for i, n in enumerate(selector.select(root)):
-                        raw = {k: value(n, what, base) for k, (what, _) in fields.items()}
-                        out.append({"rule": rule, "selector": name, "position": i, "raw": {k: v for k, v in raw.items() if v is not None}})
+            root = parse(text or "")
+            for rule, (prunes, inputs) in plans.items():
+                gone: set = set()
+                for how, p in prunes:
+                    hits = select(p, root, gone)
+                    gone |= set(hits) if how == "all" else {n for n in [next(hits, None)] if n is not None}
+                for name, (how, fields) in inputs.items():
+                    for at, node in enumerate(select(name, root, gone)):
+                        raw = {}
+                        for key, ways in fields.items():
+                            for i, (inner, what, _) in enumerate(ways):
+                                v = value(node, inner, what, base, gone)
+                                if v is not None:
+                                    raw[_way(key, i)] = v
+                                    break
+                        out.append({"rule": rule, "selector": name, "position": at, "raw": raw})
+                        if how == "first":
+                            break
             return out
 
         return pd.Series([one(t, b) for t, b in zip(texts, bases, strict=True)])
 
-    rows = pages.withColumn("_x", F.explode(run(html, url))).select(*[c for c in pages.columns if c != html], "_x.*")
-    values = []
-    for rule, r in plans.items():
-        for sel, fields in r["input"].items():
-            for key, (_, steps) in fields.items():
-                c = F.try_element_at("raw", F.lit(key))
-                for name, *args in steps:
-                    c = TRANSFORMS[name](c, *args)
-                values.append((key, (F.col("rule") == rule) & (F.col("selector") == sel), c))
-    keys = sorted({k for k, _, _ in values})
-    for key in keys:
-        col = F.coalesce(*[F.when(cond, c) for k, cond, c in values if k == key])
-        rows = rows.withColumn(key, col)
-    return rows.drop("raw")
+    return run
+
+
+def _field(raw, key: str, ways: list):
+    """A field after its transforms; a null in a chain stays null."""
+    out = []
+    for i, (_, _, steps) in enumerate(ways):
+        c = F.try_element_at(raw, F.lit(_way(key, i)))
+        for name, *args in steps:
+            c = TRANSFORMS[name](c, *args)
+        out.append(c)
+    return F.coalesce(*out)
+
+
+def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url") -> DataFrame:
+    """(rule, selector, position, fields): a row for each node that a rule's selector finds, in document order.
+
+    A rule has `prune` (selectors to remove first: all hits, or {"first":
+    selector}) and `input`: selector -> {field: (attribute or 'text',
+    [(transform, args...)])}, for all hits or as {"first": {...}} for the
+    first. A field may also be {"select": inside the hit, "attr": ...,
+    "transform": [...]}, or {"firstMatch": [...]} of such. A page is parsed
+    once; transforms are columns.
+    """
+    validate_rules(rules)
+    rows = pages.withColumn("_x", F.explode(_raw(rules)(html, url))).select(*[c for c in pages.columns if c != html], "_x.*")
+    values: dict[str, list] = {}
+    for rule, r in rules.items():
+        if rule == "_meta":
+            continue
+        for sel, (_, fields) in _inputs(r).items():
+            for key, ways in fields.items():
+                here = (F.col("rule") == rule) & (F.col("selector") == sel)
+                values.setdefault(key, []).append(F.when(here, _field(F.col("raw"), key, ways)))
+    return rows.withColumns({k: F.coalesce(*values[k]) for k in sorted(values)}).drop("raw")
+
+
+def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = None, html: str = "html", url: str = "url") -> DataFrame:
+    """(rule, action, payload, deduplicate_by): the messages that the `output` of rules makes of each page.
+
+    `output`: action -> {"fields": [{"key", "source", "optional",
+    "requiredKeys"}], "omitIfExistsAny": [actions], "deduplicateBy": text}.
+    A field of a `first` source is a value, of an `all` source a map of
+    numbers to records that have all required keys (by default all), and
+    without a source a value of the context (name -> column of `pages`).
+    Empty counts as absent. A message lacks no field unless it is optional;
+    context values that are absent are left out. Messages are built inside
+    the row of their page, so nothing is shuffled.
+    """
+    validate_rules(rules)
+    context = context or {}
+    present = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    every = lambda conditions: F.array_min(F.array(F.lit(True), *conditions))
+    found = F.col("_x")
+    made = []
+    for rule, r in rules.items():
+        if rule == "_meta":
+            continue
+        inputs = _inputs(r)
+        of_rule = []
+        for action, schema in r.get("output", {}).items():
+            fields, needed = [], []
+            for f in schema["fields"]:
+                key, source, optional = f["key"], f.get("source"), f.get("optional", False)
+                if source is None:
+                    value = F.col(f"`{context[key]}`").cast("string") if key in context else F.lit(None).cast("string")
+                    fields.append(F.when(present(value), value).alias(key))
+                    continue
+                how, inner = inputs[source]
+                hits = F.filter(found, lambda x, rule=rule, source=source: (x["rule"] == rule) & (x["selector"] == source))
+                if how == "first":
+                    value = _field(F.get(hits, F.lit(0))["raw"], key, inner[key])
+                    ok = present(value)
+                else:
+                    records = F.transform(hits, lambda x, inner=inner: F.struct(*[_field(x["raw"], k, w).alias(k) for k, w in inner.items()]))
+                    must = f.get("requiredKeys", list(inner))
+                    records = F.filter(records, lambda x, must=must: every([present(x[k]) for k in must]))
+                    ok = F.size(records) > 0
+                    numbers = F.transform(records, lambda _, i: i.cast("string"))
+                    value = F.map_from_arrays(numbers, records)
+                fields.append(value.alias(key))
+                if not optional:
+                    needed.append(ok)
+            body = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}) if fields else F.lit("{}")
+            row = F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"), body.alias("payload"), F.lit(schema.get("deduplicateBy", "")).alias("deduplicate_by"))
+            of_rule.append((F.when(every(needed), row), schema.get("omitIfExistsAny", []), action))
+        if not of_rule:
+            continue
+        there = {action: m for m, _, action in of_rule}
+        for m, omit, _ in of_rule:
+            redundant = F.array_max(F.array(F.lit(False), *[there[a].isNotNull() for a in omit if a in there]))
+            made.append(F.when(~redundant, m))
+    kept = [c for c in pages.columns if c != html]
+    rows = pages.withColumn("_x", _raw(rules)(html, url))
+    return rows.select(*kept, F.explode(F.array_compact(F.array(*made))).alias("_m")).select(*kept, "_m.*")

@@ -13,18 +13,30 @@ PARTS = ("scheme", "user", "password", "host", "port", "path", "search", "fragme
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.mx", "com.ar", "co.in", "co.kr", "com.tr", "com.cn", "com.tw", "co.za", "github.io", "blogspot.com")
 
 
+_MARK = "\0"
+
+
+def _fields(url: Column) -> Column:
+    """All parts by one run of the pattern, as an array behind an empty entry; a malformed URL is its only entry."""
+    marked = F.regexp_replace(F.replace(url, F.lit(_MARK), F.lit("%00")), PATTERN, "".join(f"{_MARK}${i + 1}" for i in range(len(PARTS))))
+    return F.split(marked, _MARK)
+
+
 def part(url: Column, name: str) -> Column:
-    """One part of a URL; empty if absent, null if the URL is null or malformed."""
-    found = F.regexp_extract(url, PATTERN, PARTS.index(name) + 1)
+    """One part of a URL; empty if absent, null if the URL is null or malformed.
+
+    Parts of one URL in one projection share the parsed array.
+    """
+    found = F.get(_fields(url), F.lit(PARTS.index(name) + 1))
     if name in ("scheme", "host"):
-        found = F.lower(found)
+        return F.lower(found)
     if name == "path":
-        found = F.when(found == "", "/").otherwise(found)
-    return F.when(url.rlike(PATTERN), found)
+        return F.when(found == "", "/").otherwise(found)
+    return found
 
 
 def parts(url: Column) -> Column:
-    return F.when(url.rlike(PATTERN), F.struct(*[part(url, p).alias(p) for p in PARTS]))
+    return F.when(part(url, "scheme").isNotNull(), F.struct(*[part(url, p).alias(p) for p in PARTS]))
 
 
 def is_page(url: Column) -> Column:
@@ -70,27 +82,26 @@ def is_local_ip(ip: Column) -> Column:
     return F.coalesce(v4 | (ip == "::1") | F.lower(ip).rlike("^f[de]"), F.lit(False))
 
 
-def suffix_labels(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """Number of labels of the longest known public suffix."""
-    n = F.lit(1)
-    for s in sorted(suffixes, key=lambda s: s.count(".")):
-        n = F.when((host == s) | F.endswith(host, F.lit("." + s)), s.count(".") + 1).otherwise(n)
-    return n
+def _registrable_pattern(suffixes: tuple[str, ...], depth: int) -> str:
+    """Up to `depth` labels, one label, and a known suffix of several labels or any single one; a bare suffix does not fit.
+
+    The search starts at the left, so the longest known suffix is found.
+    """
+    known = "|".join(s.replace(".", r"\.") for s in suffixes)
+    bare = f"(?!(?:{known})$)" if known else ""
+    more = f"(?:[^.]+\\.){{0,{depth}}}" if depth else ""
+    return rf"(?:^|\.)({more}{bare}[^.]+\.(?:{known}{'|' if known else ''}[^.]+))$"
 
 
 def registrable_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Public suffix and one more label; null for addresses and bare suffixes."""
-    labels = F.split(F.lower(host), r"\.")
-    n = suffix_labels(F.lower(host), suffixes)
-    enough = (F.size(labels) > n) & ~is_ipv4(host) & (host != "")
-    return F.when(enough, F.array_join(F.slice(labels, F.size(labels) - n, n + 1), "."))
+    return F.when(~is_ipv4(host), F.nullif(F.regexp_extract(F.lower(host), _registrable_pattern(suffixes, 0), 1), F.lit("")))
 
 
 def truncate_domain(host: Column, depth: int = 2, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """The registrable domain with at most `depth` further labels; addresses stay whole."""
-    labels = F.split(F.lower(host), r"\.")
-    keep = F.least(F.size(labels), suffix_labels(F.lower(host), suffixes) + 1 + depth)
-    return F.when(is_ipv4(host), host).otherwise(F.array_join(F.slice(labels, F.size(labels) - keep + 1, keep), "."))
+    """The registrable domain with at most `depth` further labels; addresses and bare suffixes stay whole."""
+    found = F.regexp_extract(F.lower(host), _registrable_pattern(suffixes, depth), 1)
+    return F.when(is_ipv4(host), host).when(found == "", F.lower(host)).otherwise(found)
 
 
 def is_third_party(first: Column, other: Column) -> Column:
@@ -110,11 +121,19 @@ def decode_component(c: Column) -> Column:
     return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def decode_repeatedly(c: Column, rounds: int = 4) -> Column:
-    """Decoded until nothing changes, at most `rounds` times; what cannot be decoded stays."""
-    for _ in range(rounds):
-        c = F.coalesce(decode_component(c), c)
-    return c
+def decode_repeatedly(c: Column) -> Column:
+    """Decoded until nothing changes; what cannot be decoded stays.
+
+    Each round that changes a text makes it shorter by two characters or more, which bounds the rounds.
+    """
+    state = lambda t, done: F.struct(t.alias("text"), done.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        new = F.coalesce(decode_component(s["text"]), s["text"])
+        return F.when(s["done"], s).otherwise(state(new, new == s["text"]))
+
+    rounds = F.sequence(F.lit(0), F.coalesce(F.length(c), F.lit(0)).cast("int"))
+    return F.aggregate(rounds, state(c, c.isNull() | ~F.contains(c, F.lit("%"))), step, lambda s: s["text"])
 
 
 def search_landing(url: Column, rules: list[tuple[str, str, str]]) -> Column:

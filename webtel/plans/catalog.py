@@ -173,7 +173,7 @@ r AS (SELECT *, CASE
   WHEN length(host) > 50 THEN 'D:long host' WHEN regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN 'D:address'
   WHEN length(url) > 800 THEN 'T:long url' WHEN length(search) > 150 THEN 'T:long search'
   WHEN len(string_split(search, '&')) > 8 THEN 'T:many parameters'
-  WHEN regexp_matches(url, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{{2,}}') THEN 'T:email'
+  WHEN regexp_matches(url, '(?i)[a-z0-9_@-]+(@|%40|%(25)+40)[a-z0-9_-]+\\.[a-z0-9_-]') THEN 'T:email'
   WHEN len(string_split(path, '/')) > 8 THEN 'T:many path parts'
   WHEN len(list_filter(string_split(path, '/'), lambda x: replace(lower(x), '_', '-') IN ({_RISKY}))) > 0 THEN 'T:risky path part'
   WHEN regexp_matches(url, '(?i)[&?]redirect(?:-?url)?=') THEN 'T:redirect'
@@ -197,7 +197,7 @@ SELECT conv_id, turn, CASE WHEN length(q) > 120 THEN 'too long' WHEN length(q) >
   WHEN len(words) > 9 AND len(list_filter(words, lambda x: length(x) >= 4)) > 16 THEN 'too many words'
   WHEN len(words) > 9 AND logo THEN 'too many words with logograms'
   WHEN len(list_filter(runs, lambda x: length(x) > 7)) > 0 THEN 'long number'
-  WHEN regexp_matches(q, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}') THEN 'email'
+  WHEN regexp_matches(q, '(?i)[a-z0-9_@-]+(@|%40|%(25)+40)[a-z0-9_-]+\.[a-z0-9_-]') THEN 'email'
   WHEN regexp_matches(q, '[^:]+:[^@]+@') THEN 'http password'
   WHEN len(list_filter(words, lambda x: length(x) > 45)) > 0 THEN 'long word'
   WHEN len(list_filter(words, lambda x: length(x) > 20 AND NOT regexp_matches(x, '^[a-zA-ZäöüéÄÖÜ][a-zäöüéß]+$'))) > 0 THEN 'long word of odd shape' END AS reason FROM w
@@ -206,7 +206,7 @@ def suspicious_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.suspicious(F.col("text")).alias("reason"))
 
 
-@query("SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') AS email FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}')")
+@query("SELECT doc_id, regexp_extract(text, '(?i)[a-z0-9_@-]+(@|%40|%(25)+40)[a-z0-9_-]+\\.[a-z0-9_-]') AS email FROM documents WHERE regexp_matches(text, '(?i)[a-z0-9_@-]+(@|%40|%(25)+40)[a-z0-9_-]+\\.[a-z0-9_-]')")
 def email_documents(spark, d):
     return table(spark, d, "documents").where(text.has_email(F.col("text"))).select("doc_id", F.regexp_substr("text", F.lit(text.EMAIL)).alias("email"))
 
