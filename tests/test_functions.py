@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webtel.functions import classify, codec, html, masking, nested, sanitize, text, times, urls
+from webtel.functions import classify, codec, html, masking, nested, numbers, sanitize, text, times, urls
+from webtel.operators import gates
 
 
 def values(spark, build, inputs, kind="string"):
@@ -193,3 +194,109 @@ def test_hostile_pages(spark):
     page = '<link rel="canonical" href="http://["><script type="application/ld+json">' + "[" * 100000 + "</script><title>t</title>"
     got = html.structure(page, "https://a.example/")
     assert got["title"] == "t" and got["canonical"] is None and got["jsonld"] == []
+
+
+def test_email_signs_may_be_encoded(spark):
+    given_ = ["a@b.c", "a%40b.c", "a%2540b.1", "a%252540b_c.d", "a@b", "@b.c", "x" * 50_000, None]
+    assert values(spark, text.has_email, given_) == [True, True, True, True, False, False, False, None]
+
+
+def test_decoding_goes_on_until_nothing_changes(spark):
+    assert values(spark, urls.decode_repeatedly, ["%252525252541", "%25zz", "a+b", "", None]) == ["A", "%zz", "a+b", "", None]
+
+
+def test_registrable_domains(spark):
+    hosts = ["a.b.co.uk", "co.uk", "x.github.io", "b.c.example.com", "localhost", "1.2.3.4", "A.Example.org", "", None]
+    assert values(spark, urls.registrable_domain, hosts) == ["b.co.uk", None, "x.github.io", "example.com", None, None, "example.org", None, None]
+    assert values(spark, urls.truncate_domain, ["a.b.c.d.example.com", "co.uk", "1.2.3.4", None]) == ["c.d.example.com", "co.uk", "1.2.3.4", None]
+
+
+def test_search_pages(spark):
+    cases = {
+        "https://www.google.de/search?q=a+b%2Bc": ("search-go", "a b+c", "https://www.google.de/search?q=a+b%2Bc"),
+        "https://www.google.de/search?q=x&udm=2": ("search-goi", "x", "https://www.google.de/search?udm=2&q=x"),
+        "https://de.search.yahoo.com/search?p=it's(1)": ("search-ya", "it's(1)", "https://de.search.yahoo.com/search?q=it's(1)"),
+        "https://duckduckgo.com/?q=x": ("search-dd", "x", "https://html.duckduckgo.com/html?q=x"),
+        "https://www.qwant.com/?t=web&q=y": ("search-qw", "y", "https://www.qwant.com/?q=y"),
+        "https://www.google.de/maps?x=1": None,
+        "https://example.com/?q=x": None,
+        "bad": None,
+    }
+    got = values(spark, urls.analyse_search, list(cases))
+    assert [None if g is None else tuple(g) for g in got] == list(cases.values())
+
+
+def test_random_parameters(spark):
+    fresh, same = values(spark, lambda c: urls.randomised_params(c, ["q"], c), ["https://a.com/?q=old&b=1#f", "https://a.com/?b=1"])
+    assert same == "https://a.com/?b=1" and fresh.startswith("https://a.com/?q=") and fresh.endswith("&b=1#f") and "old" not in fresh
+
+
+def test_requested_names(spark):
+    allowed = F.array(F.lit("a"), F.lit("z"))
+    build = lambda c: text.requested_names(F.array(c, F.lit("{{safecookie:z}}")), "safecookie:", allowed)
+    assert values(spark, build, ["x={{safecookie:a||safecookie:no}} {{cookie:a}}", ""]) == [["a", "z"], ["z"]]
+
+
+def test_base64(spark):
+    assert values(spark, lambda c: text.from_base64(text.to_base64(c)), ["é", "", None]) == ["é", "", None]
+    assert values(spark, text.from_base64, ["!!", "/w=="]) == [None, None]
+
+
+@pytest.mark.parametrize("n", [5, 30_000])
+def test_pages_of_any_depth(n):
+    got = html.structure("<a>" * n + "<title>deep</title>" + "</b>" * n, None)
+    assert got["title"] == "deep"
+    assert len(list(html.Selector("a > a b, a title").select(html.parse("<a>" * n + "<title>x</title>")))) == 1
+
+
+RULES = {
+    "r": {
+        "prune": [{"first": "p"}],
+        "input": {
+            "h1": {"first": {"t": {"select": "b", "attr": "text"}, "q": {"firstMatch": [{"select": "i", "attr": "text"}, {"select": "u", "attr": "text", "transform": [["trim"]]}]}}},
+            "li > a": {"all": {"href": ("href", [("require_url",)]), "label": ("text", [])}},
+        },
+        "output": {
+            "one": {"fields": [{"key": "t", "source": "h1"}, {"key": "q", "source": "h1", "optional": True}, {"key": "none"}], "deduplicateBy": "t"},
+            "list": {"fields": [{"key": "results", "source": "li > a", "requiredKeys": ["href"]}], "omitIfExistsAny": ["one"]},
+            "always": {"fields": [{"key": "results", "source": "li > a"}, {"key": "qurl"}]},
+        },
+    }
+}
+
+
+def test_messages_of_rules(spark):
+    pages = [
+        (1, "http://e.com/", "<h1><b>T</b><p><b>no</b></p><u> z </u></h1><ul><li><a href='/p'>P</a><li><a href='http://['>bad</a></ul>"),
+        (2, "http://e.com/", "<li><a href='q'></a>"),
+        (3, None, None),
+        (4, "u", ""),
+    ]
+    df = spark.createDataFrame(pages, "id int, url string, html string")
+    got = [(r.id, r.action, r.payload, r.deduplicate_by) for r in html.messages(df, RULES, {"qurl": "url"}).orderBy("id", "action").collect()]
+    assert got == [
+        (1, "always", '{"results":{"0":{"href":"http://e.com/p","label":"P"}},"qurl":"http://e.com/"}', ""),
+        (1, "one", '{"t":"T","q":"z"}', "t"),
+        (2, "list", '{"results":{"0":{"href":"http://e.com/q","label":""}}}', ""),
+    ]
+
+
+def test_unknown_sources_are_refused():
+    with pytest.raises(ValueError):
+        html.validate_rules({"r": {"input": {"a": {"x": ("text", [])}}, "output": {"m": {"fields": [{"key": "x", "source": "b"}]}}}})
+
+
+def test_coprime():
+    assert numbers.pairwise_coprime([4, 9, 25]) and not numbers.pairwise_coprime([6, 9])
+
+
+def test_fetch_requests():
+    rule = {"followRedirects": True, "emptyHtml": False, "timeout": 0, "onError": {"headers": {"a": "b"}, "onError": {"timeout": 5}}}
+    assert gates.fetch_request(rule, "u") == {"url": "u", "redirect": "follow", "emptyHtml": False, "onError": {"headers": {"a": "b"}, "onError": {"timeout": 5}}}
+    assert gates.fetch_request({}, "u") == {"url": "u"}
+
+
+def test_deep_equality_and_nulls(spark):
+    df = spark.sql("SELECT struct(1 AS a, array(2, NULL) AS b) AS x, struct(1 AS a, array(2, NULL) AS b) AS y, struct(CAST(NULL AS INT) AS a, array(2) AS b) AS z")
+    r = df.select(nested.provably_equal(F.col("x"), F.col("y")).alias("same"), nested.provably_equal(F.col("x"), F.col("z")).alias("other"), nested.without_nulls(F.col("z")).alias("j")).first()
+    assert (r.same, r.other, r.j) == (True, False, '{"b":[2]}')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -393,6 +394,24 @@ def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url")
     return rows.withColumns({k: F.coalesce(*values[k]) for k in sorted(values)}).drop("raw")
 
 
+def _present(c):
+    return F.coalesce(F.length(c) > 0, F.lit(False))
+
+
+def _all(conditions: list):
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def _hits(found, rule: str, source: str):
+    return F.filter(found, lambda x: (x["rule"] == rule) & (x["selector"] == source))
+
+
+def _records(hits, inner: dict, required: list[str]):
+    """Records of the hits that have all required fields."""
+    records = F.transform(hits, lambda x: F.struct(*[_field(x["raw"], k, w).alias(k) for k, w in inner.items()]))
+    return F.filter(records, lambda r: _all([_present(r[k]) for k in required]))
+
+
 def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = None, html: str = "html", url: str = "url") -> DataFrame:
     """(rule, action, payload, deduplicate_by): the messages that the `output` of rules makes of each page.
 
@@ -407,10 +426,8 @@ def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = Non
     """
     validate_rules(rules)
     context = context or {}
-    present = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-    every = lambda conditions: F.array_min(F.array(F.lit(True), *conditions))
     found = F.col("_x")
-    made = []
+    made, shown = [], []
     for rule, r in rules.items():
         if rule == "_meta":
             continue
@@ -422,32 +439,30 @@ def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = Non
                 key, source, optional = f["key"], f.get("source"), f.get("optional", False)
                 if source is None:
                     value = F.col(f"`{context[key]}`").cast("string") if key in context else F.lit(None).cast("string")
-                    fields.append(F.when(present(value), value).alias(key))
+                    fields.append(F.when(_present(value), value).alias(key))
                     continue
                 how, inner = inputs[source]
-                hits = F.filter(found, lambda x, rule=rule, source=source: (x["rule"] == rule) & (x["selector"] == source))
+                hits = _hits(found, rule, source)
                 if how == "first":
                     value = _field(F.get(hits, F.lit(0))["raw"], key, inner[key])
-                    ok = present(value)
+                    ok = _present(value)
                 else:
-                    records = F.transform(hits, lambda x, inner=inner: F.struct(*[_field(x["raw"], k, w).alias(k) for k, w in inner.items()]))
-                    must = f.get("requiredKeys", list(inner))
-                    records = F.filter(records, lambda x, must=must: every([present(x[k]) for k in must]))
+                    records = _records(hits, inner, f.get("requiredKeys", list(inner)))
                     ok = F.size(records) > 0
-                    numbers = F.transform(records, lambda _, i: i.cast("string"))
-                    value = F.map_from_arrays(numbers, records)
+                    value = F.map_from_arrays(F.transform(records, lambda _, i: i.cast("string")), records)
                 fields.append(value.alias(key))
                 if not optional:
                     needed.append(ok)
             body = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}) if fields else F.lit("{}")
             row = F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"), body.alias("payload"), F.lit(schema.get("deduplicateBy", "")).alias("deduplicate_by"))
-            of_rule.append((F.when(every(needed), row), schema.get("omitIfExistsAny", []), action))
+            of_rule.append((F.when(_all(needed), row), schema.get("omitIfExistsAny", []), action))
         if not of_rule:
             continue
-        there = {action: m for m, _, action in of_rule}
-        for m, omit, _ in of_rule:
-            redundant = F.array_max(F.array(F.lit(False), *[there[a].isNotNull() for a in omit if a in there]))
-            made.append(F.when(~redundant, m))
+        at = {action: len(made) + i for i, (_, _, action) in enumerate(of_rule)}
+        made += [m for m, _, _ in of_rule]
+        shown += [([at[a] for a in omit if a in at], at[action]) for _, omit, action in of_rule]
     kept = [c for c in pages.columns if c != html]
-    rows = pages.withColumn("_x", _raw(rules)(html, url))
-    return rows.select(*kept, F.explode(F.array_compact(F.array(*made))).alias("_m")).select(*kept, "_m.*")
+    rows = pages.withColumn("_x", _raw(rules)(html, url)).select(*kept, F.array(*made).alias("_made"))
+    m = lambda i: F.get("_made", F.lit(i))
+    left = [F.when(_all([m(j).isNull() for j in others]), m(i)) for others, i in shown]
+    return rows.select(*kept, F.explode(F.array_compact(F.array(*left))).alias("_m")).select(*kept, "_m.*")

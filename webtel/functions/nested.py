@@ -81,3 +81,53 @@ def flatten_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def without_nulls(c: Column) -> Column:
+    """JSON of a struct without its null fields, at any depth."""
+    return F.to_json(c, {"ignoreNullFields": "true"})
+
+
+def provably_equal(a: Column, b: Column) -> Column:
+    """Deep equality of scalars, arrays and structs of one type; nulls equal each other."""
+    return a.eqNullSafe(b)
+
+
+def at_path(c: Column, kind: T.DataType, path: str) -> Column:
+    """Values at a path such as a, b.0.c or b.[].c in a nested column of a type; null if there are none.
+
+    A number picks one item of an array, [] all items of an array or values
+    of a map that have the rest of the path.
+    """
+
+    def go(c: Column, kind: T.DataType, steps: list[str]) -> tuple[Column, T.DataType] | None:
+        if not steps:
+            return c, kind
+        head, rest = steps[0], steps[1:]
+        if isinstance(kind, T.StructType):
+            return go(c[head], kind[head].dataType, rest) if head in kind.names else None
+        if isinstance(kind, T.MapType) and head != "[]":
+            return go(F.try_element_at(c, F.lit(head).cast(kind.keyType)), kind.valueType, rest)
+        if isinstance(kind, T.ArrayType) and head.isdigit():
+            return go(F.get(c, F.lit(int(head))), kind.elementType, rest)
+        if head != "[]" or not isinstance(kind, (T.ArrayType, T.MapType)):
+            return None
+        of = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        inner = go(F.lit(None).cast(of), of, rest)
+        if inner is None:
+            return None
+        if isinstance(kind, T.ArrayType):
+            found = F.filter(F.transform(c, lambda x: go(x, of, rest)[0]), lambda x: x.isNotNull())
+            return F.when(F.size(found) > 0, found), T.ArrayType(inner[1])
+        found = F.map_filter(F.transform_values(c, lambda _, x: go(x, of, rest)[0]), lambda _, x: x.isNotNull())
+        return F.when(F.size(found) > 0, found), T.MapType(kind.keyType, inner[1])
+
+    found = go(c, kind, path.split("."))
+    return F.lit(None) if found is None else found[0]
+
+
+def dedup_key(action: Column, payload: Column, kind: T.DataType, paths: str = "") -> Column:
+    """SHA-1 of the action and the values at comma-separated paths of a payload, or all of it; absent ones are null."""
+    values = [at_path(payload, kind, p) for p in paths.split(",")] if paths else [payload]
+    texts = F.to_json(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "true"})
+    return F.sha1(F.concat_ws("\n", action, texts))

@@ -30,46 +30,57 @@ def _value(p: Column) -> Column:
 
 
 def _bad_param(p: Column) -> Column:
-    v = F.coalesce(F.try_url_decode(_value(p)), _value(p))
-    unsafe = (F.length(v) >= 18) & ~v.rlike("^[a-z-_]+$")
-    return F.when(unsafe, text.suspicious(v).isNotNull()).otherwise(F.lit(False))
+    def unsafe(v: Column) -> Column:
+        return F.when((F.length(v) >= 18) & ~v.rlike("^[a-z-_]+$"), text.suspicious(v).isNotNull()).otherwise(F.lit(False))
 
+    return urls.let(F.coalesce(F.try_url_decode(_value(p)), _value(p)), unsafe)
 
-def reasons(url: Column, is_id=None) -> tuple[Column, Column]:
-    """(why a URL is dropped, why it is truncated), each null if it isn't. `is_id` tests strings for identifiers (strict mode)."""
-    host, search, path = urls.part(url, "host"), urls.part(url, "search"), urls.part(url, "path")
+
+def _reasons(url: Column, p: Column, is_id=None) -> tuple[Column, Column]:
+    """(why a URL is dropped, why it is truncated), each null if it isn't; `p` has its parts. `is_id` tests strings for identifiers (strict mode)."""
+    host, search = p["host"], p["search"]
     params = urls.params(search)
     drop = (
-        F.when(~F.coalesce(url.rlike(urls.PATTERN), F.lit(False)), "invalid")
-        .when(urls.part(url, "user") != "", "user name")
-        .when(urls.part(url, "password") != "", "password")
-        .when(~urls.part(url, "port").isin("", "80", "443"), "port")
-        .when(~urls.part(url, "scheme").isin("http", "https"), "protocol")
+        F.when(p.isNull(), "invalid")
+        .when(p["user"] != "", "user name")
+        .when(p["password"] != "", "password")
+        .when(~p["port"].isin("", "80", "443"), "port")
+        .when(~p["scheme"].isin("http", "https"), "protocol")
         .when(host.isin("localhost", "127.0.0.1"), "not public")
         .when(host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "address")
         .when(F.length(host) > 50, "long host")
     )
     decoded = F.coalesce(urls.decode_component(url), url)
-    pieces = F.split(path, "/")
-    part = lambda p: F.replace(F.lower(p), F.lit("_"), F.lit("-")).isin(*RISKY_PARTS)
+    pieces = F.split(p["path"], "/")
+    risky = lambda x: F.replace(F.lower(x), F.lit("_"), F.lit("-")).isin(*RISKY_PARTS)
     cut = (
         F.when(F.length(url) > 800, "long url")
         .when(F.length(search) > 150, "long search")
         .when(F.size(params) > 8, "many parameters")
         .when(text.has_email(url) | text.has_email(decoded), "email")
         .when(F.size(pieces) > 8, "many path parts")
-        .when(F.exists(pieces, part), "risky path part")
+        .when(F.exists(pieces, risky), "risky path part")
     )
     if is_id is not None:
-        cut = cut.when(F.exists(pieces, is_id), "identifier in path")
+        cut = cut.when(F.exists(pieces, lambda x: is_id(x)), "identifier in path")
     for name, pattern in RISKY_PATTERNS.items():
         cut = cut.when(url.rlike(pattern), name)
     cut = cut.when(F.exists(params, _bad_param), "problematic parameter")
     if is_id is not None:
-        cut = cut.when(F.exists(params, lambda p: is_id(_value(p))), "identifier in parameter")
+        cut = cut.when(F.exists(params, lambda x: is_id(_value(x))), "identifier in parameter")
     return drop, cut
 
 
+def reasons(url: Column, is_id=None) -> Column:
+    """Struct (url, p, drop, cut): a URL, its parts, and why it is dropped or truncated, each null if it isn't."""
+
+    def judged(s: Column) -> Column:
+        drop, cut = _reasons(s["url"], s["p"], is_id)
+        return F.struct(s["url"].alias("url"), s["p"].alias("p"), drop.alias("drop"), cut.alias("cut"))
+
+    return urls.let(F.struct(url.alias("url"), urls.parts(url).alias("p")), judged)
+
+
 def sanitize(url: Column, preserve_path: bool = False, is_id=None) -> Column:
     """Struct (result, safe_url, reason): safe, truncated or dropped.
 
@@ -77,21 +88,23 @@ def sanitize(url: Column, preserve_path: bool = False, is_id=None) -> Column:
     path, if the URL without search and fragment is safe. A fragment alone
     is cut off.
     """
-    drop, cut = reasons(url, is_id)
-    bare = F.concat(urls.part(url, "scheme"), F.lit("://"), urls.part(url, "host"), F.lit("/" + PROTECTED))
-    short = bare
-    if preserve_path:
-        stem = urls.strip_search(url)
-        stem_drop, stem_cut = reasons(stem, is_id)
-        short = F.when((stem != url) & stem_drop.isNull() & stem_cut.isNull(), F.concat(stem, F.lit(PROTECTED))).otherwise(bare)
     row = lambda result, safe, reason: F.struct(F.lit(result).alias("result"), safe.alias("safe_url"), reason.alias("reason"))
     nothing = F.lit(None).cast("string")
-    return (
-        F.when(drop.isNotNull(), row("dropped", nothing, drop))
-        .when(cut.isNotNull(), row("truncated", short, cut))
-        .when(urls.part(url, "fragment") != "", row("truncated", F.concat(urls.strip_fragment(url), F.lit(PROTECTED)), F.lit("fragment")))
-        .otherwise(row("safe", url, nothing))
-    )
+
+    def verdict(s: Column) -> Column:
+        short = F.concat(s["p"]["scheme"], F.lit("://"), s["p"]["host"], F.lit("/" + PROTECTED))
+        if preserve_path:
+            bare = short
+            stem = lambda t: F.when((t["url"] != s["url"]) & t["drop"].isNull() & t["cut"].isNull(), F.concat(t["url"], F.lit(PROTECTED))).otherwise(bare)
+            short = urls.let(reasons(urls.strip_search(s["url"]), is_id), stem)
+        return (
+            F.when(s["drop"].isNotNull(), row("dropped", nothing, s["drop"]))
+            .when(s["cut"].isNotNull(), row("truncated", short, s["cut"]))
+            .when(s["p"]["fragment"] != "", row("truncated", F.concat(urls.strip_fragment(s["url"]), F.lit(PROTECTED)), F.lit("fragment")))
+            .otherwise(row("safe", s["url"], nothing))
+        )
+
+    return urls.let(reasons(url, is_id), verdict)
 
 
 def protect(url: Column, publishable: Column) -> Column:

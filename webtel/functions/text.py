@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webtel.functions.urls import let
+
 #: Common Chinese characters, kana, Hangul syllables, Thai.
 LOGOGRAMS = "[一-鿿぀-ヿ가-힯฀-๿]"
 #: Fixed value: what looks like an address, with a sign that may be percent-encoded, more than once too. It may be found
 #: where there is none, but is never missed. The look-behind only keeps long runs from being tried at every character.
 EMAIL = r"(?i)(?<![a-z0-9_@-])[a-z0-9_@-]+(?:@|%40|%(?:25)+40)[a-z0-9_-]+\.[a-z0-9_-]"
 ISSN = "[0-9]{4}-?[0-9]{3}[0-9xX]"
+#: A password in a URL, and long words that are still words.
+HTTP_PASSWORD = "[^:]+:[^@]+@"
+PLAIN_WORD = "^[a-zA-ZäöüéÄÖÜ][a-zäöüéß]+$"
 
 
 def has_logograms(c: Column) -> Column:
@@ -45,20 +50,28 @@ def has_long_number(c: Column) -> Column:
     The first ISSN does not count, and a single EAN-13 is fine.
     """
     issn = F.get(F.filter(F.split(c, " "), is_issn), F.lit(0))
-    rest = F.when(issn.isNotNull(), F.replace(c, issn, F.lit(" "))).otherwise(c)
-    digits = F.split(F.trim(F.regexp_replace(F.regexp_replace(rest, "[^A-Za-z0-9]", ""), "[^0-9]+", " ")), " ")
-    runs = F.filter(digits, lambda d: F.length(d) > 2)
-    only = F.when(F.size(runs) == 1, F.get(runs, F.lit(0)))
-    single = F.coalesce((F.length(only) == 13) & F.contains(rest, only), F.lit(False))
-    return F.when(single, ~is_ean13(only)).otherwise(F.exists(runs, lambda d: F.length(d) > 7))
+    rest = let(issn, lambda i: F.when(i.isNotNull(), F.replace(c, i, F.lit(" "))).otherwise(c))
+
+    def of_runs(x: Column) -> Column:
+        only = F.when(F.size(x["runs"]) == 1, F.get(x["runs"], F.lit(0)))
+        single = F.coalesce((F.length(only) == 13) & F.contains(x["rest"], only), F.lit(False))
+        return F.when(single, ~is_ean13(only)).otherwise(F.exists(x["runs"], lambda d: F.length(d) > 7))
+
+    def of_rest(r: Column) -> Column:
+        digits = F.split(F.trim(F.regexp_replace(F.regexp_replace(r, "[^A-Za-z0-9]", ""), "[^0-9]+", " ")), " ")
+        return let(F.struct(r.alias("rest"), F.filter(digits, lambda d: F.length(d) > 2).alias("runs")), of_runs)
+
+    return let(rest, of_rest)
 
 
 def suspicious(c: Column) -> Column:
     """Why a search query may hold personal data; null if it is fine or null."""
-    q = F.regexp_replace(c, r"[ \t\n\r\f]+", " ")
+    return let(F.regexp_replace(c, r"[ \t\n\r\f]+", " "), _suspicious)
+
+
+def _suspicious(q: Column) -> Column:
     words = F.split(q, " ")
     many = F.size(words) > 9
-    shape = "^[a-zA-ZäöüéÄÖÜ][a-zäöüéß]+$"
     return (
         F.when(F.length(q) > 120, "too long")
         .when((F.length(q) > 50) & has_logograms(q), "too long with logograms")
@@ -66,9 +79,9 @@ def suspicious(c: Column) -> Column:
         .when(many & has_logograms(q), "too many words with logograms")
         .when(has_long_number(q), "long number")
         .when(has_email(q), "email")
-        .when(q.rlike("[^:]+:[^@]+@"), "http password")
+        .when(q.rlike(HTTP_PASSWORD), "http password")
         .when(F.exists(words, lambda w: F.length(w) > 45), "long word")
-        .when(F.exists(words, lambda w: (F.length(w) > 20) & ~w.rlike(shape)), "long word of odd shape")
+        .when(F.exists(words, lambda w: (F.length(w) > 20) & ~w.rlike(PLAIN_WORD)), "long word of odd shape")
     )
 
 
@@ -120,3 +133,25 @@ def fill_template(template: Column, values: Column) -> Column:
     slots = F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{([^{}]*)\}\}"), F.lit(1)))
     found = lambda s: F.get(F.filter(F.transform(F.split(s, r"\|\|"), lambda n: F.try_element_at(values, F.trim(n))), lambda v: F.length(v) > 0), F.lit(0))
     return F.aggregate(slots, template, lambda out, s: F.replace(out, F.concat(F.lit("{{"), s, F.lit("}}")), F.coalesce(found(s), F.lit(""))))
+
+
+def requested_names(templates: Column, prefix: str, allowed: Column) -> Column:
+    """Sorted names that placeholders of an array of templates ask for behind a prefix, as far as they are allowed."""
+    slots = F.flatten(F.transform(templates, lambda t: F.regexp_extract_all(t, F.lit(r"\{\{([^{}]*)\}\}"), F.lit(1))))
+    wanted = F.flatten(F.transform(slots, lambda s: F.split(s, r"\|\|")))
+    names = F.transform(F.filter(wanted, lambda w: F.startswith(w, F.lit(prefix))), lambda w: F.substr(w, F.lit(len(prefix) + 1)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.array_contains(allowed, n))))
+
+
+def to_base64(c: Column) -> Column:
+    return F.base64(F.encode(c, "utf-8"))
+
+
+def from_base64(c: Column) -> Column:
+    """The text of a Base64 value; null if it is none."""
+    return F.try_validate_utf8(F.try_to_binary(c, F.lit("base64")).cast("string"))
+
+
+def fast_hash(c: Column, bits: int = 53) -> Column:
+    """A hash of so many bits, for use inside one job only."""
+    return F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))

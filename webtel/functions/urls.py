@@ -35,8 +35,20 @@ def part(url: Column, name: str) -> Column:
     return found
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a column that is computed once for each row, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def parts(url: Column) -> Column:
-    return F.when(part(url, "scheme").isNotNull(), F.struct(*[part(url, p).alias(p) for p in PARTS]))
+    """Struct of all parts; null if the URL is null or malformed."""
+
+    def named(f: Column) -> Column:
+        field = {p: F.get(f, F.lit(i + 1)) for i, p in enumerate(PARTS)}
+        field |= {"scheme": F.lower(field["scheme"]), "host": F.lower(field["host"]), "path": F.when(field["path"] == "", "/").otherwise(field["path"])}
+        return F.when(F.size(f) > 1, F.struct(*[field[p].alias(p) for p in PARTS]))
+
+    return let(_fields(url), named)
 
 
 def is_page(url: Column) -> Column:
@@ -143,3 +155,61 @@ def search_landing(url: Column, rules: list[tuple[str, str, str]]) -> Column:
         q = query_param(url, name)
         out = F.when(part(url, "host").rlike(host) & (F.length(q) > 0), F.struct(F.lit(category).alias("category"), q.alias("query"))).otherwise(out)
     return out
+
+
+#: Search engines as (category, pattern, prefix of the request, parameters of the query, host of the request or null).
+#: The first pattern that fits decides.
+SEARCH_RULES = (
+    ("search-gos", r"^https://scholar\.google\.[^/]+/scholar.*[?&]q=", "scholar?q=", ("q",), None),
+    ("search-goi", r"^https://[^/]*\.google\..*?[#?&;]((q=[^&]+&([^&]+&)*udm=2)|(udm=2&([^&]+&)*q=[^&]+))", "search?udm=2&q=", ("q",), None),
+    ("search-gov", r"^https://[^/]*\.google\..*?[#?&;]((q=[^&]+&([^&]+&)*udm=7)|(udm=7&([^&]+&)*q=[^&]+))", "search?udm=7&q=", ("q",), None),
+    ("search-go", r"^https://[^/]*\.google\..*?[#?&;]", "search?q=", ("q",), None),
+    ("search-ya", r"^https://[^/]*\.search\.yahoo\..*?[#?&;][pq]=[^$&]+", "search?q=", ("q", "p"), None),
+    ("search-bii", r"^https://[^/]*\.bing\.[^/]+/images/search[?]q=[^$&]+", "images/search?q=", ("q",), None),
+    ("search-bi", r"^https://[^/]*\.bing\..*?[#?&;]q=[^$&]+", "search?q=", ("q",), None),
+    ("search-am", r"^https://[^/]*\.amazon\.[^/]+/(s[?]k=[^$&]+|.*[?&]field-keywords=[^$&]+)", "s/?field-keywords=", ("field-keywords", "k"), None),
+    ("search-dd", r"^https://(?:html\.)?duckduckgo\.com/.*([?&]q=[^&]+.*&ia=web|[?]q=[^&]+$)", "html?q=", ("q",), "html.duckduckgo.com"),
+    ("search-br", r"^https://search\.brave\.com/search[?]q=[^&]+", "search?q=", ("q",), None),
+    ("search-bri", r"^https://search\.brave\.com/images[?]q=[^&]+", "images?q=", ("q",), None),
+    ("search-brn", r"^https://search\.brave\.com/news[?]q=[^&]+", "news?q=", ("q",), None),
+    ("search-brv", r"^https://search\.brave\.com/videos[?]q=[^&]+", "videos?q=", ("q",), None),
+    ("search-ec", r"^https://www\.ecosia\.org/search[?](?:method=index&)?q=[^&]+", "search?q=", ("q",), None),
+    ("search-qw", r"^https://www\.qwant\.com/.*[?&]((q=[^&]+&([^&]+&)*t=web)|(t=web&([^&]+&)*q=[^&]+))", "?q=", ("q",), None),
+)
+
+
+def encode_component(c: Column) -> Column:
+    """Percent encoding where a space is %20 and !~'() stand for themselves."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def analyse_search(url: Column, rules: tuple = SEARCH_RULES) -> Column:
+    """Struct (category, query, request_url) of a search page, by the first rule that fits; null if none does or there is no query.
+
+    A plus in the query is a space, and is one again in the request.
+    """
+    spaced = F.replace(url, F.lit("+"), F.lit("%20"))
+    first = F.coalesce(*[F.when(url.rlike(r[1]), F.lit(i)) for i, r in enumerate(rules)])
+    of_rule = lambda i: F.get(F.array(*[F.lit(r[i]) for r in rules]), first)
+    ways = {names: [i for i, r in enumerate(rules) if r[3] == names] for names in dict.fromkeys(r[3] for r in rules)}
+    by_name = {n: F.nullif(query_param(spaced, n), F.lit("")) for names in ways for n in names}
+    query = F.coalesce(*[F.when(first.isin(at), F.coalesce(*[by_name[n] for n in names])) for names, at in ways.items()])
+    request = F.concat(F.lit("https://"), F.coalesce(of_rule(4), part(spaced, "host")), F.lit("/"), of_rule(2), F.replace(encode_component(query), F.lit("%20"), F.lit("+")))
+    return F.when(query.isNotNull(), F.struct(of_rule(0).alias("category"), query.alias("query"), request.alias("request_url")))
+
+
+def randomised_params(url: Column, names: list[str], key: Column) -> Column:
+    """The URL with new values of 6 to 14 characters for these parameters where they are present, drawn by a hash of `key`."""
+
+    def fresh(p: Column) -> Column:
+        name = F.substring_index(p, "=", 1)
+        digest = F.sha2(F.concat_ws("\n", key, name), 256)
+        length = F.lit(6) + F.pmod(F.xxhash64(key, name), F.lit(9)).cast("int")
+        return F.when(name.isin(*names), F.concat(name, F.lit("="), F.substr(digest, F.lit(1), length))).otherwise(p)
+
+    values = F.transform(params(part(url, "search")), fresh)
+    changed = F.concat(strip_search(url), F.lit("?"), F.array_join(values, "&"), part(url, "fragment"))
+    return F.when(F.size(values) > 0, changed).otherwise(url)

@@ -181,3 +181,20 @@ def rotating_members(added: DataFrame, now: Column, value: str = "value", ts: st
     generation = F.floor(F.months_between(F.col(ts), F.lit("1970-01-01").cast("timestamp")) / months)
     newest = F.floor(F.months_between(now, F.lit("1970-01-01").cast("timestamp")) / months)
     return added.where(generation > newest - generations).select(value).distinct()
+
+
+def fetch_request(rule: dict, url: str) -> dict:
+    """What an anonymous fetch of a URL needs, by the optional settings of a rule; a fallback may have one of its own."""
+    names = {"followRedirects": "redirect", "headers": "headers", "steps": "steps", "timeout": "timeout", "emptyHtml": "emptyHtml"}
+    out = {"url": url}
+    at = out
+    while rule:
+        for have, want in names.items():
+            value = rule.get(have)
+            if value or (have == "emptyHtml" and value is False):
+                at[want] = "follow" if have == "followRedirects" else value
+        rule = rule.get("onError")
+        if rule is not None:
+            nested: dict = {}
+            at["onError"], at = nested, nested
+    return out

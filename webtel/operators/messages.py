@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtel.operators.numbering import running_total
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; limited before the shuffle."""
@@ -26,10 +28,13 @@ def suppress(messages: DataFrame, group: str, action: str, unless: dict[str, lis
     return messages.join(have, group).where(~omit).drop("_have")
 
 
+def _due(jobs: DataFrame, now: Column) -> DataFrame:
+    return jobs.where((F.col("ready_at") <= now) & (now < F.col("expire_at")))
+
+
 def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs that are ready and have not expired, in order of priority and readiness, numbered within their type."""
-    w = Window.partitionBy("type").orderBy(F.desc("priority"), F.greatest("created_at", "ready_at"), "job_id")
-    return jobs.where((F.col("ready_at") <= now) & (now < F.col("expire_at"))).withColumn("position", F.row_number().over(w))
+    return running_total(_due(jobs, now), ["type"], [F.desc("priority"), F.greatest("created_at", "ready_at").asc(), F.asc("job_id")], 1, "position")
 
 
 def admitted(jobs: DataFrame, most: int) -> DataFrame:
@@ -47,7 +52,7 @@ def after_run(jobs: DataFrame, outcomes: DataFrame, retries: int = 2) -> DataFra
 
 def sampled(df: DataFrame, n: int, seed: int, group: list[str], id_col: str) -> DataFrame:
     """n rows of each group without replacement, by a seeded hash."""
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    w = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -70,3 +75,18 @@ def tab_violations(tabs: DataFrame) -> DataFrame:
         .when((F.col("depth") == 2) & (F.col("host") != F.col("previous_host")), "depth 2 left its host")
     )
     return tabs.withColumn("violation", why).where("violation is not null")
+
+
+def next_jobs(jobs: DataFrame, now: Column, cooldowns: DataFrame | None = None) -> DataFrame:
+    """Due jobs with `turn`: by priority, and within one the types take turns; types that cool down (type, until) wait."""
+    due = _due(jobs, now)
+    if cooldowns is not None:
+        due = due.join(cooldowns.where(F.col("until") > now).select("type").distinct(), "type", "left_anti")
+    return running_total(due, ["type", "priority"], [F.greatest("created_at", "ready_at").asc(), F.asc("job_id")], 1, "turn")
+
+
+def child_jobs(finished: DataFrame, now: Column, ttl: str = "30 days", job: str = "job_id", children: str = "children") -> DataFrame:
+    """New jobs that finished ones return as an array of (type, args): numbered under their parent, ready at once."""
+    times = (now.alias("created_at"), now.alias("ready_at"), (now + F.expr(f"INTERVAL {ttl}")).alias("expire_at"))
+    rows = finished.select(F.col(job).alias("parent_id"), *times, F.posexplode(children).alias("position", "_c"))
+    return rows.select("parent_id", "position", "_c.*", "created_at", "ready_at", "expire_at")

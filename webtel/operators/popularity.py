@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtel.functions import times, urls
+from webtel.functions import text, times, urls
+from webtel.operators.numbering import running_total
 
 
 def projections(visits: DataFrame, url: str = "url") -> DataFrame:
@@ -55,9 +56,8 @@ def weighted_picks(counted: DataFrame, picks: DataFrame, n: str = "n", key: str
 
     `picks` has `group` (if any) and `position` from 0 below the total.
     """
-    w = Window.partitionBy(*([group] if group else [])).orderBy(key)
-    end = F.sum(n).over(w)
-    spans = counted.select(F.col(key).alias("_key"), *([F.col(group).alias("_group")] if group else []), (end - F.col(n)).alias("_start"), end.alias("_end"))
+    end = F.col("_total")
+    spans = running_total(counted, [group] if group else [], [F.asc(key)], F.col(n), "_total").select(F.col(key).alias("_key"), *([F.col(group).alias("_group")] if group else []), (end - F.col(n)).alias("_start"), end.alias("_end"))
     hit = (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
     if group:
         hit &= F.col(group) == F.col("_group")
@@ -103,3 +103,38 @@ def live_buckets(events: DataFrame, ts: str, now_ms: Column, n: int = 7) -> Data
     b = times.bucket(F.col(ts))
     now = F.floor(now_ms / times.BUCKET_MS)
     return events.withColumn("bucket", b).where(F.col("bucket").between(now - n, now))
+
+
+#: One in so many visits is sampled locally, by interval.
+LOCAL_SAMPLING = {"1d": 1, "1w": 10, "4w": 100}
+
+
+def activity_total(counted: DataFrame, *by: str, interval: str = "interval", n: str = "n") -> DataFrame:
+    """The visits that sampled counts stand for: the population times the factor of its interval."""
+    factor = F.element_at(F.create_map(*[F.lit(x) for pair in LOCAL_SAMPLING.items() for x in pair]), F.col(interval))
+    return counted.groupBy(*by, interval).agg(F.sum(n).alias("_n")).select(*by, interval, (F.col("_n") * factor).cast("long").alias("activity"))
+
+
+def prepared_votes(votes: DataFrame, verdicts: DataFrame, countries: tuple[str, ...], mask=None) -> DataFrame:
+    """Votes ready to send: (projection, interval, vote, country); those for something that is no host name are refused.
+
+    Votes: projection, interval, key, country. `mask` is a column function
+    for the parts of a path. A vote without a quorum (verdicts: hash,
+    reached) becomes two hyphens, as does a country that is not allowed.
+    """
+    pieces = F.split("key", "/")
+    host = F.get(pieces, F.lit(0))
+    path = F.when(F.col("projection") == "path", F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    legal = text.is_hostname(host) & ((F.col("projection") == "path") | (F.size(pieces) == 1)) & F.col("projection").isin("domain", "host", "path")
+    v = votes.where(legal).withColumn("vote", F.array_join(F.concat(F.array(host), F.transform(path, mask) if mask else path), "/"))
+    seen = verdicts.select(F.col("hash").alias("_hash"), F.col("reached").alias("_reached"))
+    v = v.withColumn("_hash", F.sha1("vote")).join(seen, "_hash", "left")
+    vote = F.when(F.coalesce("_reached", F.lit(False)), F.col("vote")).otherwise("--")
+    return v.select("projection", "interval", vote.alias("vote"), text.country(F.col("country"), countries).alias("country"))
+
+
+def bucket_violations(buckets: DataFrame, client: str, bucket: str, seconds: str, most: int = 7) -> DataFrame:
+    """(client, violation): activity states with too many buckets, repeated ones, or times that are no times."""
+    per = buckets.groupBy(client).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(bucket).alias("d"), F.count_if(F.coalesce((F.col(seconds) < 0) | F.isnan(seconds), F.lit(True)) | F.col(bucket).isNull()).alias("bad"))
+    why = F.when(F.col("bad") > 0, "invalid state").when(F.col("n") > F.col("d"), "repeated bucket").when(F.col("n") > most, "bucket overrun")
+    return per.select(client, why.alias("violation")).where("violation is not null")

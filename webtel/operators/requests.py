@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webtel.functions import urls
 from webtel.functions.nested import truncated_hash
+from webtel.operators.numbering import running_total
 
 
 def attribute(requests: DataFrame, documents: DataFrame) -> DataFrame:
@@ -31,21 +32,49 @@ def third_party_only(facts: DataFrame) -> DataFrame:
     return facts.where(urls.is_third_party(F.col("first_party"), F.col("third_party")))
 
 
-def stat_names(url: Column, kind: Column | None = None) -> Column:
-    """The counters that a request adds one to."""
+#: Numbers of request types in the statistics.
+TYPE_NUMBERS = {
+    "other": 1, "script": 2, "image": 3, "stylesheet": 4, "object": 5, "main_frame": 6, "sub_frame": 7, "xbl": 9, "ping": 10,
+    "xmlhttprequest": 11, "object_subrequest": 12, "xml_dtd": 13, "font": 14, "media": 15, "websocket": 16, "csp_report": 17,
+    "xslt": 18, "beacon": 19, "imageset": 21, "web_manifest": 22,
+}
+
+
+def stat_names(url: Column, kind: Column | None = None, method: Column | None = None, placeholder: str | None = None) -> Column:
+    """The counters that a request adds one to; schemes but for http and https are other, types without a number unknown."""
     has = lambda part: F.length(urls.part(url, part)) > 0
+    scheme = urls.part(url, "scheme")
     stats = [
         F.lit("c"),
         F.when(has("search"), "has_qs"),
         F.when(urls.part(url, "path").contains(";"), "has_ps"),
         F.when(has("fragment"), "has_fragment"),
-        F.concat(F.lit("scheme_"), urls.part(url, "scheme")),
+        F.concat(F.lit("scheme_"), F.when(scheme.isin("http", "https"), scheme).otherwise("other")),
     ]
     if kind is not None:
-        stats.append(F.concat(F.lit("type_"), kind))
+        numbers = F.create_map(*[F.lit(x) for k, n in TYPE_NUMBERS.items() for x in (k, str(n))])
+        stats.append(F.concat(F.lit("type_"), F.coalesce(F.try_element_at(numbers, kind), F.lit("unknown"))))
+    if method is not None:
+        stats.append(F.when(method == "POST", "has_post"))
+    if placeholder is not None:
+        stats.append(F.when(F.contains(url, F.lit(placeholder)), "hasPlaceHolder"))
     return F.array_compact(F.array(*stats))
 
 
+def header_stats(url: Column, page_url: Column, referrer: Column, cookie: Column) -> Column:
+    """The counters of a request's headers: referrers and URLs that tell the page, and cookies of more than five characters."""
+    holds = lambda p: F.contains(url, p) | F.contains(url, urls.encode_component(p))
+    host, path = urls.part(page_url, "host"), urls.part(page_url, "path")
+    return F.array_compact(
+        F.array(
+            F.when(F.contains(referrer, page_url), "referer_leak_header"),
+            F.when(holds(host), "referer_leak_site"),
+            F.when(holds(host) & holds(path), "referer_leak_path"),
+            F.when(F.length(cookie) > 5, "cookie_set"),
+        )
+    )
+
+
 def response_stats(status: Column, length: Column, set_cookie: Column) -> Column:
     """(stat, amount) of a response; a missing or zero length counts as one."""
     pair = lambda s, n: F.struct(s.alias("stat"), n.cast("long").alias("n"))
@@ -129,9 +158,9 @@ def token_verdicts(tokens: DataFrame, safe: DataFrame, blocked: DataFrame, candi
 
 
 def message_batches(rows: DataFrame, order: list[str], size: int = 10, partition: list[str] | None = None) -> DataFrame:
-    """Rows numbered into batches of `size`, within a partition (a day, a site) so that numbering is distributed."""
-    w = Window.partitionBy(*(partition or [])).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """Rows numbered into batches of `size`, within a partition (a day, a site) if any is given."""
+    numbered = running_total(rows, partition or [], [F.asc(c) for c in order], 1, "_n")
+    return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def visits_trusted(cookies: DataFrame, visits: DataFrame, unused: str = "2 minutes", used: str = "12 minutes 30 seconds") -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webtel.functions import classify, codec, html, masking, nested, sanitize, text, times, urls
+from webtel.functions import classify, codec, html, masking, nested, numbers, sanitize, text, times, urls
 from webtel.operators import gates, messages, pages, popularity, requests
 from webtel.session import Stages, ship_package
 from webtel.sources.tables import table
@@ -534,7 +535,7 @@ def _jobs(spark, d):
     return o.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("type"), F.lit(1).alias("priority"), F.col("o_orderdate").alias("created_at"), ready.alias("ready_at"), (ready + F.expr("INTERVAL 30 DAYS")).alias("expire_at"))
 
 
-@query(_JOBS + "SELECT job_id, type, (row_number() OVER (PARTITION BY type ORDER BY greatest(created_at, ready_at), job_id))::INT AS position FROM j WHERE ready_at <= TIMESTAMP '1996-01-01' AND expire_at > TIMESTAMP '1996-01-01'")
+@query(_JOBS + "SELECT job_id, type, (row_number() OVER (PARTITION BY type ORDER BY greatest(created_at, ready_at), job_id))::BIGINT AS position FROM j WHERE ready_at <= TIMESTAMP '1996-01-01' AND expire_at > TIMESTAMP '1996-01-01'")
 def job_order(spark, d):
     return messages.due_jobs(_jobs(spark, d), F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'")).select("job_id", "type", "position")
 
@@ -580,12 +581,16 @@ def most_recent(spark, d):
     return messages.recent(_events(spark, d), 3, ["user_id"], "ts", "event_id").select("event_id", "user_id")
 
 
-@query()
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) <= 5")
 def uniform_sample(spark, d):
     return messages.sampled(_events(spark, d), 5, 7, ["event_type"], "event_id").select("event_id", "event_type")
 
 
-@query()
+@query("""
+WITH w AS (SELECT DISTINCT user_id::VARCHAR AS u, event_type = 'purchase' AS added FROM events),
+b AS (SELECT u, added, ((('0x' || substr(md5(u), 1, 8))::BIGINT + i * ('0x' || substr(md5(u), 9, 8))::BIGINT) % 65536) AS bit FROM w, range(5) t(i))
+SELECT u, bool_and(bit IN (SELECT bit FROM b WHERE added)) AS might_contain FROM b GROUP BY u
+""")
 def bloom_membership(spark, d):
     e = _events(spark, d)
     bloom = codec.bloom_table(e.where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("u")), "u", 5, 1 << 16)
@@ -593,6 +598,283 @@ def bloom_membership(spark, d):
     return codec.bloom_contains(users, "u", bloom, 5, 1 << 16)
 
 
+# --- further functions and operators ------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_page, regexp_matches({_HOST}, '^([A-Za-z0-9-]+\\.)*[A-Za-z0-9-]+$') AS is_hostname,
+  CASE WHEN starts_with(url, 'https://') THEN split_part(url, '#', 1) END AS trusted, CASE WHEN contains(url, '?') THEN split_part(url, '?', 2) END AS after_mark,
+  CASE WHEN split_part(url, '/', 7) <> '' THEN split_part(url, '/', 7) ELSE url END AS sixth, contains(substr(trim({_PATH}), 2, greatest(length(trim({_PATH})) - 2, 0)), '/') AS inside,
+  CASE WHEN {_HOST} LIKE '%.com' THEN 'public' ELSE 'unknown' END AS visibility,
+  list_distinct(list_filter([url, split_part(url, '?', 1)], lambda u: u IS NOT NULL)) = [url] AS one_vote FROM pages
+""")
+def url_predicates(spark, d):
+    u, p = F.col("url"), urls.part(F.col("url"), "path")
+    bare = F.substring_index(u, "?", 1)
+    return table(spark, d, "pages").select(
+        "page_id",
+        urls.is_page(u).alias("is_page"),
+        text.is_hostname(urls.part(u, "host")).alias("is_hostname"),
+        urls.trusted_url(u, u).alias("trusted"),
+        html.TRANSFORMS["split"](u, "?", 1).alias("after_mark"),
+        html.TRANSFORMS["try_split"](u, "/", 6).alias("sixth"),
+        text.includes_inside(p, "/").alias("inside"),
+        pages.visibility(u, F.endswith(urls.part(u, "host"), F.lit(".com")), F.lit(False)).alias("visibility"),
+        (pages.urls_to_vote(u, bare, F.array(F.lit("..."))) == F.array(u)).alias("one_vote"),
+    )
+
+
+@query(f"""
+WITH s AS (SELECT page_id, 'https://www.google.com/search?q=' || replace(substr({_PATH}, 2), '/', '+') AS url FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, 'https://search.brave.com/news?q=' || replace(substr({_PATH}, 2), '/', '%20') FROM pages WHERE page_id % 2 = 1)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'search-go' ELSE 'search-brn' END AS category, replace(replace(split_part(url, 'q=', 2), '+', ' '), '%20', ' ') AS query,
+  split_part(url, 'q=', 1) || 'q=' || replace(split_part(url, 'q=', 2), '%20', '+') AS request_url FROM s
+""")
+def search_requests(spark, d):
+    words = F.substr(urls.part(F.col("url"), "path"), F.lit(2))
+    even = F.concat(F.lit("https://www.google.com/search?q="), F.replace(words, F.lit("/"), F.lit("+")))
+    odd = F.concat(F.lit("https://search.brave.com/news?q="), F.replace(words, F.lit("/"), F.lit("%20")))
+    p = table(spark, d, "pages").withColumn("url", F.when(F.col("page_id") % 2 == 0, even).otherwise(odd))
+    return p.select("page_id", urls.analyse_search(F.col("url")).alias("s")).select("page_id", "s.*")
+
+
+@query("SELECT event_id, epoch_ms(ts) >= 1265000000000 AS is_millis, ts <= TIMESTAMP '2024-01-31 00:02:00' AS not_future, greatest(floor((1706659200000 - epoch_ms(ts)) / 604800000), 0)::BIGINT AS missed, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS midnight, strftime(ts, '%Y%m%d') AS day FROM events")
+def time_checks(spark, d):
+    ms, now = times.millis(F.col("ts")), F.lit(1706659200000)
+    return _events(spark, d).select(
+        "event_id",
+        times.is_epoch_millis(ms.cast("string"), now).alias("is_millis"),
+        times.not_from_future(F.col("ts"), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).alias("not_future"),
+        times.missed_periods(ms, now, 604_800_000).alias("missed"),
+        times.next_midnight(F.col("ts")).alias("midnight"),
+        times.day(F.col("ts")).alias("day"),
+    )
+
+
+@query("""
+WITH c AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM conversations),
+w AS (SELECT word, string_split(word, '') AS l FROM c WHERE regexp_matches(word, '^[a-z]+$')),
+p AS (SELECT word, count(*)::DOUBLE / any_value(length(word)) AS p FROM (SELECT word, unnest(l) AS ch FROM w) GROUP BY word, ch)
+SELECT w.word, round(any_value(e), 9) + 0 AS entropy, round(length(regexp_replace(w.word, '[^a-f]', '', 'g')) / length(w.word), 9) AS hex, round(length(regexp_replace(w.word, '[^aeiou]', '', 'g')) / length(w.word), 9) AS vowels
+FROM w JOIN (SELECT word, -sum(p * log2(p)) AS e FROM p GROUP BY word) USING (word) GROUP BY w.word
+""")
+def word_features(spark, d):
+    w = table(spark, d, "conversations").select(F.explode(F.split("text", " ")).alias("w")).select(F.lower("w").alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    c = F.col("word")
+    return w.select("word", (F.round(text.entropy(c), 9) + 0).alias("entropy"), F.round(text.share(c, "[a-f0-9]"), 9).alias("hex"), F.round(text.share(c, "[aeiou]"), 9).alias("vowels"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id < 1 THEN 0 WHEN event_id = 1 THEN 1 ELSE 2 ** length(ltrim(bin(event_id - 1), '0')) END::BIGINT AS power, least(greatest(value, 5.0), 50.0) AS clamped,
+  base64(props::BLOB) AS coded, props AS decoded, 1 + floor(('0x' || substr(md5('3:' || event_id), 1, 13))::BIGINT / 4503599627370496.0 * 6)::BIGINT AS die FROM events
+""")
+def number_functions(spark, d):
+    i = F.col("event_id")
+    return _events(spark, d).select(
+        "event_id",
+        numbers.next_power_of_two(i).alias("power"),
+        numbers.clamp(F.col("value"), 5.0, 50.0).alias("clamped"),
+        text.to_base64(F.col("props")).alias("coded"),
+        text.from_base64(text.to_base64(F.col("props"))).alias("decoded"),
+        numbers.uniform_int(i, 1, 6, 3).alias("die"),
+    )
+
+
+@query("SELECT user_id, 1000000 + floor(('0x' || substr(md5('0:' || user_id), 1, 13))::BIGINT / 4503599627370496.0 * 604800001)::BIGINT AS first_end, round(544320000 + ('0x' || substr(md5('1:' || user_id), 1, 13))::BIGINT / 4503599627370496.0 * 120960000, 3) AS period FROM (SELECT DISTINCT user_id FROM events)")
+def rotation_config(spark, d):
+    u = _events(spark, d).select("user_id").distinct()
+    return u.select("user_id", numbers.first_end(F.col("user_id"), F.lit(1_000_000), 604_800_000).alias("first_end"), F.round(numbers.jittered(F.col("user_id"), 604_800_000.0, seed=1), 3).alias("period"))
+
+
+@query("SELECT interval, sum(1)::BIGINT * any_value(CASE interval WHEN '1d' THEN 1 WHEN '1w' THEN 10 ELSE 100 END) AS activity FROM (SELECT ['1d', '1w', '4w'][(user_id % 3 + 1)::INT] AS interval FROM events) GROUP BY interval")
+def activity_total(spark, d):
+    interval = F.element_at(F.array(F.lit("1d"), F.lit("1w"), F.lit("4w")), (F.col("user_id") % 3 + 1).cast("int"))
+    c = _events(spark, d).groupBy(interval.alias("interval"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return popularity.activity_total(c)
+
+
+@query(f"""
+WITH v AS (SELECT p.page_id, {_HOST.replace("url", "p.url")} || {_PATH.replace("url", "p.url")} AS key, user_id FROM events e JOIN pages p ON p.page_id = CAST({_K} AS INT)),
+q AS (SELECT key, count(DISTINCT user_id) >= 70 AS reached FROM v GROUP BY key)
+SELECT 'path' AS projection, '1d' AS interval, CASE WHEN reached THEN key ELSE '--' END AS vote, CASE WHEN page_id % 2 = 0 THEN 'de' ELSE '--' END AS country, count(*)::BIGINT AS n
+FROM v JOIN q USING (key) GROUP BY ALL
+""")
+def prepared_votes(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(urls.part(F.col("url"), "host"), urls.part(F.col("url"), "path")).alias("key"))
+    v = _events(spark, d).select("user_id", F.col("k").cast("long").alias("page_id")).join(p, "page_id")
+    votes = v.select(F.lit("path").alias("projection"), F.lit("1d").alias("interval"), "key", F.when(F.col("page_id") % 2 == 0, "de").otherwise("xx").alias("country"))
+    out = popularity.prepared_votes(votes, pages.quorum(v, "key", "user_id", 70), ("de", "fr"))
+    return out.groupBy("projection", "interval", "vote", "country").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, event_type <> 'purchase' AS a, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
+l AS (SELECT user_id, max((ts, event_id)) FILTER (NOT a) AS last FROM e GROUP BY user_id)
+SELECT user_id, round(coalesce(sum((epoch_us(nxt) - epoch_us(ts)) / 1e6) FILTER (a AND (ts, event_id) < last), 0), 3) AS active_seconds FROM e JOIN l USING (user_id) GROUP BY user_id
+""")
+def active_time(spark, d):
+    a = pages.active_time(_events(spark, d), "user_id", ["ts", "event_id"], "ts", F.col("event_type") != "purchase")
+    return a.withColumn("active_seconds", F.round("active_seconds", 3))
+
+
+@query("""
+WITH x AS (SELECT user_id AS client, count(DISTINCT event_id) FILTER (event_type <> 'error') AS persisted, count(*) AS pages FROM events WHERE event_type <> 'purchase' GROUP BY user_id)
+SELECT client, 'keys differ' AS violation FROM x WHERE persisted < pages UNION ALL SELECT client, 'too many pages' FROM x WHERE pages > 50
+""")
+def store_violations(spark, d):
+    e = _events(spark, d).where("event_type <> 'purchase'").select(F.col("user_id").alias("client"), F.col("event_id").cast("string").alias("url"), "event_type", F.col("event_id").alias("position"), F.col("ts").alias("created_at"))
+    return pages.store_violations(e, e.where("event_type <> 'error'"), e, most=50)
+
+
+@query("""
+WITH b AS (SELECT user_id, floor(epoch_ms(ts) / 524288)::BIGINT AS bucket, value FROM events)
+SELECT user_id, CASE WHEN count(*) > count(DISTINCT bucket) THEN 'repeated bucket' ELSE 'bucket overrun' END AS violation FROM b GROUP BY user_id HAVING count(*) > 7
+""")
+def bucket_violations(spark, d):
+    e = _events(spark, d).withColumn("bucket", times.bucket(F.col("ts")))
+    return popularity.bucket_violations(e, "user_id", "bucket", "value")
+
+
+@query(f"SELECT page_id, url, regexp_extract({_PATH}, '([^/]*)$', 1) AS title, 'complete' AS status, 0.0::DOUBLE AS activity FROM pages")
+def page_documents(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract(urls.part(F.col("url"), "path"), "([^/]*)$", 1).alias("title"), F.lit("complete").alias("status"))
+    docs = pages.documents(p.withColumn("lang", F.col("page_id")).drop("page_id"), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+    return docs.select(F.col("lang").alias("page_id"), "url", "title", "status", "aggregator.activity")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'private' ELSE 'public' END AS visibility, CASE WHEN page_id % 3 > 0 THEN 'r' END AS ref, CASE WHEN page_id % 2 = 0 THEN 0.5::DOUBLE END AS activity FROM pages")
+def page_descriptions(spark, d):
+    i = F.col("page_id")
+    t = table(spark, d, "pages").select(
+        F.lit("complete").alias("status"), i.cast("string").alias("title"), "url", F.lit("public").alias("visibility"), F.lit(1).alias("window_id"), i.alias("updated_at"), (i % 2 == 0).alias("active"),
+        F.when(i % 3 > 0, "r").otherwise("").alias("previous_url"), F.lit("full").alias("load_method"), F.lit("de").alias("language"), (i % 5 == 0).alias("noindex"),
+        F.array().cast("array<string>").alias("redirects"), F.struct(F.lit(0).alias("depth")).alias("search"), F.lit(0.5).alias("activity"),
+    )
+    return pages.descriptions(t).select(F.col("title").cast("long").alias("page_id"), "visibility", "ref", "activity")
+
+
+@query(_JOBS + ", r AS (SELECT * FROM j WHERE ready_at <= TIMESTAMP '1996-01-01' AND expire_at > TIMESTAMP '1996-01-01' AND type <> '1-URGENT') SELECT job_id, row_number() OVER (PARTITION BY type ORDER BY greatest(created_at, ready_at), job_id)::BIGINT AS turn FROM r")
+def job_turns(spark, d):
+    now = F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    cooling = spark.sql("SELECT '1-URGENT' AS type, TIMESTAMP_NTZ '1996-01-02 00:00:00' AS until UNION ALL SELECT '2-HIGH', TIMESTAMP_NTZ '1995-12-31 00:00:00'")
+    return messages.next_jobs(_jobs(spark, d), now, cooling).select("job_id", "turn")
+
+
+@query("SELECT o_orderkey AS parent_id, p::INT AS position, ['check', 'send'][p + 1] AS type, o_orderdate::TIMESTAMP AS ready_at FROM orders, range(2) t(p) WHERE o_orderkey % 2 = 1")
+def child_jobs(spark, d):
+    kinds = F.array(F.struct(F.lit("check").alias("type")), F.struct(F.lit("send").alias("type")))
+    o = table(spark, d, "orders").where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("job_id"), "o_orderdate", kinds.alias("children"))
+    return messages.child_jobs(o, F.col("o_orderdate")).select("parent_id", "position", "type", "ready_at")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)">', 1) AS l FROM pages)
+SELECT page_id, 'heading' AS action, replace(h, '&amp;', '&') AS title, NULL AS n FROM p WHERE h <> ''
+UNION ALL SELECT page_id, 'links', NULL, len(l)::INT FROM p WHERE len(l) > 0
+""")
+def rule_messages(spark, d):
+    rules = {
+        "_meta": {"minVersion": 1},
+        "page": {
+            "prune": [{"first": "style"}, {"all": "script"}],
+            "input": {"article": {"first": {"title": {"firstMatch": [{"select": "h7", "attr": "text"}, {"select": "h1", "attr": "text"}]}}}, "nav ul > li": {"all": {"label": {"select": "a", "attr": "text"}, "href": {"select": "a[href]", "attr": "href"}}}},
+            "output": {
+                "heading": {"fields": [{"key": "title", "source": "article"}, {"key": "url"}]},
+                "links": {"fields": [{"key": "items", "source": "nav ul > li", "requiredKeys": ["href"]}]},
+                "fallback": {"fields": [{"key": "url"}], "omitIfExistsAny": ["heading", "links"]},
+            },
+        },
+    }
+    out = html.messages(table(spark, d, "pages").select("page_id", "url", "html"), rules, {"url": "url"})
+    items = F.from_json(F.get_json_object("payload", "$.items"), "map<string, struct<href string>>")
+    return out.select("page_id", "action", F.get_json_object("payload", "$.title").alias("title"), F.when(items.isNotNull(), F.size(items)).alias("n"))
+
+
+@query(f"""
+SELECT page_id, sha1('a' || chr(10) || json_object('v0', url, 'v1', [h, {_PATH}], 'v2', h)) AS key FROM (SELECT page_id, url, {_HOST} AS h FROM pages)
+""")
+def nested_dedup_keys(spark, d):
+    kind = T.StructType([T.StructField("u", T.StringType()), T.StructField("l", T.ArrayType(T.StructType([T.StructField("x", T.StringType())])))])
+    u = F.col("url")
+    payload = F.struct(u.alias("u"), F.array(F.struct(urls.part(u, "host").alias("x")), F.struct(urls.part(u, "path").alias("x")), F.struct(F.lit(None).cast("string").alias("x"))).alias("l"))
+    p = table(spark, d, "pages").select("page_id", payload.alias("p"))
+    return p.select("page_id", nested.dedup_key(F.lit("a"), F.col("p"), kind, "u,l.[].x,l.0.x").alias("key"))
+
+
+@query(f"""
+SELECT page_id, list_sort(list_filter(['c', 'scheme_' || split_part(url, ':', 1), CASE WHEN {_SEARCH} <> '' THEN 'has_qs' END, CASE WHEN regexp_matches(url, '#.') THEN 'has_fragment' END, CASE page_id % 3 WHEN 0 THEN 'type_2' WHEN 1 THEN 'type_11' ELSE 'type_unknown' END,
+  CASE WHEN page_id % 2 = 0 THEN 'has_post' END, CASE WHEN contains(url, 'ref') THEN 'hasPlaceHolder' END, 'referer_leak_site', 'referer_leak_path', CASE WHEN page_id % 4 = 0 THEN 'cookie_set' END], lambda x: x IS NOT NULL)).array_to_string(',') AS stats FROM pages
+""")
+def request_counters(spark, d):
+    u, i = F.col("url"), F.col("page_id")
+    kind = F.element_at(F.array(F.lit("script"), F.lit("xmlhttprequest"), F.lit("odd")), (i % 3 + 1).cast("int"))
+    a = requests.stat_names(u, kind, F.when(i % 2 == 0, "POST").otherwise("GET"), "ref")
+    b = requests.header_stats(u, u, F.lit("none"), F.when(i % 4 == 0, "a=bcdef").otherwise("a=b"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.concat(a, b)), ",").alias("stats"))
+
+
+@query("SELECT event_id, event_type AS previous_type FROM (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_type FROM events)")
+def previous_state(spark, d):
+    return pages.previous(_events(spark, d), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", F.col("previous_event_type").alias("previous_type"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'no structure' WHEN event_type = 'click' THEN 'incomplete' WHEN user_id % 3 = 0 AND event_type <> 'view' THEN 'noindex' WHEN user_id % 5 = 0 THEN 'search page' END AS rejected FROM events WHERE ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-31 00:00:00'")
+def expired_pages(spark, d):
+    t = F.col("event_type")
+    e = _events(spark, d).select("event_id", F.col("ts").alias("created"), F.when(t != "error", "t").alias("title"), F.when(t == "click", "pending").otherwise("complete").alias("status"), (F.col("user_id") % 3 == 0).alias("noindex"), F.when(t == "view", "history-navigation").alias("load_method"), F.when(F.col("user_id") % 5 == 0, 0).alias("depth"))
+    e = e.withColumn("load_method", F.coalesce("load_method", F.lit("full")))
+    return pages.expiring(e, F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("event_id", "rejected")
+
+
+@query(f"""
+WITH t AS (SELECT {_K} AS token, count(DISTINCT user_id) AS sites, count(*) AS uses, min(ts) AS created FROM events GROUP BY ALL)
+SELECT token FROM t WHERE (sites > 1 OR (uses > 1 AND created < {NOW} - INTERVAL 1 HOUR)) AND token <> '7'
+""")
+def sendable_tokens(spark, d):
+    sent = F.when(F.col("token") == "7", "20240131")
+    return requests.sendable(requests.token_stats(_tokens(spark, d)), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")), sent).select("token")
+
+
+@query(f"""
+WITH d AS (SELECT event_id AS document_id, user_id AS page_id, event_type = 'error' AS pre FROM events WHERE event_id % 2 = 0)
+SELECT r.event_id, coalesce(o.page_id, p.page_id) AS page_id FROM events r LEFT JOIN d o ON o.document_id = r.event_id LEFT JOIN d p ON p.document_id = r.event_id - 1
+WHERE coalesce(o.page_id, p.page_id) IS NOT NULL AND NOT coalesce(o.pre, false)
+""")
+def attributed_requests(spark, d):
+    e = _events(spark, d)
+    r = e.select("event_id", F.col("event_id").alias("document_id"), (F.col("event_id") - 1).alias("parent_document_id"))
+    docs = e.where("event_id % 2 = 0").select(F.col("event_id").alias("document_id"), F.col("user_id").alias("page_id"), F.when(F.col("event_type") == "error", "prerender").otherwise("active").alias("lifecycle"))
+    return requests.attribute(r, docs).select("event_id", "page_id")
+
+
+@query("SELECT event_id FROM events WHERE props NOT IN (SELECT props FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-02')")
+def unseen_messages(spark, d):
+    e = _events(spark, d)
+    expire = F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'")).otherwise(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    seen = e.where("event_type = 'signup'").select("props", expire.alias("expire_at"))
+    return messages.not_seen(e, seen, "props", F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'projection' WHEN event_type = 'click' THEN 'interval' WHEN user_id % 5 > 3 THEN 'votes' WHEN value <> floor(value) THEN 'activity' END AS refused FROM events")
+def vote_legality(spark, d):
+    t = F.col("event_type")
+    e = _events(spark, d).select("event_id", F.when(t == "error", "odd").otherwise("host").alias("projection"), F.when(t == "click", "2d").otherwise("1d").alias("interval"), (F.col("user_id") % 5).alias("votes"), F.col("value").alias("activity"))
+    return e.select("event_id", popularity.legal_votes(e).alias("refused"))
+
+
+@query("SELECT event_id, json_object('payload', json_object('ctry', 'de', 'data', json_object('k', event_type), 'day', strftime(ts, '%Y%m%d'), 'ts', strftime(ts, '%Y%m%d%H'))) ->> '$.payload' AS payload FROM events")
+def telemetry_envelopes(spark, d):
+    out = gates.envelope({"k": F.col("event_type")}, "metrics", F.col("ts"), F.lit("ch"), F.lit("de"))
+    return _events(spark, d).select("event_id", F.get_json_object(out, "$.payload").alias("payload"))
+
+
+@query("SELECT user_id AS page_id, CASE WHEN user_id % 7 = 0 THEN 'no page id' WHEN user_id % 4 = 3 THEN 'depth' ELSE 'depth 2 left its host' END AS violation FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 = 0 OR user_id % 4 = 3 OR (user_id % 4 = 2 AND user_id % 3 > 0)")
+def tab_violations(spark, d):
+    u = F.col("user_id")
+    t = _events(spark, d).select("user_id").distinct().select(u, F.when(u % 7 > 0, u).alias("page_id"), (u % 4).cast("int").alias("depth"), F.lit("a").alias("host"), F.when(u % 3 > 0, "b").otherwise("a").alias("previous_host"))
+    return messages.tab_violations(t).select(F.col("user_id").alias("page_id"), "violation")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
