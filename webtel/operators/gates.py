@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webtel.functions import sanitize, text, urls
 from webtel.functions.nested import canonical_json
+from webtel.session import Stages
 
 
 def cookie_gate(listed: Column, compatible: Column, trusted: Column, visited: Column, clicked: Column) -> Column:
@@ -86,10 +87,15 @@ def supported(agent: Column, least: dict[str, float]) -> Column:
 
 
 def alive_messages(clients: DataFrame, columns: list[str], k: int, client: str = "client", hour: str = "hour") -> DataFrame:
-    """One row per client and hour; the configuration is blank unless k clients share it."""
+    """One row per client and hour; the configuration is blank unless k clients share it.
+
+    The counts are written, so that the join has a plain exchange on both
+    sides, where Spark can split a configuration that most clients have.
+    """
     config = F.to_json(F.struct(*columns))
-    c = clients.withColumn("_config", config)
+    c = clients.select(client, hour, *columns).distinct().withColumn("_config", config)
     shared = c.groupBy("_config").agg(F.countDistinct(client).alias("_n"))
+    shared = Stages(clients.sparkSession, "alive").write(shared, "shared")
     j = c.join(shared, "_config").drop("_config")
     blank = {x: F.when(F.col("_n") >= k, F.col(x)).otherwise("") for x in columns}
     return j.withColumns(blank).select(client, hour, *columns).distinct()
