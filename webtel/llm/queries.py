@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtel.llm import ann, embed_dedup, licenses, packing, pii, secret_scan, simhash, sp_codec, substring, toxicity
+from webtel.llm import ann, embed_dedup, licenses, line_dedup, packing, pii, resampling, secret_scan, simhash, sp_codec, substring, toxicity, whitening
 from webtel.session import ship_package
 
 
@@ -71,6 +71,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, base, secret_scan.listed((*secret_scan.KINDS, "random")).alias("spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.digest_without_common_lines(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.col("out").alias("kept_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
@@ -82,6 +96,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -103,5 +120,32 @@ c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM h JOIN f USING
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM t ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
+    "op12_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+k AS (SELECT doc_id, line, p, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS kept FROM k ANTI JOIN c USING (key) GROUP BY doc_id)
+SELECT d.doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+""",
+    #: The CRC-32 of each distinct word, bit by bit; the rest is counting.
+    "op13_importance_resampling": """
+WITH w AS (SELECT doc_id, true AS raw, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL SELECT NULL, false, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+n AS (SELECT doc_id, raw, word, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT word, hex(word) AS x FROM (SELECT DISTINCT word FROM n)),
+b AS (SELECT word, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, (length(x) // 2)::BIGINT), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+  lambda c, y: list_reduce(list_prepend(xor(c, y), range(0, 8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))) AS crc FROM h),
+u AS (SELECT word, xor(crc, 4294967295) % 10000 AS bucket FROM b),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t FROM n JOIN u USING (word) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM k),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM k, a),
+f AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN u USING (word) JOIN g USING (bucket) WHERE raw GROUP BY doc_id),
+e AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, substr(sha256('2024:' || d.doc_id), 1, 8) AS x FROM documents d LEFT JOIN f USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, ('0x' || x)::BIGINT AS h FROM e),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM z),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS total FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 10 * total // 100 THEN place END AS rank FROM r LEFT JOIN o USING (doc_id)
 """,
 }
