@@ -10,36 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webtel.functions import classify, codec, html, masking, nested, numbers, sanitize, text, times, urls
+from webtel.functions import classify, codec, html, nested, numbers, sanitize, text, times, urls
 from webtel.operators import gates, messages, pages, popularity, requests
+from webtel.plans.registry import _HOST, _K, _PATH, _SEARCH, NOW, ORACLE_SQL, QUERIES, _events, _segments, query
 from webtel.session import Stages, ship_package
 from webtel.sources.tables import table
 from webtel.streaming import flows
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-NOW = "TIMESTAMP '2024-01-31 00:00:00'"
-_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1))"
-_PATH = "coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), ''), '/')"
-_SEARCH = "regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
-_K = "json_extract_string(props, '$.k')"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
-
-
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     return e.select(F.col("event_type").alias("tracker"), F.lit("k").alias("key"), F.col("user_id").alias("site"), F.col("k").alias("token"), (F.col("value") < 50).alias("safe"), "ts", F.col("event_id").alias("order"))
@@ -405,11 +382,6 @@ def extract_rules(spark, d):
     return out.select("page_id", "position", "label")
 
 
-def _segments(spark, d):
-    u = table(spark, d, "pages").select("page_id", F.explode(F.split(urls.part(F.col("url"), "path"), "/")).alias("segment"))
-    return u.where("segment <> ''")
-
-
 @query()
 def hash_classifier(spark, d):
     model = classify.bigram_model(table(spark, d, "conversations"), "text")
@@ -418,12 +390,6 @@ def hash_classifier(spark, d):
     return s.withColumn("p", p).withColumn("identifier", classify.is_identifier(F.col("segment"), F.col("p"), 0.02)).select("segment", F.round("p", 6).alias("p"), "identifier")
 
 
-@query()
-def mask_path(spark, d):
-    model = classify.bigram_model(table(spark, d, "conversations"), "text")
-    return masking.mask_column(_segments(spark, d), "segment", model)
-
-
 # --- gates ------------------------------------------------------------------------------------------------------
 
 
@@ -901,6 +867,8 @@ def stream_sessions(spark, d):
 
 
 def all_queries() -> dict:
+    from webtel.plans import identifiers, states  # noqa: F401  (they register their queries)
+
     def ready(f):
         def run(spark, d):
             ship_package(spark)
