@@ -136,7 +136,7 @@ def decode_component(c: Column) -> Column:
 def decode_repeatedly(c: Column) -> Column:
     """Decoded until nothing changes; what cannot be decoded stays.
 
-    Each round that changes a text makes it shorter by two characters or more, which bounds the rounds.
+    A round turns each %25 into a % at most, so each sequence lives no longer than the longest row of 25 behind a %.
     """
     state = lambda t, done: F.struct(t.alias("text"), done.alias("done"))
 
@@ -144,7 +144,8 @@ def decode_repeatedly(c: Column) -> Column:
         new = F.coalesce(decode_component(s["text"]), s["text"])
         return F.when(s["done"], s).otherwise(state(new, new == s["text"]))
 
-    rounds = F.sequence(F.lit(0), F.coalesce(F.length(c), F.lit(0)).cast("int"))
+    longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit("%(?:25)*"), F.lit(0)), F.length))
+    rounds = F.sequence(F.lit(0), F.coalesce(F.floor(longest / 2), F.lit(0)).cast("int") + 1)
     return F.aggregate(rounds, state(c, c.isNull() | ~F.contains(c, F.lit("%"))), step, lambda s: s["text"])
 
 

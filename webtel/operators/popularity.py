@@ -54,14 +54,19 @@ def bernoulli(df: DataFrame, one_in: int, id_col: str, seed: int | None = None)
 def weighted_picks(counted: DataFrame, picks: DataFrame, n: str = "n", key: str = "key", group: str | None = None) -> DataFrame:
     """Keys at given positions of the counts laid end to end: a sample with replacement by count.
 
-    `picks` has `group` (if any) and `position` from 0 below the total.
+    `picks` has `group` (if any) and `position` from 0 below the total. Keys
+    and picks meet by equality in slots as wide as a group's mean count, so
+    that a span is posted to its slots, in all at most two rows for each key,
+    and a pick meets the keys of its slot only, not all of its group.
     """
-    end = F.col("_total")
-    spans = running_total(counted, [group] if group else [], [F.asc(key)], F.col(n), "_total").select(F.col(key).alias("_key"), *([F.col(group).alias("_group")] if group else []), (end - F.col(n)).alias("_start"), end.alias("_end"))
-    hit = (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
-    if group:
-        hit &= F.col(group) == F.col("_group")
-    return picks.join(spans, hit).select(*picks.columns, F.col("_key").alias(key))
+    own = F.col(group) if group else F.lit(0)
+    stats = counted.groupBy(own.alias("_g")).agg(F.greatest(F.ceil(F.sum(n) / F.count(F.lit(1))), F.lit(1)).alias("_width"))
+    spans = running_total(counted.where(F.col(n) > 0), [group] if group else [], [F.asc(key)], F.col(n), "_end").select(F.col(key).alias("_key"), own.alias("_g"), (F.col("_end") - F.col(n)).alias("_start"), "_end")
+    slots = F.sequence(F.floor(F.col("_start") / F.col("_width")), F.floor((F.col("_end") - 1) / F.col("_width")))
+    posted = spans.join(stats, "_g").select("_key", "_start", "_end", F.col("_g").alias("_group"), F.explode(slots).alias("_slot"))
+    p = picks.withColumn("_g", own).join(stats, "_g").withColumn("_at", F.floor(F.col("position") / F.col("_width")))
+    hit = (F.col("_g") == F.col("_group")) & (F.col("_at") == F.col("_slot")) & (F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_end"))
+    return p.join(posted, hit).select(*picks.columns, F.col("_key").alias(key))
 
 
 def with_noise(c: Column, low: float, high: float, seed: int | None) -> Column:

@@ -130,8 +130,8 @@ def key_stats(tokens: DataFrame) -> DataFrame:
 def key_messages(keys: DataFrame, most_tokens: int = 512) -> DataFrame:
     """Tokens of a site in messages of at most so many, unsafe ones apart for each tracker and key; none is left out."""
     apart = F.when(~F.col("safe"), F.concat_ws(":", "tracker", "key")).otherwise("")
-    order = Window.partitionBy("site", "apart").orderBy("token", "tracker", "key")
-    k = keys.withColumn("apart", apart).withColumn("part", F.floor((F.row_number().over(order) - 1) / most_tokens))
+    numbered = running_total(keys.withColumn("apart", apart), ["site", "apart"], [F.asc(c) for c in ("token", "tracker", "key")], 1, "_n")
+    k = numbered.withColumn("part", F.floor((F.col("_n") - 1) / most_tokens))
     return k.groupBy("site", "apart", "part").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.count(F.lit(1)).alias("n")).drop("part")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtel.functions import classify, masking, urls
-from webtel.plans.registry import _PATH, _segments, query
+from webtel.operators import suffixes
+from webtel.plans.registry import _HOST, _PATH, _segments, query
 from webtel.sources.tables import table
 
 #: Weights for the query that is compared with SQL; `identifier_fit` and the masks use fitted ones.
@@ -73,3 +74,26 @@ def mask_path(spark, d):
 def mask_host(spark, d):
     hosts = table(spark, d, "pages").select("page_id", urls.part(F.col("url"), "host").alias("host"))
     return masking.mask_hosts(hosts, "host", fitted(spark, d))
+
+
+#: Rules of every kind: plain, of several labels, wildcards, exceptions, private ones.
+RULES = (("com", False), ("net", False), ("uk", False), ("co.uk", False), ("ck", False), ("*.ck", False), ("!www.ck", False), ("*.kawasaki.jp", False), ("jp", False), ("!city.kawasaki.jp", False), ("blog.example.net", True), ("*.store.com", True))
+#: What the last two labels of the pages' hosts are replaced with, by page.
+_ENDS = ("example.com", "example.net", "ck", "www.ck", "shop.co.uk", "kawasaki.jp", "city.kawasaki.jp", "eu.store.com", "unlisted")
+
+
+@query(f"""
+WITH r AS (SELECT unnest([{", ".join(f"'{r}'" for r, _ in RULES)}]) AS rule),
+p AS (SELECT page_id, regexp_replace({_HOST}, '[^.]+\\.[^.]+$', '') || [{", ".join(f"'{e}'" for e in _ENDS)}][page_id % {len(_ENDS)} + 1] AS host FROM pages),
+l AS (SELECT page_id, host, string_split(host, '.') AS l, len(string_split(host, '.')) AS n FROM p),
+x AS (SELECT page_id, n, unnest(range(1, n + 1)) AS k, l FROM l),
+s AS (SELECT page_id, k, array_to_string(l[n - k + 1:], '.') AS suffix, array_to_string(l[n - k + 2:], '.') AS behind FROM x),
+m AS (SELECT page_id, max(k) FILTER (suffix IN (SELECT rule FROM r) OR '*.' || behind IN (SELECT rule FROM r)) AS k, max(k - 1) FILTER ('!' || suffix IN (SELECT rule FROM r)) AS e FROM s GROUP BY page_id),
+b AS (SELECT page_id, host, l, n, coalesce(e, k, 1) AS k FROM l JOIN m USING (page_id))
+SELECT page_id, host, array_to_string(l[n - k + 1:], '.') AS suffix, CASE WHEN n > k THEN array_to_string(l[n - k:], '.') END AS domain FROM b
+""")
+def suffix_domains(spark, d):
+    """Domains of hosts under a table of rules with wildcards and exceptions."""
+    ends = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
+    hosts = table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace(urls.part(F.col("url"), "host"), r"[^.]+\.[^.]+$", ""), ends).alias("host"))
+    return suffixes.with_domain(hosts, "host", spark.createDataFrame(RULES, "rule string, private boolean"))

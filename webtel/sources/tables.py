@@ -35,8 +35,13 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def untrusted_json(text: Column, schema: str, most: int = 1 << 20) -> Column:
-    """A JSON text by a declared schema; null if it is too long or broken."""
-    return F.from_json(F.when(F.length(text) <= most, text), schema, {"mode": "PERMISSIVE"})
+    """A JSON object by a declared schema; null if it is null, too long, broken or no object.
+
+    A value of another type than declared is null by itself.
+    """
+    parsed = F.try_parse_json(F.when(F.length(text) <= most, text))
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    return F.when(is_object, F.from_json(text, schema, {"mode": "PERMISSIVE"}))
 
 
 def rules(spark: SparkSession, path: str, most: int = 1 << 20) -> dict:

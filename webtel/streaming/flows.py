@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,20 @@ def add_if_absent(stream: DataFrame, key: str, ttl_ms: int, ts: str = "ts") -> D
     return keyed.groupBy("key").transformWithStateInPandas(ExpiringSet(ttl_ms), "key string, at_ms long", "append", "EventTime")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in this block keep their state in RocksDB, as operators with state of their own need it."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:
     """Process what is there and stop. Files in `path` are written exactly once; `each` gets whole batches instead."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
