@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from webtel.functions import sanitize
 from webtel.operators import messages, pages, popularity, requests
 from webtel.session import Stages
 from webtel.sources import tables
@@ -115,7 +116,7 @@ def test_gates(spark):
     lines = spark.createDataFrame([(["a=1; Path=/", "b=x=y", "a=2", "junk"],)], "l array<string>")
     assert lines.select(gates.captured(F.col("l")).alias("m")).first().m == {"a": "2", "b": "x=y"}
     t = spark.createDataFrame([("Caf� society news", "Café society news"), ("A long enough headline here", "A long enough headline, here!"), ("x", "y"), (None, "a")], "a string, b string")
-    assert [r.c for r in t.select(gates.close_titles()("a", "b").alias("c")).collect()] == [True, True, False, False]
+    assert [r.c for r in t.select(sanitize.titles_match(F.col("b"), F.col("a")).alias("c")).collect()] == [True, True, False, False]
     h = spark.createDataFrame([("printer.local", None), ("shop.com", True), ("shop.com", None), ("10.0.0.1", None)], "h string, l boolean")
     assert [r.p for r in h.select(gates.private_host(F.col("h"), F.col("l")).alias("p")).collect()] == [True, True, False, True]
     u = spark.createDataFrame([("https://a.test/login", True, True, True), ("https://a.test/login", True, False, None), ("https://a.test/x", None, None, None)], "u string, c boolean, i boolean, r boolean")

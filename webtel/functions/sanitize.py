@@ -114,12 +114,45 @@ def protect(url: Column, publishable: Column) -> Column:
     return F.when(publishable | pure, url).otherwise(bare)
 
 
+#: The mark of a broken character, the most broken ones of a title, and how much shorter a title may become.
+BROKEN, MOST_BROKEN, LEAST_KEPT = "\ufffd", 0.2, 0.75
+
+
+def _broken_encoding(before: Column, after: Column) -> Column:
+    """Whether `before` stands in `after` but for characters beyond ASCII that became broken ones, and these are few."""
+    odd = lambda c: F.regexp_replace(c, r"[^\x20-\x7f]", BROKEN)
+    at = F.instr(odd(after), odd(before))
+    pairs = F.arrays_zip(F.split(before, "").alias("b"), F.split(F.substr(after, at, F.length(before)), "").alias("a"))
+    lost = lambda p: (p["b"] != p["a"]) & (p["a"] == BROKEN) & p["b"].rlike(r"[^\x20-\x7f]")
+    tolerable = F.forall(pairs, lambda p: (p["b"] == p["a"]) | lost(p))
+    few = F.size(F.filter(pairs, lost)) < MOST_BROKEN * F.length(after)
+    return F.contains(after, F.lit(BROKEN)) & (at > 0) & tolerable & few & ~F.contains(after, F.lit(BROKEN * 3))
+
+
+def runs_through(text: Column, part: Column) -> Column:
+    """Whether the characters of `part` stand in `text` in their order, with others between."""
+    step = lambda n, ch: n + F.when(F.substr(part, n + 1, F.lit(1)) == ch, 1).otherwise(0)
+    return F.aggregate(F.split(text, ""), F.lit(0), step) == F.length(part)
+
+
 def titles_match(before: Column, after: Column) -> Column:
-    """Equal titles, equal but for case and white space, or one of six characters or more inside the other."""
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    a, b = norm(before), norm(after)
-    inside = (F.least(F.length(a), F.length(b)) >= 6) & (F.contains(a, b) | F.contains(b, a))
-    return F.coalesce((before == after) | (a == b) | inside, F.lit(False))
+    """Whether a title may be published, given that of the anonymous copy, which is public. False if either is null or empty.
+
+    Equal, but for case and white space too; six characters or more that
+    stand in the copy's; the same with a few broken characters; or longer
+    than the copy's, from which only small parts were cut. The order matters:
+    what only the title before has is not public.
+    """
+    norm = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+
+    def judged(t: Column) -> Column:
+        b, a = t["b"], t["a"]
+        inside = (F.length(b) >= 6) & F.contains(a, b)
+        shorter = (F.length(b) > F.length(a)) & (F.length(a) > 12) & (F.length(a) > LEAST_KEPT * F.length(b))
+        return (b == a) | inside | (F.contains(a, F.lit(BROKEN)) & _broken_encoding(b, a)) | (shorter & runs_through(b, a))
+
+    given = (F.length(before) > 0) & (F.length(after) > 0)
+    return F.coalesce(given & ((before == after) | urls.let(F.struct(norm(before).alias("b"), norm(after).alias("a")), judged)), F.lit(False))
 
 
 def structure_gate(before: dict[str, Column], after: dict[str, Column]) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,25 +162,6 @@ def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> D
     return d.groupBy(*partition, "run", value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def close_titles():
-    """Pandas UDF: titles that are equal but for broken encoding, or where the shorter runs through the longer."""
-
-    @F.pandas_udf("boolean")
-    def close(before: pd.Series, after: pd.Series) -> pd.Series:
-        def one(a, b):
-            if not a or not b:
-                return False
-            if len(a) == len(b) and sum(x != y and ord(x) < 128 and ord(y) < 128 for x, y in zip(a, b, strict=True)) == 0:
-                return sum(x != y for x, y in zip(a, b, strict=True)) < 0.2 * len(a)
-            short, long = sorted((a, b), key=len)
-            rest = iter(long)
-            return len(short) > 12 and len(short) > 0.75 * len(long) and all(c in rest for c in short)
-
-        return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
-
-    return close
-
-
 def rotating_members(added: DataFrame, now: Column, value: str = "value", ts: str = "ts", months: int = 3, generations: int = 2) -> DataFrame:
     """Values of the newest generations, each of some months: what a rotating filter still holds."""
     generation = F.floor(F.months_between(F.col(ts), F.lit("1970-01-01").cast("timestamp")) / months)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtel.functions import classify, masking, urls
+from webtel.functions import classify, masking, sanitize, urls
 from webtel.operators import suffixes
 from webtel.plans.registry import _HOST, _PATH, _segments, query
 from webtel.sources.tables import table
@@ -97,3 +97,27 @@ def suffix_domains(spark, d):
     ends = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
     hosts = table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace(urls.part(F.col("url"), "host"), r"[^.]+\.[^.]+$", ""), ends).alias("host"))
     return suffixes.with_domain(hosts, "host", spark.createDataFrame(RULES, "rule string, private boolean"))
+
+
+# --- titles -----------------------------------------------------------------------------------------------------
+
+#: What becomes of a text in the anonymous copy, by page, in both languages.
+_TITLE = "'Nouvelle Séance ' || page_id || ' of the longer kind of titles'"
+_COPIES = ("upper(t)", "t || ' - Site'", "replace(t, 'é', chr(65533))", "replace(t, 'the ', '')", "substr(t, 1, 20)", "'Other ' || t", "replace(replace(t, ' ', ''), 'k', 'K')", "replace(replace(t, 'é', chr(65533)), 'l', chr(65533))")
+
+
+@query(f"""
+WITH t AS (SELECT page_id, {_TITLE} AS t FROM pages),
+p AS (SELECT page_id, t, CASE page_id % {len(_COPIES)} {" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_COPIES))} END AS c FROM t),
+n AS (SELECT page_id, regexp_replace(lower(t), '\\s', '', 'g') AS b, regexp_replace(lower(c), '\\s', '', 'g') AS a FROM p),
+m AS (SELECT *, strpos(regexp_replace(a, '[^\\x20-\\x7f]', chr(65533), 'g'), regexp_replace(b, '[^\\x20-\\x7f]', chr(65533), 'g')) AS pos FROM n),
+k AS (SELECT *, list_filter(range(1, length(b) + 1), lambda i: b[i:i] <> substr(a, (pos + i - 1)::INT, 1)) AS changed FROM m)
+SELECT page_id, a = b OR (length(b) >= 6 AND contains(a, b))
+  OR (contains(a, chr(65533)) AND pos > 0 AND len(list_filter(changed, lambda i: substr(a, (pos + i - 1)::INT, 1) <> chr(65533) OR regexp_matches(b[i:i], '[\\x20-\\x7f]'))) = 0 AND len(changed) < 0.2 * length(a) AND NOT contains(a, repeat(chr(65533), 3)))
+  OR (length(b) > length(a) AND length(a) > 12 AND length(a) > 0.75 * length(b) AND regexp_matches(b, array_to_string(list_transform(string_split(a, ''), lambda x: regexp_escape(x)), '.*'))) AS public FROM k
+""")
+def title_matches(spark, d):
+    """Whether titles may be published, given those of anonymous copies that differ in various ways."""
+    p = table(spark, d, "pages").select("page_id", F.expr(_TITLE).alias("t"))
+    copies = F.expr("CASE " + " ".join(f"WHEN page_id % {len(_COPIES)} = {i} THEN {c}" for i, c in enumerate(_COPIES)).replace("chr(65533)", "'\ufffd'") + " END")
+    return p.withColumn("c", copies).select("page_id", sanitize.titles_match(F.col("t"), F.col("c")).alias("public"))

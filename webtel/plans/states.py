@@ -8,7 +8,8 @@ from webtel.functions import times
 from webtel.operators import filters, openers, rotation
 from webtel.plans.registry import _K, NOW, _events, query
 from webtel.session import Stages
-from webtel.streaming import flows, lifecycle
+from webtel.sources.tables import table
+from webtel.streaming import flows, jobs, lifecycle
 
 _DAY = 86_400_000
 
@@ -72,6 +73,66 @@ def opened_pages(spark, d):
     return found.select("id", "opener", "opener_url", "url", F.array_join("redirects", " ").alias("redirects"))
 
 
+# --- jobs -------------------------------------------------------------------------------------------------------
+
+_JOB_NOW = 820_454_400_000  # 1996-01-01
+_LIMITS = jobs.Limits(per_type=400, total=1_500)
+_ORDERS = f"""
+WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS type, epoch_ms(o_orderdate)::BIGINT AS born, floor(o_totalprice)::BIGINT AS p FROM orders),
+s AS (SELECT id, type, CASE WHEN p % 4 = 0 THEN 'retryable' WHEN p % 4 = 1 THEN 'ready' ELSE 'waiting' END AS state, born AS created, born + 200 * 86400000::BIGINT AS expire, CASE WHEN p % 4 = 0 THEN (p % 2 + 1)::INT END AS attempts, CASE WHEN p % 4 = 0 THEN born END AS queued FROM o WHERE born < {_JOB_NOW} AND born >= {_JOB_NOW} - 300 * 86400000::BIGINT),
+r AS (SELECT *, CASE WHEN expire <= {_JOB_NOW} THEN 'expired' ELSE state END AS st FROM s),
+x AS (SELECT r.*, CASE WHEN st <> 'expired' AND id % 5 = 0 THEN CASE id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'recoverable' ELSE 'permanent' END END AS outcome, CASE WHEN attempts IS NULL THEN 2 ELSE attempts - 1 END AS l FROM r),
+y AS (SELECT id, type, CASE WHEN outcome IS NULL THEN st WHEN outcome = 'ok' THEN 'done' WHEN outcome = 'recoverable' AND l > 0 THEN 'retryable' ELSE 'failed' END AS st, created, expire,
+  CASE WHEN outcome = 'recoverable' AND l > 0 THEN l ELSE attempts END AS attempts, CASE WHEN outcome = 'recoverable' AND l > 0 THEN {_JOB_NOW} ELSE queued END AS queued FROM x),
+d AS (SELECT type, count(*) AS ok FROM y WHERE st = 'done' GROUP BY type),
+w AS (SELECT y.*, CASE WHEN st = 'retryable' THEN row_number() OVER (PARTITION BY y.type, st ORDER BY queued, created, id::VARCHAR) END AS turn FROM y),
+z AS (SELECT id, w.type, CASE WHEN turn <= ok THEN 'ready' ELSE st END AS st, created, attempts, queued FROM w LEFT JOIN d ON d.type = w.type)
+"""
+
+
+def _order_jobs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), times.millis(F.col("o_orderdate")).alias("at"), F.floor("o_totalprice").alias("p"))
+    return o.withColumn("job_id", F.col("id").cast("string"))
+
+
+def _old_jobs(o):
+    retry = F.col("p") % 4 == 0
+    old = o.where((F.col("at") < _JOB_NOW) & (F.col("at") >= _JOB_NOW - 300 * jobs.DAY_MS))
+    return old.select("job_id", "type", F.when(retry, "retryable").when(F.col("p") % 4 == 1, "ready").otherwise("waiting").alias("state"), F.col("at").alias("created_ms"), F.col("at").alias("ready_ms"), (F.col("at") + 200 * jobs.DAY_MS).alias("expire_ms"), F.when(retry, F.col("p") % 2 + 1).cast("int").alias("attempts_left"), F.when(retry, F.col("at")).alias("queued_ms"))
+
+
+def _job_outcomes(o):
+    i = F.col("id")
+    return o.where(i % 5 == 0).select("job_id", F.when(i % 3 == 0, "ok").when(i % 3 == 1, "recoverable").otherwise("permanent").alias("outcome"))
+
+
+@query(_ORDERS + "SELECT id::VARCHAR AS job_id, type, st AS state, attempts AS attempts_left FROM z")
+def job_outcomes(spark, d):
+    """States of jobs after their runs: retries, failures, and those that successes put back."""
+    o = _order_jobs(spark, d)
+    now = F.lit(_JOB_NOW)
+    return jobs.after_outcomes(jobs.restored(_old_jobs(o), now), _job_outcomes(o), now, _LIMITS).select("job_id", "type", "state", "attempts_left")
+
+
+@query(_ORDERS + f""",
+n AS (SELECT id, type, p, CASE WHEN id % 7 = 0 THEN 'bad config' WHEN id % 11 = 0 THEN 'expired' ELSE 'waiting' END AS st FROM o WHERE born >= {_JOB_NOW} AND born < {_JOB_NOW} + 400 * 86400000::BIGINT),
+c AS (SELECT type, count(*) FILTER (st IN ('waiting', 'ready', 'retryable')) AS alive, count(*) FILTER (st = 'retryable') AS retry FROM z GROUP BY type),
+i AS (SELECT n.*, row_number() OVER (PARTITION BY n.type ORDER BY id) AS i FROM n WHERE st = 'waiting'),
+l AS (SELECT i.id, i.type, greatest(i - greatest({_LIMITS.per_type} - coalesce(alive, 0), 0), 0) AS over, coalesce(retry, 0) AS retry FROM i LEFT JOIN c ON c.type = i.type),
+g AS (SELECT type, max(over) AS gone FROM l WHERE over <= retry GROUP BY type),
+q AS (SELECT z.id, z.type, CASE WHEN z.st = 'retryable' AND row_number() OVER (PARTITION BY z.type, z.st ORDER BY queued, created, z.id::VARCHAR) <= gone THEN 'dropped' ELSE z.st END AS st FROM z LEFT JOIN g ON g.type = z.type),
+u AS (SELECT count(*) AS used FROM q WHERE st IN ('waiting', 'ready', 'retryable')),
+f AS (SELECT l.id, l.type, CASE WHEN used + row_number() OVER (ORDER BY l.id) > {_LIMITS.total} THEN 'global limit' ELSE 'waiting' END AS st FROM l, u WHERE over <= retry)
+SELECT id::VARCHAR AS job_id, type, st AS state FROM q UNION ALL SELECT id::VARCHAR, type, st FROM n WHERE st <> 'waiting' UNION ALL SELECT id::VARCHAR, type, 'local limit' FROM l WHERE over > retry UNION ALL SELECT id::VARCHAR, type, st FROM f
+""")
+def job_versions(spark, d):
+    """A whole step: expiry, outcomes, and new jobs up to the limits of their type and of all."""
+    o, i, none = _order_jobs(spark, d), F.col("id"), F.lit(None).cast("long")
+    fresh = o.where((F.col("at") >= _JOB_NOW) & (F.col("at") < _JOB_NOW + 400 * jobs.DAY_MS))
+    fresh = fresh.select("job_id", "type", i.alias("order"), none.alias("ready_ms"), F.when(i % 7 == 0, F.lit(-1)).otherwise(i % 1000).cast("long").alias("min_ms"), none.alias("max_ms"), F.when(i % 11 == 0, F.lit(_JOB_NOW)).alias("expire_ms"), none.alias("ttl_ms"))
+    return jobs.next_version(_old_jobs(o), fresh, _job_outcomes(o), F.lit(_JOB_NOW), _LIMITS).select("job_id", "type", "state")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
