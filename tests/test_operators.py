@@ -24,9 +24,9 @@ def test_attribution(spark):
 
 
 def test_response_stats_count_missing_length_as_one(spark):
-    df = spark.createDataFrame([(200, None, None), (404, 50, "a=b")], "s int, n int, c string")
+    df = spark.createDataFrame([(200, None, "a=b"), (404, 50, "a=bcdef"), (200, 1, "a=b; SameSite=None")], "s int, n int, c string")
     got = [{x.stat: x.n for x in r.x} for r in df.select(requests.response_stats(F.col("s"), F.col("n"), F.col("c")).alias("x")).collect()]
-    assert got == [{"resp_ob": 1, "content_length": 1, "status_200": 1}, {"resp_ob": 1, "content_length": 50, "status_404": 1, "set_cookie_set": 1}]
+    assert got == [{"resp_ob": 1, "content_length": 1, "status_200": 1}, {"resp_ob": 1, "content_length": 50, "status_404": 1, "set_cookie_set": 1}, {"resp_ob": 1, "content_length": 1, "status_200": 1, "set_cookie_set": 1, "set_cookie_samesite_none": 1}]
 
 
 def test_depth_two_stays_on_its_host(spark):

@@ -208,7 +208,7 @@ def randomised_params(url: Column, names: list[str], key: Column) -> Column:
     def fresh(p: Column) -> Column:
         name = F.substring_index(p, "=", 1)
         digest = F.sha2(F.concat_ws("\n", key, name), 256)
-        length = F.lit(6) + F.pmod(F.xxhash64(key, name), F.lit(9)).cast("int")
+        length = F.lit(6) + (F.conv(F.substring(digest, 57, 8), 16, 10).cast("long") % 9).cast("int")
         return F.when(name.isin(*names), F.concat(name, F.lit("="), F.substr(digest, F.lit(1), length))).otherwise(p)
 
     values = F.transform(params(part(url, "search")), fresh)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtel.functions import text, times, urls
+from webtel.functions.numbers import uniform_int
 from webtel.operators.numbering import running_total
 
 
@@ -45,10 +46,10 @@ def cooled_down(visits: DataFrame, tab: str, order: list[str], ts: str, host: st
 
 
 def bernoulli(df: DataFrame, one_in: int, id_col: str, seed: int | None = None) -> DataFrame:
-    """One row in so many: at random with a seed, else the rows whose hash says so."""
+    """One row in so many: at random with a seed, else the rows whose hash says so, the same in every run."""
     if seed is not None:
         return df.where(F.rand(seed) < 1.0 / one_in)
-    return df.where(F.pmod(F.xxhash64(id_col), F.lit(one_in)) == 0)
+    return df.where(uniform_int(F.col(id_col), 0, one_in - 1) == 0)
 
 
 def weighted_picks(counted: DataFrame, picks: DataFrame, n: str = "n", key: str = "key", group: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +78,15 @@ def header_stats(url: Column, page_url: Column, referrer: Column, cookie: Column
 
 
 def response_stats(status: Column, length: Column, set_cookie: Column) -> Column:
-    """(stat, amount) of a response; a missing or zero length counts as one."""
+    """(stat, amount) of a response; a missing or zero length counts as one, cookies of more than five characters are set."""
     pair = lambda s, n: F.struct(s.alias("stat"), n.cast("long").alias("n"))
     return F.array_compact(
         F.array(
             pair(F.lit("resp_ob"), F.lit(1)),
             pair(F.lit("content_length"), F.when(length > 0, length).otherwise(1)),
             F.when(status.isNotNull(), pair(F.concat(F.lit("status_"), status.cast("string")), F.lit(1))),
-            F.when(set_cookie.isNotNull(), pair(F.lit("set_cookie_set"), F.lit(1))),
+            F.when(F.length(set_cookie) > 5, pair(F.lit("set_cookie_set"), F.lit(1))),
+            F.when((F.length(set_cookie) > 5) & F.contains(F.lower(set_cookie), F.lit("samesite=none")), pair(F.lit("set_cookie_samesite_none"), F.lit(1))),
         )
     )
 
@@ -103,6 +106,41 @@ def page_events(stats: DataFrame, pages: DataFrame, page: str) -> DataFrame:
     return head.join(per_page, page)
 
 
+#: Fields of a page's message that no longer hold anything.
+EMPTY_FIELDS = {"c": 1, "ra": 0, "placeHolder": False, "tsv": "", "tsv_id": False}
+
+
+def page_loads(stats: DataFrame, pages: DataFrame, page: str) -> DataFrame:
+    """Whole messages of pages with third parties, once for each document: as page_events, with times, counters and empty fields.
+
+    Pages: `page`, url, document_id, state, is_private, is_private_server,
+    created_ms, destroyed_ms, active_ms, counter, adblocker (null if unknown).
+    Only complete http pages that are not private; of several pages with one
+    document the first to end counts. The path is its first part, hashed.
+    """
+    url = F.col("url")
+    public = (F.col("state") == "complete") & ~F.coalesce(F.col("is_private"), F.lit(False)) & ~F.coalesce(F.col("is_private_server"), F.lit(False)) & F.startswith(urls.part(url, "scheme"), F.lit("http"))
+    once = pages.where(public & F.col("document_id").isNotNull()).groupBy("document_id").agg(F.min(F.struct("destroyed_ms", page, *[c for c in pages.columns if c not in ("destroyed_ms", page, "document_id")])).alias("_p")).select("document_id", "_p.*")
+    per_domain = stats.groupBy(page, "tp_domain").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stat", "n")))).alias("stats"))
+    tps = per_domain.groupBy(page).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tp_domain", F.map_entries("stats").alias("e"))))).alias("_tps"))
+    first_part = F.concat(F.lit("/"), F.split_part(F.substring(urls.part(url, "path"), 2, 1 << 30), F.lit("/"), F.lit(1)))
+    nothing = F.array().cast("array<string>")
+    return once.join(tps, page).select(
+        page,
+        truncated_hash(urls.part(url, "host")).alias("hostname"),
+        truncated_hash(first_part).alias("path"),
+        urls.part(url, "scheme").alias("scheme"),
+        *[F.lit(v).alias(k) for k, v in EMPTY_FIELDS.items()],
+        F.round(F.col("destroyed_ms") - F.col("created_ms")).cast("long").alias("t"),
+        F.col("active_ms").alias("active"),
+        "counter",
+        "adblocker",
+        nothing.alias("redirects"),
+        nothing.alias("redirectsPlaceHolder"),
+        F.transform_values("_tps", lambda _, e: F.map_from_entries(e)).alias("tps"),
+    )
+
+
 def token_stats(tokens: DataFrame) -> DataFrame:
     """Per token: distinct sites and trackers, whether always safe, uses, first use. Input: token, site, tracker, safe, ts."""
     return tokens.groupBy("token").agg(
@@ -157,6 +195,41 @@ def token_verdicts(tokens: DataFrame, safe: DataFrame, blocked: DataFrame, candi
     return j.withColumn("verdict", verdict).drop("_safe", "_blocked")
 
 
+def token_statuses(tokens: DataFrame, safe_keys: DataFrame, safe_tokens: DataFrame, candidate: Callable[[Column], Column], sites: int = 2) -> DataFrame:
+    """`tokens` with `status`, the first of the ordered decisions that holds, as known at the time of the request.
+
+    Tokens: site, page_url, tracker, is_tracker, is_private, key, token, ts,
+    order; safe_keys: tracker, key; safe_tokens: tracker, token. Requests of
+    others than trackers are `no_tracker`. Then: `no_check` (no identifier by
+    `candidate`), `source_url` (it stands in the page's URL), `no_check_decoded`,
+    `safe_key`, `safe_token`, and `threshold` once the token was seen on
+    `sites` sites, this request counted unless it is private; else `new`.
+
+    That moment is found for each token from the first request of each of
+    its sites, of which only the first `sites` are kept before the shuffle.
+    """
+    k = safe_keys.select("tracker", "key").distinct().withColumn("_key", F.lit(True))
+    t = safe_tokens.select("tracker", "token").distinct().withColumn("_token", F.lit(True))
+    j = tokens.join(k, ["tracker", "key"], "left").join(t, ["tracker", "token"], "left")
+    decoded = F.coalesce(urls.decode_component(F.col("token")), F.col("token"))
+    early = (
+        F.when(~F.coalesce(F.col("is_tracker"), F.lit(False)), "no_tracker")
+        .when(~F.coalesce(candidate(F.col("token")), F.lit(False)), "no_check")
+        .when(F.contains("page_url", "token"), "source_url")
+        .when(~F.coalesce(candidate(decoded), F.lit(False)), "no_check_decoded")
+        .when(F.col("_key"), "safe_key")
+        .when(F.col("_token"), "safe_token")
+    )
+    j = j.withColumn("status", early).drop("_key", "_token").select(*tokens.columns, "status")
+    counted = j.where(F.col("status").isNull() & ~F.coalesce(F.col("is_private"), F.lit(False)))
+    firsts = counted.groupBy("token", "site").agg(F.min(F.struct("ts", "order")).alias("_first"))
+    nth = Window.partitionBy("token").orderBy("_first", "site")
+    reached = firsts.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= sites).where(F.col("_n") == sites).select(F.col("token").alias("_t"), F.col("_first").alias("_since"))
+    late = j.join(reached, F.col("token") == F.col("_t"), "left")
+    past = F.coalesce(F.struct("ts", "order") >= F.col("_since"), F.lit(False))
+    return late.withColumn("status", F.coalesce("status", F.when(past, "threshold").otherwise("new"))).drop("_t", "_since")
+
+
 def message_batches(rows: DataFrame, order: list[str], size: int = 10, partition: list[str] | None = None) -> DataFrame:
     """Rows numbered into batches of `size`, within a partition (a day, a site) if any is given."""
     numbered = running_total(rows, partition or [], [F.asc(c) for c in order], 1, "_n")

@@ -382,7 +382,16 @@ def extract_rules(spark, d):
     return out.select("page_id", "position", "label")
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9._-]+')) AS w FROM conversations),
+g AS (SELECT w[i:i + 1] AS g, count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM w) GROUP BY 1),
+a AS (SELECT substr('{classify.ALPHABET}', i::INT, 1) AS c FROM range(1, {len(classify.ALPHABET) + 1}) t(i)),
+m AS (SELECT a.c || b.c AS g, ln((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY a.c)) AS lp FROM a CROSS JOIN a b LEFT JOIN g ON g.g = a.c || b.c),
+s AS (SELECT DISTINCT unnest(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')) AS segment FROM pages),
+p AS (SELECT segment, exp(avg(lp)) AS p FROM (SELECT segment, unnest(range(1, length(segment))) AS i FROM s) JOIN m ON g = lower(segment)[i:i + 1] GROUP BY segment),
+r AS (SELECT segment, coalesce(p, 1.0) AS p FROM s LEFT JOIN p USING (segment))
+SELECT segment, round(p, 6) AS p, regexp_full_match(segment, '[A-Za-z0-9]+') AND length(segment) >= 6 AND p < 0.02 AND NOT regexp_full_match(segment, '[0-9]+(x[0-9]+)?') AND NOT regexp_full_match(lower(segment), '[a-z][a-z]?[0-9][0-9a-z]? ?[0-9][a-z][a-z]') AS identifier FROM r
+""")
 def hash_classifier(spark, d):
     model = classify.bigram_model(table(spark, d, "conversations"), "text")
     s = _segments(spark, d).select("segment").distinct()
@@ -867,7 +876,7 @@ def stream_sessions(spark, d):
 
 
 def all_queries() -> dict:
-    from webtel.plans import identifiers, states  # noqa: F401  (they register their queries)
+    from webtel.plans import details, identifiers, states  # noqa: F401  (they register their queries)
 
     def ready(f):
         def run(spark, d):

@@ -79,7 +79,7 @@ _JOB_NOW = 820_454_400_000  # 1996-01-01
 _LIMITS = jobs.Limits(per_type=400, total=1_500)
 _ORDERS = f"""
 WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS type, epoch_ms(o_orderdate)::BIGINT AS born, floor(o_totalprice)::BIGINT AS p FROM orders),
-s AS (SELECT id, type, CASE WHEN p % 4 = 0 THEN 'retryable' WHEN p % 4 = 1 THEN 'ready' ELSE 'waiting' END AS state, born AS created, born + 200 * 86400000::BIGINT AS expire, CASE WHEN p % 4 = 0 THEN (p % 2 + 1)::INT END AS attempts, CASE WHEN p % 4 = 0 THEN born END AS queued FROM o WHERE born < {_JOB_NOW} AND born >= {_JOB_NOW} - 300 * 86400000::BIGINT),
+s AS (SELECT id, type, CASE WHEN p % 4 = 0 THEN 'retryable' WHEN p % 4 = 1 THEN 'ready' ELSE 'waiting' END AS state, born AS created, born + 200 * 86400000::BIGINT AS expire, CASE WHEN p % 4 = 0 THEN (p % 2 + 1)::INT END AS attempts, CASE WHEN p % 4 = 0 THEN born END AS queued FROM o WHERE born < {_JOB_NOW}),
 r AS (SELECT *, CASE WHEN expire <= {_JOB_NOW} THEN 'expired' ELSE state END AS st FROM s),
 x AS (SELECT r.*, CASE WHEN st <> 'expired' AND id % 5 = 0 THEN CASE id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'recoverable' ELSE 'permanent' END END AS outcome, CASE WHEN attempts IS NULL THEN 2 ELSE attempts - 1 END AS l FROM r),
 y AS (SELECT id, type, CASE WHEN outcome IS NULL THEN st WHEN outcome = 'ok' THEN 'done' WHEN outcome = 'recoverable' AND l > 0 THEN 'retryable' ELSE 'failed' END AS st, created, expire,
@@ -97,7 +97,7 @@ def _order_jobs(spark, d):
 
 def _old_jobs(o):
     retry = F.col("p") % 4 == 0
-    old = o.where((F.col("at") < _JOB_NOW) & (F.col("at") >= _JOB_NOW - 300 * jobs.DAY_MS))
+    old = o.where(F.col("at") < _JOB_NOW)
     return old.select("job_id", "type", F.when(retry, "retryable").when(F.col("p") % 4 == 1, "ready").otherwise("waiting").alias("state"), F.col("at").alias("created_ms"), F.col("at").alias("ready_ms"), (F.col("at") + 200 * jobs.DAY_MS).alias("expire_ms"), F.when(retry, F.col("p") % 2 + 1).cast("int").alias("attempts_left"), F.when(retry, F.col("at")).alias("queued_ms"))
 
 
@@ -115,7 +115,7 @@ def job_outcomes(spark, d):
 
 
 @query(_ORDERS + f""",
-n AS (SELECT id, type, p, CASE WHEN id % 7 = 0 THEN 'bad config' WHEN id % 11 = 0 THEN 'expired' ELSE 'waiting' END AS st FROM o WHERE born >= {_JOB_NOW} AND born < {_JOB_NOW} + 400 * 86400000::BIGINT),
+n AS (SELECT id, type, p, CASE WHEN id % 7 = 0 THEN 'bad config' WHEN id % 11 = 0 THEN 'expired' ELSE 'waiting' END AS st FROM o WHERE born >= {_JOB_NOW}),
 c AS (SELECT type, count(*) FILTER (st IN ('waiting', 'ready', 'retryable')) AS alive, count(*) FILTER (st = 'retryable') AS retry FROM z GROUP BY type),
 i AS (SELECT n.*, row_number() OVER (PARTITION BY n.type ORDER BY id) AS i FROM n WHERE st = 'waiting'),
 l AS (SELECT i.id, i.type, greatest(i - greatest({_LIMITS.per_type} - coalesce(alive, 0), 0), 0) AS over, coalesce(retry, 0) AS retry FROM i LEFT JOIN c ON c.type = i.type),
@@ -128,7 +128,7 @@ SELECT id::VARCHAR AS job_id, type, st AS state FROM q UNION ALL SELECT id::VARC
 def job_versions(spark, d):
     """A whole step: expiry, outcomes, and new jobs up to the limits of their type and of all."""
     o, i, none = _order_jobs(spark, d), F.col("id"), F.lit(None).cast("long")
-    fresh = o.where((F.col("at") >= _JOB_NOW) & (F.col("at") < _JOB_NOW + 400 * jobs.DAY_MS))
+    fresh = o.where(F.col("at") >= _JOB_NOW)
     fresh = fresh.select("job_id", "type", i.alias("order"), none.alias("ready_ms"), F.when(i % 7 == 0, F.lit(-1)).otherwise(i % 1000).cast("long").alias("min_ms"), none.alias("max_ms"), F.when(i % 11 == 0, F.lit(_JOB_NOW)).alias("expire_ms"), none.alias("ttl_ms"))
     return jobs.next_version(_old_jobs(o), fresh, _job_outcomes(o), F.lit(_JOB_NOW), _LIMITS).select("job_id", "type", "state")
 
