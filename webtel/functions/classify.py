@@ -8,10 +8,10 @@ are not shipped: the default model is counted from a corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +36,25 @@ def bigram_model(texts: DataFrame, column: str, smoothing: float = 1.0, alphabet
     return np.log(n / n.sum(axis=1, keepdims=True))
 
 
-def mean_probability(model: np.ndarray):
-    """Pandas UDF: geometric mean probability of a string's bigrams; 1 for strings without any."""
-    index = np.full(256, -1)
-    for i, c in enumerate(ALPHABET):
-        index[ord(c)] = i
+def _table(pairs: np.ndarray) -> Column:
+    """A matrix as an array column: one constant, split once when planned."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in np.ravel(pairs))), ",").cast("array<double>")
 
-    @F.pandas_udf("double")
-    def score(strings: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None:
-                return None
-            at = index[np.frombuffer(s.lower().encode("latin-1", "replace"), dtype=np.uint8)]
-            ok = (at[:-1] >= 0) & (at[1:] >= 0)
-            return float(np.exp(model[at[:-1][ok], at[1:][ok]].mean())) if ok.any() else 1.0
 
-        return strings.map(one)
+def mean_probability(model: np.ndarray, alphabet: str = ALPHABET) -> Callable[[Column | str], Column]:
+    """A column function: geometric mean probability of the pairs of neighbouring characters that are both known; 1 without any."""
+    table = _table(model)
+
+    def score(c: Column | str) -> Column:
+        def mean(x: Column) -> Column:
+            at = lambda i: F.instr(F.lit(alphabet), F.substring(x, i, F.lit(1)))
+            zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+            both = lambda i: (at(i) > 0) & (at(i + 1) > 0)
+            add = lambda a, i: F.when(both(i), F.struct((a["sum"] + F.get(table, (at(i) - 1) * len(alphabet) + at(i + 1) - 1)).alias("sum"), (a["n"] + 1).alias("n"))).otherwise(a)
+            pairs = F.aggregate(F.sequence(F.lit(1), F.length(x) - 1), zero, add, lambda a: F.when(a["n"] > 0, F.exp(a["sum"] / a["n"])).otherwise(1.0))
+            return F.when(F.length(x) > 1, pairs).when(x.isNotNull(), 1.0)
+
+        return let(F.lower(F.col(c) if isinstance(c, str) else c), mean)
 
     return score
 
@@ -106,7 +109,7 @@ class IdentifierModel:
 
 def pair_probability(c: Column, pairs: np.ndarray, alphabet: str = KNOWN) -> Column:
     """Geometric mean probability of neighbouring known characters, others left out; 1 for less than two."""
-    table = F.split(F.lit(",".join(repr(float(x)) for x in np.ravel(pairs))), ",").cast("array<double>")  # a constant: split once, when planned
+    table = _table(pairs)
     at = lambda x, i: F.instr(F.lit(alphabet), F.substring(x, i, F.lit(1)))
 
     def mean(x: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -61,15 +62,17 @@ class Stages:
     written before are read again from the shared folder.
     """
 
-    #: Those made since the innermost `released` began.
-    _inner: ClassVar[list[list[Stages]]] = []
+    #: Those made since the innermost `released` of this thread began, and the folders of all of an application.
+    _inner: ClassVar[threading.local] = threading.local()
+    _roots: ClassVar[dict[str, set[str]]] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/webtel-{name}-{uuid.uuid4().hex}"
         self.names: list[str] = []
-        if Stages._inner:
-            Stages._inner[-1].append(self)
+        Stages._roots.setdefault(spark.sparkContext.applicationId, set()).add(self.root)
+        if open_blocks := getattr(Stages._inner, "blocks", None):
+            open_blocks[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -93,9 +96,21 @@ class Stages:
     @contextmanager
     def released(cls):
         """Tables that operators write in this block are deleted at its end, once what reads them has been written."""
-        cls._inner.append([])
+        if not hasattr(cls._inner, "blocks"):
+            cls._inner.blocks = []
+        cls._inner.blocks.append([])
         try:
             yield
         finally:
-            for s in cls._inner.pop():
+            for s in cls._inner.blocks.pop():
                 s.keep_only()
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Delete all work folders of this application; for when its results have been written.
+
+        Operators are lazy, so none can tell when its tables have been read for the last time.
+        """
+        for root in cls._roots.pop(spark.sparkContext.applicationId, set()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
