@@ -195,3 +195,5 @@ def test_fit(spark, model):
     right = df.where("y is not null and x is not null").select(((classify.identifier_score(F.col("x"), got) > 0.5) == (F.col("y") == 1)).cast("int").alias("ok"))
     assert right.agg(F.avg("ok")).first()[0] > 0.95
     assert classify.fit_identifiers(df.limit(0), "x", "y", model.pairs).weights == (0.0,) * 5
+    part = classify.fit_identifiers(df, "x", "y", model.pairs, most=60)
+    assert part.weights != got.weights and right.count() > 160

@@ -155,16 +155,25 @@ def identifier_score(c: Column, model: IdentifierModel) -> Column:
     return F.when(F.length(c) < LEAST_LENGTH, 0.0).when(c.isNotNull(), let(decoded_text(c), of))
 
 
-def fit_identifiers(examples: DataFrame, text: str, label: str, pairs: np.ndarray, cut: float = 0.8, ridge: float = 1e-3, rounds: int = 25) -> IdentifierModel:
+#: Most examples, about, that a model is fitted to.
+FIT_ROWS = 40_000
+
+
+def fit_identifiers(examples: DataFrame, text: str, label: str, pairs: np.ndarray, cut: float = 0.8, ridge: float = 1e-3, rounds: int = 25, most: int = FIT_ROWS) -> IdentifierModel:
     """Weights by Newton's method. A round is one aggregate of the gradient's and curvature's sums over all examples.
 
     `label` is 1 for identifiers and 0 for ordinary texts; rows where either
-    is null take no part. Features are computed once and written. Without
-    rows the weights are zero. `ridge` is a small penalty a row, which keeps
-    weights finite where the classes can be told apart entirely.
+    is null take no part. Six weights need no more than some ten thousand
+    rows: of more than `most`, those count whose hash falls into that share.
+    Their features are computed once and written. Without rows the weights
+    are zero. `ridge` is a small penalty a row, which keeps weights finite
+    where the classes can be told apart entirely.
     """
     stages = Stages(examples.sparkSession, "identifiers")
-    rows = examples.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    rows = stages.write(examples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text), F.col(label)), "examples")
+    many = rows.count()
+    if many > most:
+        rows = rows.where(F.pmod(F.xxhash64(text, label), F.lit(many)) < most)
     f = rows.select(identifier_features(F.col(text), pairs).alias("f"), F.col(label).cast("double").alias("y")).select(F.lit(1.0).alias("bias"), "f.*", "y")
     f = stages.write(f, "features")
     names = ("bias", *FEATURES)
@@ -183,7 +192,7 @@ def fit_identifiers(examples: DataFrame, text: str, label: str, pairs: np.ndarra
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    stages.drop("features")
+    stages.keep_only()
     return IdentifierModel(pairs, float(w[0]), tuple(map(float, w[1:])), cut)
 
 

@@ -87,10 +87,13 @@ def _suspicious(q: Column) -> Column:
 
 def entropy(c: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars = F.split(c, "")
-    n = F.size(chars)
-    part = lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, ch: a - part(ch) * F.log2(part(ch)))
+
+    def of(chars: Column) -> Column:
+        count = lambda ch: F.size(F.filter(chars, lambda x: x == ch)).cast("double")
+        total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, ch: a + let(count(ch), lambda n: n * F.log2(n)))
+        return F.log2(F.size(chars)) - total / F.size(chars)
+
+    return let(F.split(c, ""), of)
 
 
 def share(c: Column, pattern: str) -> Column:
