@@ -576,7 +576,7 @@ def test_substring_by_shuffle(docs, rows, monkeypatch):
 
 
 def test_names():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline(spark):
