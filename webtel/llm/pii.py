@@ -8,14 +8,21 @@ information, PMI(t; e) / IC(e), which is 1 when the term occurs only with the
 entity. Terms above the upper threshold are removed, terms above the lower
 one generalised.
 
+Rare words also meet an entity by chance. A pair is reported only if its
+count is significant: the tail of the hypergeometric distribution is bounded
+by the relative entropy, and Benjamini-Hochberg holds the share of false
+pairs, with every term and every entity as a test.
+
 All counts are of distinct texts, however often they repeat. Near copies
-prove nothing either: a pair counts only if its texts differ in each of
-three keys, the least and the largest hash of their runs of five words and
-the words around the entity. All of it is DataFrame functions.
+prove nothing either: texts that share two least hashes of their runs of five
+words are one class, and what a pair has beyond one text of each class is
+taken out of all of its counts. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +42,11 @@ _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 #: A term inside an address or a number with letters is no term.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
+SUPPORT, GENERALISE, REMOVE, FALSE_SHARE = 2, 0.6, 0.9, 0.05
+#: Classes of near copies: bands of two least hashes. Of texts with similarity 0.8 two in a thousand pairs share none.
+BANDS, RUN = 6, 5
+#: Tenths of a power of ten in which significance is counted; what is beyond the last counts as the last.
+LEVELS = 5000
 TERM_KINDS = ("generalise", "remove")
 #: Keys with more than a HOT-th of the counted rows, of which there are fewer than HOT, are joined by broadcast.
 HOT = 1000
@@ -80,35 +91,52 @@ def with_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _entities(texts: DataFrame) -> DataFrame:
-    """(tid, entity, around): the distinct entities of each text, and a hash of the 30 characters on either side of the first."""
+    """(tid, entity): the distinct entities of each text."""
 
     def keys(k: str) -> Column:
-        near = lambda s: F.xxhash64(F.substring("t", s["start"] - 29, F.least(s["start"], F.lit(30))), F.substring("t", s["end"] + 1, F.lit(30)))
-        return F.transform(F.col(k), lambda s: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), near(s).alias("around")))
+        return F.transform(F.col(k), lambda s: F.xxhash64(F.lit(k), F.lower(s["value"])))
+
+    return texts.select("tid", F.explode(F.array_distinct(F.concat(*[keys(k) for k in KINDS]))).alias("entity"))
+
 
-    each = texts.select("tid", F.explode(F.concat(*[keys(k) for k in KINDS])).alias("e")).select("tid", "e.*")
-    return each.groupBy("tid", "entity").agg(F.min_by("around", "start").alias("around"))
+def _bound(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
 
 
-def _likeness(t: Column) -> Column:
-    """(low, high): the least and the largest hash of a text's runs of five words, alike in near copies; in one pass."""
-    none, before = F.lit(None).cast("long"), [f"w{i}" for i in range(4)]
+def _bands(t: Column) -> Column:
+    """BANDS hashes of a text, each of the runs of RUN words whose hashes are nearest to two fixed points."""
 
-    def step(acc, w):
-        here = F.xxhash64(w)
-        run = F.when(acc["w0"].isNotNull(), F.xxhash64(*[acc[c] for c in before], here))
-        moved = [acc[c].alias(to) for to, c in zip(before, before[1:], strict=False)]
-        return F.struct(*moved, here.alias("w3"), F.least(acc["low"], run).alias("low"), F.greatest(acc["high"], run).alias("high"), acc["whole"].bitwiseXOR(here).alias("whole"))
+    def runs(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - RUN), lambda i: F.xxhash64(*[h[i + k] for k in range(RUN)]))
+        return F.when(F.size(h) >= RUN, each).otherwise(F.array(F.xxhash64(h)))
 
-    start = F.struct(*[none.alias(c) for c in (*before, "low", "high")], F.lit(0).cast("long").alias("whole"))
-    done = lambda a: F.struct(F.coalesce(a["low"], a["whole"]).alias("low"), F.coalesce(a["high"], a["whole"]).alias("high"))
-    return F.aggregate(F.split(t, r"[\x20\t-\r]+"), start, step, done)
+    def nearest(r: Column, point: int) -> Column:
+        return F.array_min(F.transform(r, lambda x: x.bitwiseXOR(F.xxhash64(F.lit(point)))))
+
+    words = F.transform(F.split(t, r"[\x20\t-\r]+"), lambda w: F.xxhash64(w))
+    return _bound(words, lambda h: _bound(runs(h), lambda r: F.array(*[F.xxhash64(nearest(r, 2 * i), nearest(r, 2 * i + 1)) for i in range(BANDS)])))
+
+
+def near_copies(texts: DataFrame, stages: Stages) -> DataFrame:
+    """(tid, class) of `texts` (tid, bands): the least key of a text that shares a band, or shares one with such a text."""
+    points = texts.select("tid", F.posexplode("bands").alias("i", "band"))
+    labels = points.withColumn("class", F.col("tid.a"))
+    for turn in range(2):
+        shared = labels.groupBy("i", "band").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        least = labels.join(shared, ["i", "band"]).groupBy("tid").agg(F.min("least").alias("least"))
+        labels = stages.write(labels.join(least, "tid", "left").select("tid", "i", "band", F.coalesce("least", "class").alias("class")), f"classes{turn}")
+    return labels.where("i = 0").select("tid", "class")
 
 
 def _terms(texts: DataFrame) -> DataFrame:
-    """(tid, low, high, term): the distinct terms of each text."""
-    terms = F.explode(F.array_distinct(F.transform(matches(F.col("t"), TERM), F.lower))).alias("term")
-    return texts.select("tid", "low", "high", terms)
+    """(tid, term): the distinct terms of each text."""
+    return texts.select("tid", F.explode(F.array_distinct(F.transform(matches(F.col("t"), TERM), F.lower))).alias("term"))
+
+
+def _same_texts(rows: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, n, xa, xb): the number of texts of each key, and their keys' exclusive or, which tells whether two keys stand in the same texts."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(n), F.expr("bit_xor(tid.a)").alias("xa"), F.expr("bit_xor(tid.b)").alias("xb"))
 
 
 def _joined(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, keep: Column | None = None) -> DataFrame:
@@ -140,26 +168,57 @@ def most_df(df_e: Column, n_docs: int, generalise: float) -> Column:
     return df_e * F.pow(n / df_e, F.lit(1.0 - generalise)) * (1 + 1e-9)
 
 
-def disclosing(pairs: DataFrame, n_texts: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, both, action) of `pairs` (tid, low, high, around, entity, df_e, term, df); no action below the lower threshold."""
-    apart = [F.min(c) != F.max(c) for c in ("low", "high", "around")]
-    j = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df_e").alias("df_e"), F.first("df").alias("df"), (apart[0] & apart[1] & apart[2]).alias("apart"))
-    n = F.lit(float(max(n_texts, 2)))
-    information = F.log2(n / F.col("df_e"))
-    pmi = F.log2(n * F.col("both") / (F.greatest("df", "both") * F.col("df_e")))
-    share = F.when((information > 0) & (F.col("both") >= support) & (F.col("apart") | (F.lit(support) < 2)), pmi / information)
+def evidence(k: Column, draws: Column, chance: Column) -> Column:
+    """-log10 of a bound of the chance that `k` or more of `draws` hit by accident: draws times the relative entropy."""
+    a, p = k / draws, F.least(chance, F.lit(1.0))
+    rest = F.when(a < 1, (1 - a) * F.ln((1 - a) / (1 - p))).otherwise(0.0)
+    return F.when(a > p, draws * (a * F.ln(a / p) + rest) / math.log(10)).otherwise(0.0)
+
+
+def least_level(counts: list[tuple[int, int]], tests: float, false_share: float) -> int:
+    """Benjamini-Hochberg on tenths of a power of ten: the least level at which enough pairs lie at or above it."""
+    least, above = LEVELS + 1, 0
+    for level, n in sorted(counts, reverse=True):
+        above += n
+        if math.log10(max(tests, 1.0)) - level / 10 <= math.log10(false_share * above):
+            least = level
+    return least
+
+
+def disclosing(pairs: DataFrame, n_texts: int, tests: float, stages: Stages, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, false_share: float = FALSE_SHARE) -> DataFrame:
+    """(entity, term, both, action) of `pairs` (tid, class, entity, df_e, many, term, df); no action below the lower threshold.
+
+    `many` entities stand in the same texts as this one and share its fate,
+    and all count in the number of `tests`. At most LEVELS counts come to
+    the driver.
+    """
+    own = [F.first(c).alias(c) for c in ("df_e", "df", "many")]
+    j = pairs.groupBy("entity", "term", "class").agg(F.count(F.lit(1)).alias("n"), *own)
+    j = j.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("apart"), *own)
+    copies, k = F.col("both") - F.col("apart"), F.col("apart")
+    n, e, t = [(x - copies).cast("double") for x in (F.lit(max(n_texts, 2)), F.col("df_e"), F.greatest("df", "both"))]
+    information = F.log2(n / e)
+    share = F.when((information > 0) & (k >= support), F.log2(n * k / (t * e)) / information)
+    level = F.least(F.greatest(evidence(k, e, t / n), evidence(k, t, e / n)) * 10, F.lit(float(LEVELS))).cast("int")
+    j = stages.write(j.select("entity", "term", "both", "many", share.alias("share"), level.alias("level")), "weighed")
+    counts = j.where(F.col("share") >= generalise).groupBy("level").agg(F.sum("many")).collect()
+    sure = F.col("level") >= least_level([tuple(r) for r in counts], tests, false_share)
+    share = F.when(sure, F.col("share"))
     return j.select("entity", "term", "both", F.when(share >= remove, "remove").when(share >= generalise, "generalise").alias("action"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, false_share: float = FALSE_SHARE) -> DataFrame:
     """One row per row of `docs`: (id, tid, the four arrays of base spans, terms).
 
     `terms` has structs (start, end, action). A null or empty text has no
     spans; texts of any length are read as a whole. Ids may be null or
     repeat, and equal texts get equal results. An empty table gives an empty
     result; other columns, whatever their names, are ignored. Only entities
-    of fewer than `support` texts, and pairs whose term is too frequent for
-    the lower threshold, go before pairs are counted: they cannot reach it.
+    and terms of fewer than `support` texts, and pairs whose term is too
+    frequent for the lower threshold, go before pairs are counted: they
+    cannot reach it. Entities that stand in the same texts have the same
+    counts and are counted as one, and so are terms: a text with a long list
+    of addresses does not pair each of them with each of its words.
     """
     stages = Stages(docs.sparkSession, "pii")
     rows = with_entities(docs, id_col, text_col)
@@ -168,18 +227,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     n_texts = found.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
     whole = stages.write(found.where("t is not null").drop("id").dropDuplicates(["tid"]), "whole")
     entities = stages.write(_entities(whole), "held")
-    held = stages.write(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= support), "entity_counts")
-    linked = stages.write(_joined(entities, held, ["entity"], "df_e"), "linked")
+    held = stages.write(_same_texts(entities, "entity", "df_e").where(F.col("df_e") >= support), "entity_counts")
+    n_held, widest = held.agg(F.count(F.lit(1)), F.max(most_df(F.col("df_e"), n_texts, generalise))).first()
+    alike = held.groupBy("xa", "xb", "df_e").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("many"))
+    linked = _joined(entities, stages.write(alike.select("entity", "df_e", "many"), "entity_sets"), ["entity"], "df_e")
+    linked = stages.write(linked, "linked")
     texts = whole.select("tid", "t").join(linked.select("tid").distinct(), "tid", "left_semi")
-    texts = stages.write(texts.select("tid", "t", _likeness(F.col("t")).alias("x")).select("tid", "t", "x.*"), "texts")
-    frequency = stages.write(document_frequency(docs, copies, text_col), "frequency")
-    widest = held.agg(F.max(most_df(F.col("df_e"), n_texts, generalise))).first()[0] or 0.0
-    terms = _joined(stages.write(_terms(texts), "terms"), frequency, ["term"], "df", F.col("df") <= widest)
-    pairs = stages.write(terms.join(linked, "tid").where(F.col("df") <= most_df(F.col("df_e"), n_texts, generalise)), "pairs")
-    counted = stages.write(disclosing(pairs, n_texts, support, generalise, remove), "revealing")
+    texts = stages.write(texts.select("tid", "t", _bands(F.col("t")).alias("bands")), "texts")
+    classed = stages.write(linked.join(near_copies(texts.select("tid", "bands"), stages), "tid"), "classed")
+    frequency = stages.write(document_frequency(docs, copies, text_col).where(F.col("df") >= support), "frequency")
+    tests = float(n_held) * frequency.count()
+    terms = stages.write(_terms(texts), "terms")
+    counts = _same_texts(terms, "term", "n").join(frequency, "term").where(F.col("df") <= (widest or 0.0))
+    counts = stages.write(counts, "term_counts")
+    sets = stages.write(counts.groupBy("xa", "xb", "n", "df").agg(F.min("term").alias("term")), "term_sets")
+    members = counts.alias("c").join(sets.withColumnRenamed("term", "first"), ["xa", "xb", "n", "df"]).select("first", "term")
+    members = stages.write(members, "members")
+    pairs = _joined(terms, sets.select("term", "n", "df"), ["term"], "n").drop("n").join(classed, "tid")
+    pairs = stages.write(pairs.where(F.col("df") <= most_df(F.col("df_e"), n_texts, generalise)), "pairs")
+    counted = stages.write(disclosing(pairs, n_texts, tests, stages, support, generalise, remove, false_share), "revealing")
     hits = _joined(pairs.select("tid", "entity", "term"), counted, ["entity", "term"], "both", F.col("action").isNotNull())
-    removed = F.collect_set(F.when(F.col("action") == "remove", F.col("term")))
-    marks = hits.groupBy("tid").agg(F.collect_set("term").alias("revealing"), removed.alias("removed"))
+    hits = hits.groupBy("tid", "term").agg(F.max(F.col("action") == "remove").alias("gone")).withColumnRenamed("term", "first").join(members, "first")
+    marks = hits.groupBy("tid").agg(F.collect_set("term").alias("revealing"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("removed"))
     t = F.col("t")
     spans = located(t, TERM, matches(t, TERM), lambda m: F.array_contains("revealing", F.lower(m)))
     action = lambda s: F.when(F.array_contains("removed", F.lower(s["value"])), "remove").otherwise("generalise")
