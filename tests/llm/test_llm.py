@@ -209,7 +209,7 @@ def test_pii_terms_equal_a_loop_over_all_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got, want = disclosed(df), brute_disclosed(rows)
     assert got == want and {a for s in want.values() for _, a in s} == {"remove", "generalise"}
-    assert ("amsel", "remove") in want[next(x for x in texts if "b@x.test" in x)]
+    assert {("amsel", "generalise"), ("wolkenstein", "remove"), ("zeppelin", "generalise")} <= {x for s in want.values() for x in s}
 
 
 def test_signature_lines_are_found_and_chance_words_are_not(spark):
