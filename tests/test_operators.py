@@ -106,6 +106,28 @@ def test_streams_of_many_files(spark):
     assert QUERIES["stream_dedup"](spark, root).count() == 240
 
 
+def test_sessions_close_once(spark):
+    """Sessions are appended as the watermark passes them, and equal those of a loop over all events; the open ones close at the end."""
+    stages = Stages(spark, "test-sessions")
+    rows = [(i, T0 + dt.timedelta(minutes=m), u, "view", 1.0, None) for i, (m, u) in enumerate([(0, 1), (4, 1), (5, 2), (30, 1), (31, None), (200, 2), (206, 2), (400, 1), (401, None)])]
+    for row in rows:
+        spark.createDataFrame([row], tables.EVENTS).coalesce(1).write.mode("append").parquet(f"{stages.root}/in")
+    want, last = [], {}
+    for _, ts, u, *_ in rows:
+        if u in last and ts - last[u][2] < dt.timedelta(minutes=10):
+            last[u][2:] = [ts, last[u][3] + 1]
+        else:
+            last[u] = [u, ts, ts, 1]
+            want.append(last[u])
+    got = flows.sessions_to_end(spark, f"{stages.root}/in", "user_id", "10 minutes", stages.root, files=1)
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    found = got.select("user_id", naive("start"), naive("end"), "n").collect()
+    assert sorted(map(str, map(list, found))) == sorted(map(str, want))
+    again = spark.createDataFrame([], tables.EVENTS)
+    again.write.parquet(f"{stages.root}/none")
+    assert flows.sessions_to_end(spark, f"{stages.root}/none", "user_id", "10 minutes", f"{stages.root}/other").count() == 0
+
+
 def test_gates(spark):
     from webtel.operators import gates
 

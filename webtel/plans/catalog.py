@@ -864,14 +864,7 @@ def stream_dedup(spark, d):
 
 @query(ORACLE_SQL["sessions"])
 def stream_sessions(spark, d):
-    stages = Stages(spark, "stream-sessions")
-    out = flows.sessions(flows.events_stream(spark, f"{d}/events.parquet", files=None), "user_id", "6 hours")
-
-    def write(batch, i):
-        batch.write.mode("overwrite").parquet(f"{stages.root}/out")
-
-    flows.run_to_end(out, "", f"{stages.root}/checkpoint", "complete", write)
-    got = spark.read.schema(out.schema).parquet(f"{stages.root}/out")
+    got = flows.sessions_to_end(spark, f"{d}/events.parquet", "user_id", "6 hours", Stages(spark, "stream-sessions").root)
     return got.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 

@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from webtel.sources.tables import EVENTS
 
 
-def events_stream(spark: SparkSession, path: str, lateness: str = "2 minutes", files: int | None = 50) -> DataFrame:
+def events_stream(spark: SparkSession, path: str, lateness: str = "2 minutes", files: int | None = 50, ends: str | None = None) -> DataFrame:
     """A folder of Parquet files of events (or one file) as a stream with a watermark; events later than it are dropped.
 
     With no number of files, all that is there is one batch, in which nothing is late.
+    Events of the folder `ends` come in too; see write_end.
     """
     reader = spark.readStream.schema(EVENTS)
     reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
@@ -25,6 +27,8 @@ def events_stream(spark: SparkSession, path: str, lateness: str = "2 minutes", f
         raw = reader.option("pathGlobFilter", jpath.getName()).parquet(str(jpath.getParent().toString()))
     else:
         raw = reader.parquet(path)
+    if ends:
+        raw = raw.unionByName(spark.readStream.schema(EVENTS).parquet(ends))
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
@@ -33,11 +37,34 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
+def write_end(spark: SparkSession, ends: str, reached: bool) -> None:
+    """Add to the folder `ends` no event, or one so late that the watermark passes all others; nothing may follow it."""
+    late = spark.range(int(reached)).select(*[(F.lit("9000-01-01") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENTS)])
+    late.write.mode("append").parquet(ends)
+
+
 def sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
     g = stream.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
     return g.select(key, "start", "end", "n")
 
 
+def sessions_to_end(spark: SparkSession, path: str, key: str, gap: str, root: str, files: int | None = None) -> DataFrame:
+    """The sessions of all events in `path`, each appended once when the watermark has passed it, and then gone from state.
+
+    `root` holds the output and the checkpoint, and a restart goes on from
+    there. Those that are open when all events are read are closed by an
+    event that ends the input; its own session stays open. Rows with a null
+    key have sessions too; an empty folder has none.
+    """
+    ends, out = f"{root}/ends", f"{root}/out"
+    write_end(spark, ends, reached=False)
+    found = sessions(events_stream(spark, path, files=files, ends=ends), key, gap)
+    run_to_end(found, out, f"{root}/checkpoint")
+    write_end(spark, ends, reached=True)
+    run_to_end(found, out, f"{root}/checkpoint")
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def periods(stream: DataFrame, every: str, *by: str, ts: str = "ts") -> DataFrame:
     g = stream.groupBy(F.window(ts, every).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("period_start"), *by, "n")
