@@ -136,29 +136,6 @@ def test_template(spark):
     assert df.select(text.fill_template(F.col("t"), F.col("v")).alias("x")).first().x == "x=7&y="
 
 
-PAGE = """<html lang="en-GB"><head><title> A &amp; B </title><link rel="canonical" href="/c"><meta name="robots" content="noindex, follow">
-<meta property="og:title" content="T"><script type="application/ld+json">{"@graph":[{"@type":"Article","headline":"H"},{"@type":"X","other":1}]}</script>
-<script type="application/ld+json">{broken</script></head><body><div id="d" class="a b"><p>one</p><span><p>two</p></span></div></body></html>"""
-
-
-def test_page_structure():
-    s = html.structure(PAGE, "https://h.test/x/y")
-    assert (s["title"], s["canonical"], s["language"], s["noindex"], s["og"]) == ("A & B", "https://h.test/c", "en-GB", True, {"og:title": "T"})
-    assert s["jsonld"] == [{"@type": "Article", "headline": "H"}, {"@type": "X"}]
-    assert html.structure(None, None) is None and html.structure("", "")["title"] is None
-
-
-@pytest.mark.parametrize(("selector", "n"), [("p", 2), ("div > p", 1), ("#d p", 2), (".a.b span p", 1), ("[id=d], span", 2), ("div[class~=b]", 1), ("b", 0)])
-def test_selectors(selector, n):
-    assert len(list(html.Selector(selector).select(html.parse(PAGE)))) == n
-
-
-@pytest.mark.parametrize("bad", ["p:first-child", "a + b", "", "div >"])
-def test_other_selectors_are_refused(bad):
-    with pytest.raises(ValueError):
-        html.Selector(bad)
-
-
 def test_rules_are_validated():
     with pytest.raises(ValueError):
         html.validate_rules({"_meta": {"minVersion": 9}})
@@ -178,18 +155,6 @@ def test_identifiers(spark, model):
     assert got == [False, False, True, True, False, False, False, False]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=300))
-def test_parser_never_raises(s):
-    html.structure(s, "https://x.test/")
-
-
-def test_hostile_pages(spark):
-    page = '<link rel="canonical" href="http://["><script type="application/ld+json">' + "[" * 100000 + "</script><title>t</title>"
-    got = html.structure(page, "https://a.example/")
-    assert got["title"] == "t" and got["canonical"] is None and got["jsonld"] == []
-
-
 def test_email_signs_may_be_encoded(spark):
     given_ = ["a@b.c", "a%40b.c", "a%2540b.1", "a%252540b_c.d", "a@b", "@b.c", "x" * 50_000, None]
     assert values(spark, text.has_email, given_) == [True, True, True, True, False, False, False, None]
@@ -236,13 +201,6 @@ def test_base64(spark):
     assert values(spark, text.from_base64, ["!!", "/w=="]) == [None, None]
 
 
-@pytest.mark.parametrize("n", [5, 30_000])
-def test_pages_of_any_depth(n):
-    got = html.structure("<a>" * n + "<title>deep</title>" + "</b>" * n, None)
-    assert got["title"] == "deep"
-    assert len(list(html.Selector("a > a b, a title").select(html.parse("<a>" * n + "<title>x</title>")))) == 1
-
-
 RULES = {
     "r": {
         "prune": [{"first": "p"}],

@@ -1,218 +1,114 @@
-"""HTML in Arrow batches: page structure, and extraction by rules with a small selector engine."""
+"""Page structure, and extraction by rules, as columns over the elements of a page."""
 
 from __future__ import annotations
 
-import json
-import re
 from functools import reduce
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from webtel.functions import sanitize, urls
-
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def walk(self):
-        """Elements below this one in document order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-
-    def text(self, gone: frozenset | set = frozenset()) -> str:
-        """The text below, but for that of elements that are gone."""
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                out.append(c)
-            elif c not in gone:
-                todo.extend(reversed(c.children))
-        return "".join(out)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-        self.open: dict[str, int] = {}
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-            self.open[tag] = self.open.get(tag, 0) + 1
-
-    def handle_endtag(self, tag):
-        """Closes the innermost open element of that name and all inside; without one, nothing."""
-        if not self.open.get(tag):
-            return
-        while True:
-            closed, self.at = self.at, self.at.parent
-            self.open[closed.tag] -= 1
-            if closed.tag == tag:
-                return
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def absolute(base: str | None, href: str) -> str | None:
-    """`href` resolved against a base; null where either is no URL."""
-    try:
-        return urljoin(base or "", href)
-    except ValueError:
-        return None
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
-
-
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:[~^$*]?=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)$")
-_MORE = re.compile(r"#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([~^$*]?)=(?:\"([^\"]*)\"|'([^']*)'|([^\]]*)))?\]")
-
-
-class Selector:
-    """Tags, ids, classes, attributes, descendants, children and lists; anything else is refused."""
-
-    def __init__(self, text: str):
-        self.paths = [self._path(p.strip()) for p in text.split(",")]
-
-    def _path(self, text: str):
-        steps, child = [], False
-        for word in re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", text):
-            if word == ">":
-                child = True
-                continue
-            m = _SIMPLE.match(word)
-            if not m or not word:
-                raise ValueError(f"unsupported selector: {text}")
-            steps.append((child, m[1] if m[1] != "*" else None, _MORE.findall(m[2])))
-            child = False
-        if not steps or child:
-            raise ValueError(f"unsupported selector: {text}")
-        return steps
-
-    @staticmethod
-    def _fits(node: Node, step) -> bool:
-        _, tag, more = step
-        if tag and node.tag != tag.lower():
-            return False
-        for ident, cls, attr, op, a, b, c in more:
-            if ident and node.attrs.get("id") != ident or cls and cls not in node.attrs.get("class", "").split():
-                return False
-            if attr:
-                have, want = node.attrs.get(attr), a or b or c
-                if have is None:
-                    return False
-                if want and not {"": have == want, "^": have.startswith(want), "$": have.endswith(want), "*": want in have, "~": want in have.split()}[op]:
-                    return False
-        return True
-
-    def _reached(self, node: Node, steps, parent: int, above: int) -> int:
-        """Bits of the steps that end at a node, from those that end at its parent and at any ancestor."""
-        bits = 0
-        for i, step in enumerate(steps):
-            if (i == 0 or (parent if step[0] else above) >> (i - 1) & 1) and self._fits(node, step):
-                bits |= 1 << i
-        return bits
-
-    def select(self, root: Node, gone: frozenset | set = frozenset()):
-        """Elements below `root` that fit, in document order, from one walk; those that are gone are left out with all inside."""
-        none = (0,) * len(self.paths)
-        todo = [(c, none, none) for c in reversed(root.children) if isinstance(c, Node)]
-        while todo:
-            node, parent, above = todo.pop()
-            if node in gone:
-                continue
-            own = tuple(self._reached(node, p, u, a) for p, u, a in zip(self.paths, parent, above, strict=True))
-            if any(bits >> (len(p) - 1) & 1 for bits, p in zip(own, self.paths, strict=True)):
-                yield node
-            below = tuple(a | bits for a, bits in zip(above, own, strict=True))
-            todo.extend((c, own, below) for c in reversed(node.children) if isinstance(c, Node))
-
-
-STRUCTURE = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("canonical", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("noindex", T.BooleanType()),
-        T.StructField("requested_index", T.BooleanType()),
-        T.StructField("og", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("jsonld", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-    ]
-)
-#: What is kept of OpenGraph and JSON-LD.
-OG = ("og:title", "og:url", "og:type", "og:image")
-JSONLD = ("@type", "@id", "url", "name", "headline", "datePublished", "dateModified", "duration", "inLanguage", "isAccessibleForFree", "mainEntityOfPage")
-
-
-def _jsonld(text: str) -> list[dict]:
-    try:
-        found = json.loads(text)
-    except (ValueError, RecursionError):
-        return []
-    todo, out = (found if isinstance(found, list) else [found]), []
-    for item in todo:
-        if isinstance(item, dict):
-            todo.extend(x for x in item.get("@graph", []) if isinstance(x, dict)) if isinstance(item.get("@graph"), list) else None
-            kept = {k: v if isinstance(v, str) else json.dumps(v) for k, v in item.items() if k in JSONLD}
-            kept = {k: v for k, v in kept.items() if len(v) <= 2048}
-            if kept:
-                out.append(kept)
-    return out
 
+from webtel.functions import dom, sanitize, urls
+from webtel.functions.dom import Selector
+
+ColumnOrName = Column | str
+
+STRUCTURE = "struct<title: string, canonical: string, language: string, noindex: boolean, requested_index: boolean, og: map<string, string>, jsonld: array<map<string, string>>>"
+#: What is kept of OpenGraph and JSON-LD, what asks to be indexed, and elements that don't begin a body.
+OG = ("title", "url", "image", "video")
+JSONLD = ("@context", "@type", "@id", "url", "name", "headline", "duration", "dateCreated", "dateModified", "datePublished", "uploadDate")
+INDEX = ("all", "index", "max-image-preview:large", "max-image-preview:standard", "max-video-preview:-1")
+HEAD = ("html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template")
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-def structure(html: str | None, url: str | None) -> dict | None:
-    if html is None:
-        return None
-    root = parse(html)
-    out = {"title": None, "canonical": None, "language": None, "noindex": False, "requested_index": False, "og": {}, "jsonld": []}
-    for n in root.walk():
-        if n.tag == "title" and out["title"] is None:
-            out["title"] = n.text().strip() or None
-        elif n.tag == "html" and out["language"] is None:
-            lang = n.attrs.get("lang", "")
-            out["language"] = lang if 0 < len(lang) <= 10 else None
-        elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href"):
-            out["canonical"] = out["canonical"] or absolute(url, n.attrs["href"])
-        elif n.tag == "meta":
-            name, content = n.attrs.get("name", "").lower(), n.attrs.get("content", "")
-            if name == "robots":
-                words = {w.strip() for w in content.lower().split(",")}
-                out["noindex"] |= bool(words & {"noindex", "none"})
-                out["requested_index"] |= bool(words & {"index", "all"}) or any(w.startswith("max-image-preview:") for w in words)
-            elif n.attrs.get("property") in OG:
-                out["og"].setdefault(n.attrs["property"], content)
-        elif n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
-            out["jsonld"] += _jsonld(n.text())
-    out["title"] = out["title"] or out["og"].get("og:title") or next((n.text().strip() for n in root.walk() if n.tag == "h1"), None)
-    return out
 
+def _string(v: Column, key: str) -> Column:
+    """A member of a variant if it is a string, else null."""
+    path = f"$['{key}']"
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
-@F.pandas_udf(STRUCTURE)
-def page_structure(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    rows = [structure(h, u) or dict.fromkeys(STRUCTURE.names) for h, u in zip(html, url, strict=True)]
-    return pd.DataFrame(rows, columns=STRUCTURE.names)
+
+def jsonld(text: Column) -> Column:
+    """Array of the kept strings of each item of a JSON-LD text, at most 2,048 characters each; null if it is broken.
+
+    The items are those of a list, or of the graph of an object that has
+    only a context and a graph, whose context they take if they have none.
+    """
+
+    def items(v: Column) -> Column:
+        context, graph = _string(v, "@context"), F.try_variant_get(v, "$['@graph']", "array<variant>")
+        lifted = context.isNotNull() & graph.isNotNull() & (F.size(F.try_variant_get(v, "$", "map<string, variant>")) == 2)
+        found = F.coalesce(F.when(lifted, graph), F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v)))
+        return F.transform(found, lambda x: entry(x, F.when(lifted, context)))
+
+    def entry(x: Column, context: Column) -> Column:
+        values = [_stripped(_string(x, k)) for k in JSONLD]
+        values = [F.when((F.length(v) <= 2048) & (v != ""), v) for v in values]
+        values[0] = F.coalesce(values[0], F.when((F.length(context) <= 2048) & (context != ""), context))
+        pairs = F.arrays_zip(F.array(*[F.lit(k) for k in JSONLD]).alias("k"), F.array(*values).alias("v"))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+    return urls.let(F.try_parse_json(text), items)
+
+
+def _structure(page: Column, url: Column) -> Column:
+    nodes = page["nodes"]
+
+    def named(head: Column, name: str, by: str = "name") -> Column:
+        return F.filter(head, lambda n: (n["tag"] == "meta") & F.coalesce(dom.attr(n, by) == name, F.lit(False)))
+
+    def lowered(n: Column, name: str, value: str) -> Column:
+        return F.coalesce(F.lower(dom.attr(n, name)) == value, F.lit(False))
+
+    def content(metas: Column) -> Column:
+        return dom.attr(F.get(metas, F.lit(0)), "content")
+
+    def built(head: Column, texts: Column, svg: Column) -> Column:
+        title = dom.text(F.get(dom.Selector("title").hits(nodes, gone=(svg,)), F.lit(0)), texts)
+        title = F.regexp_replace(_stripped(title), r"[\t\n\f\r ]+", " ")
+        title = F.coalesce(F.when(title != "", title), content(named(head, "title")), F.lit(""))
+        link = F.get(F.filter(head, lambda n: (n["tag"] == "link") & lowered(n, "rel", "canonical")), F.lit(0))
+        lang = _stripped(dom.attr(F.get(F.filter(nodes, lambda n: n["tag"] == "html"), F.lit(0)), "lang"))
+        robots = F.flatten(F.transform(named(head, "robots"), lambda n: F.transform(F.split(F.coalesce(dom.attr(n, "content"), F.lit("")), ","), _stripped)))
+        noindex = F.arrays_overlap(robots, F.array(F.lit("noindex"), F.lit("none")))
+        asked = F.arrays_overlap(robots, F.array(*[F.lit(w) for w in INDEX]))
+        og = F.arrays_zip(F.array(*[F.lit(k) for k in OG]).alias("k"), F.array(*[content(named(head, f"og:{k}", "property")) for k in OG]).alias("v"))
+        scripts = F.filter(nodes, lambda n: (n["tag"] == "script") & lowered(n, "type", "application/ld+json"))
+        values = {
+            "title": title,
+            "canonical": F.when(link.isNotNull(), urls.resolve(url, F.coalesce(dom.attr(link, "href"), F.lit("")))),
+            "language": F.when((F.length(lang) > 0) & (F.length(lang) <= 10), lang),
+            "noindex": noindex,
+            "requested_index": ~noindex & asked,
+            "og": F.map_from_entries(F.filter(og, lambda p: F.coalesce(p["v"] != "", F.lit(False)))),
+            "jsonld": F.flatten(F.array_compact(F.transform(scripts, lambda n: jsonld(dom.text(n, texts))))),
+        }
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def in_head(body: Column) -> Column:
+        above = lambda n: F.coalesce(F.get(nodes, n["up"])["tag"].isin("html", "head"), F.lit(True))
+        return F.filter(nodes, lambda n: (n["at"] < body) & above(n))
+
+    body = F.coalesce(F.get(F.filter(nodes, lambda n: ~n["tag"].isin(*HEAD)), F.lit(0))["at"], F.size(nodes))
+    svg = dom.covers(F.filter(nodes, lambda n: n["tag"] == "svg"), F.size(nodes), F.lit(0))
+    found = F.struct(urls.let(body, in_head).alias("head"), dom.pieces(page).alias("texts"), svg.alias("svg"))
+    return urls.let(found, lambda f: built(f["head"], f["texts"], f["svg"]))
+
+
+def page_structure(html: ColumnOrName, url: ColumnOrName) -> Column:
+    """Struct of a page's title, canonical URL, language, index wishes, OpenGraph and JSON-LD; null for a null page.
+
+    The title is the first one outside of drawings, else the meta title,
+    else empty. What has to stand in the head must come before the first
+    element of a body, where the tags of head and body may be left out.
+    One `noindex` outweighs all wishes to be indexed. JSON-LD that is
+    broken, repeats a name or is nested beyond what Spark reads has no items;
+    an item without kept strings is an empty map.
+    """
+    url = F.col(url) if isinstance(url, str) else url
+    return urls.let(dom.elements(html), lambda page: F.when(page.isNotNull(), _structure(page, url)).cast(STRUCTURE))
 
 
 def _prunes(rule: dict) -> list[tuple[str, str]]:
@@ -291,73 +187,56 @@ TRANSFORMS = {
     "relaxed_mask_url": lambda c: _masked(c, preserve_path=True),
 }
 
-_RAW = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("rule", T.StringType()),
-            T.StructField("selector", T.StringType()),
-            T.StructField("position", T.IntegerType()),
-            T.StructField("raw", T.MapType(T.StringType(), T.StringType())),
-        ]
-    )
-)
-
-
 def _way(key: str, i: int) -> str:
     return f"{key}#{i}"
 
 
-def _raw(rules: dict):
-    """Pandas UDF (html, url) -> what the selectors of all rules find, before any transform. A page is parsed once.
+def _value(node: Column, what: str, base: Column, texts: Column) -> Column:
+    if what == "text":
+        return dom.text(node, texts)
+    value = dom.attr(node, what)
+    return urls.resolve(base, value) if what == "href" else value
+
+
+def _raw(page: Column, base: Column, rules: dict) -> Column:
+    """Array of (rule, selector, position, raw): what the selectors of all rules find, before any transform.
 
-    Of a field with several alternatives only the first that matches is there, under its number.
+    Of a field with several alternatives only the first that matches has a
+    value, under its number.
     """
-    plans = {k: (_prunes(r), _inputs(r)) for k, r in rules.items() if k != "_meta"}
-
-    @F.pandas_udf(_RAW)
-    def run(texts: pd.Series, bases: pd.Series) -> pd.Series:
-        compiled: dict[str, Selector] = {}
-
-        def select(text, root, gone):
-            if text not in compiled:
-                compiled[text] = Selector(text)
-            return compiled[text].select(root, gone)
-
-        def value(node, inner, what, base, gone):
-            if inner:
-                node = next(select(inner, node, gone), None)
-            if node is None:
-                return None
-            if what == "text":
-                return node.text(gone)
-            v = node.attrs.get(what)
-            return absolute(base, v) if what == "href" and v is not None else v
-
-        def one(text, base):
-            out = []
-            root = parse(text or "")
-            for rule, (prunes, inputs) in plans.items():
-                gone: set = set()
-                for how, p in prunes:
-                    hits = select(p, root, gone)
-                    gone |= set(hits) if how == "all" else {n for n in [next(hits, None)] if n is not None}
-                for name, (how, fields) in inputs.items():
-                    for at, node in enumerate(select(name, root, gone)):
-                        raw = {}
-                        for key, ways in fields.items():
-                            for i, (inner, what, _) in enumerate(ways):
-                                v = value(node, inner, what, base, gone)
-                                if v is not None:
-                                    raw[_way(key, i)] = v
-                                    break
-                        out.append({"rule": rule, "selector": name, "position": at, "raw": raw})
-                        if how == "first":
-                            break
-            return out
-
-        return pd.Series([one(t, b) for t, b in zip(texts, bases, strict=True)])
-
-    return run
+    nodes = page["nodes"]
+
+    def one(node: Column, inner: str | None, what: str, texts: Column, gone: tuple) -> Column:
+        if not inner:
+            return _value(node, what, base, texts)
+        return urls.let(F.get(Selector(inner).below(node, nodes, gone), F.lit(0)), lambda n: _value(n, what, base, texts))
+
+    def first(values: Column) -> Column:
+        before = lambda i: F.exists(F.slice(values, F.lit(1), i), lambda v: v.isNotNull())
+        return F.transform(values, lambda v, i: F.when(~before(i), v))
+
+    def raw(node: Column, fields: dict, texts: Column, gone: tuple) -> Column:
+        names = [F.lit(_way(key, i)) for key, ways in fields.items() for i in range(len(ways))]
+        values = [urls.let(F.array(*[one(node, inner, what, texts, gone) for inner, what, _ in ways]), first) for ways in fields.values()]
+        return F.map_from_arrays(F.array(*names), F.concat(*values)) if names else F.create_map().cast("map<string, string>")
+
+    def row_of(rule: str, name: str, fields: dict, texts: Column, gone: tuple):
+        return lambda n, i: F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("selector"), i.alias("position"), raw(n, fields, texts, gone).alias("raw"))
+
+    def of_rule(rule: str, inputs: dict, texts: Column, gone: tuple) -> Column:
+        found = []
+        for name, (how, fields) in inputs.items():
+            hits = Selector(name).hits(nodes, gone=gone)
+            hits = F.slice(hits, 1, 1) if how == "first" else hits
+            found.append(F.transform(hits, row_of(rule, name, fields, texts, gone)))
+        return F.concat(*found)
+
+    def rule_hits(rule: str, r: dict) -> Column:
+        return dom.pruned(nodes, _prunes(r), lambda gone: urls.let(dom.pieces(page, gone), lambda texts: of_rule(rule, _inputs(r), texts, gone)))
+
+    kind = "array<struct<rule: string, selector: string, position: int, raw: map<string, string>>>"
+    found = [rule_hits(rule, r).cast(kind) for rule, r in rules.items() if rule != "_meta" and r["input"]]
+    return F.coalesce(F.concat(*found), F.array().cast(kind)) if found else F.array().cast(kind)
 
 
 def _field(raw, key: str, ways: list):
@@ -371,6 +250,11 @@ def _field(raw, key: str, ways: list):
     return F.coalesce(*out)
 
 
+def _with_hits(pages: DataFrame, rules: dict, html: str, url: str) -> DataFrame:
+    """`pages` with the array _x of what the rules find; each page is tokenised once, a null one has no hits."""
+    return pages.withColumn("_page", dom.elements(F.col(html))).withColumn("_x", _raw(F.col("_page"), F.col(url), rules))
+
+
 def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url") -> DataFrame:
     """(rule, selector, position, fields): a row for each node that a rule's selector finds, in document order.
 
@@ -382,7 +266,7 @@ def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url")
     once; transforms are columns.
     """
     validate_rules(rules)
-    rows = pages.withColumn("_x", F.explode(_raw(rules)(html, url))).select(*[c for c in pages.columns if c != html], "_x.*")
+    rows = _with_hits(pages, rules, html, url).withColumn("_x", F.explode("_x")).select(*[c for c in pages.columns if c != html], "_x.*")
     values: dict[str, list] = {}
     for rule, r in rules.items():
         if rule == "_meta":
@@ -462,7 +346,7 @@ def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = Non
         made += [m for m, _, _ in of_rule]
         shown += [([at[a] for a in omit if a in at], at[action]) for _, omit, action in of_rule]
     kept = [c for c in pages.columns if c != html]
-    rows = pages.withColumn("_x", _raw(rules)(html, url)).select(*kept, F.array(*made).alias("_made"))
+    rows = _with_hits(pages, rules, html, url).select(*kept, F.array(*made).alias("_made"))
     m = lambda i: F.get("_made", F.lit(i))
     left = [F.when(_all([m(j).isNull() for j in others]), m(i)) for others, i in shown]
     return rows.select(*kept, F.explode(F.array_compact(F.array(*left))).alias("_m")).select(*kept, "_m.*")

@@ -128,6 +128,42 @@ def trusted_url(url: Column, base: Column) -> Column:
     return F.when(same & (part(url, "scheme") == "https"), strip_fragment(url))
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """A reference resolved against a URL; null where its host has brackets but is no IPv6 address.
+
+    White space around it is dropped; without a hierarchical base it stays as it is. The
+    base's fragment is never kept.
+    """
+    h = F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]+", "")
+    b = F.coalesce(base, F.lit(""))
+    origin = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+
+    def rest(h: Column, o: Column) -> Column:
+        path = F.regexp_extract(b, r"^[^/?#]*//[^/?#]*([^?#]*)", 1)
+        own, tail = F.regexp_extract(h, r"^[^?#]*", 0), F.regexp_extract(h, r"(?s)[?#].*$", 0)
+        folder = F.regexp_extract(path, r"^.*/", 0)
+        merged = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+        return (
+            F.when(h.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*[\[\]]") & ~h.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@\[\]]*@)?\[[0-9A-Fa-f:.]+\](?::[0-9]*)?(?:[/?#]|$)"), None)
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (o == ""), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(o, r"^[^/]*", 0), h))
+            .when((h == "") | F.startswith(h, F.lit("#")), F.concat(F.regexp_extract(b, r"^[^#]*", 0), h))
+            .when(F.startswith(h, F.lit("?")), F.concat(o, path, h))
+            .otherwise(F.concat(o, let(merged, without_dots), tail))
+        )
+
+    return let(F.struct(h.alias("h"), origin.alias("o")), lambda x: rest(x["h"], x["o"]))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its segments of one or two dots."""
+    steps = F.split(path, "/")
+    shorter = lambda s: F.when(F.size(s) > 1, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)
+    kept = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(F.lit("")), lambda s, x: F.when(x == ".", s).when(x == "..", shorter(s)).otherwise(F.concat(s, F.array(x))))
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
 def decode_component(c: Column) -> Column:
     """Percent decoding that leaves a plus alone; null for broken sequences."""
     return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
