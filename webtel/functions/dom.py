@@ -105,20 +105,39 @@ def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-def covers(hits: Column, size: Column, off: Column) -> Column:
-    """For each of `size` places from `off` on, the last place inside the outermost hit that began most recently; -1 before the first."""
+def _outermost(hits: Column) -> Column:
+    """(at, last) of the hits that are inside no other.
+
+    A running maximum of `last` decides; it is taken in about the square
+    root of n parts, first inside each and then over all of them, since an
+    array is copied whenever it grows.
+    """
     start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<at: int, last: int>>").alias("outer"))
 
     def grown(s: Column, n: Column) -> Column:
         one = F.array(F.struct(n["at"].alias("at"), n["last"].alias("last")))
         return F.when(n["at"] > s["last"], F.struct(n["last"].alias("last"), F.concat(s["outer"], one).alias("outer"))).otherwise(s)
 
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(-1)), lambda s, p: F.concat(s, F.array(F.greatest(F.element_at(s, -1), p["last"]))))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.filter(p["outer"], lambda m: m["at"] > F.get(b, i)))))
+
+    def cut(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(x["h"]) - 1, F.lit(0)), x["w"])
+        return let(F.transform(at, lambda i: F.aggregate(F.slice(x["h"], i + 1, x["w"]), start, grown)), joined)
+
+    return let(hits, lambda h: let(F.struct(h.alias("h"), F.greatest(F.ceil(F.sqrt(F.size(h))), F.lit(16)).cast("int").alias("w")), cut))
+
+
+def covers(hits: Column, size: Column, off: Column) -> Column:
+    """For each of `size` places from `off` on, the last place inside the outermost hit that began most recently; -1 before the first."""
+
     def spread(outer: Column) -> Column:
         begin = lambda i: F.coalesce(F.get(outer, i)["at"], off + size)
         runs = F.transform(outer, lambda m, i: F.array_repeat(m["last"], begin(i + 1) - m["at"]))
         return F.flatten(F.concat(F.array(F.array_repeat(F.lit(-1), begin(F.lit(0)) - off)), runs))
 
-    return let(F.aggregate(hits, start, grown, lambda s: s["outer"]), spread)
+    return let(_outermost(hits), spread)
 
 
 def inside(cover: Column, at: Column, index: Column | None = None) -> Column:

@@ -24,10 +24,19 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _string(v: Column, key: str) -> Column:
-    """A member of a variant if it is a string, else null."""
-    path = f"$['{key}']"
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+def _string(v: Column) -> Column:
+    """A variant if it is a string, else null."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string, variant>")
+
+
+def _kept(keys: Column, value) -> Column:
+    """Map of those keys that have a value."""
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["v"] != "", F.lit(False))))
 
 
 def jsonld(text: Column) -> Column:
@@ -37,26 +46,26 @@ def jsonld(text: Column) -> Column:
     only a context and a graph, whose context they take if they have none.
     """
 
-    def items(v: Column) -> Column:
-        context, graph = _string(v, "@context"), F.try_variant_get(v, "$['@graph']", "array<variant>")
-        lifted = context.isNotNull() & graph.isNotNull() & (F.size(F.try_variant_get(v, "$", "map<string, variant>")) == 2)
+    def items(v: Column, members: Column) -> Column:
+        context, graph = _string(F.try_element_at(members, F.lit("@context"))), F.try_variant_get(v, "$['@graph']", "array<variant>")
+        lifted = context.isNotNull() & graph.isNotNull() & (F.size(members) == 2)
         found = F.coalesce(F.when(lifted, graph), F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v)))
-        return F.transform(found, lambda x: entry(x, F.when(lifted, context)))
+        return F.transform(found, lambda x: urls.let(_members(x), lambda m: entry(m, F.when(lifted, context))))
+
+    def entry(members: Column, context: Column) -> Column:
+        def value(k: Column) -> Column:
+            own = _stripped(_string(F.try_element_at(members, k)))
+            return urls.let(F.coalesce(F.when(own != "", own), F.when(k == "@context", context)), lambda s: F.when(F.length(s) <= 2048, s))
 
-    def entry(x: Column, context: Column) -> Column:
-        values = [_stripped(_string(x, k)) for k in JSONLD]
-        values = [F.when((F.length(v) <= 2048) & (v != ""), v) for v in values]
-        values[0] = F.coalesce(values[0], F.when((F.length(context) <= 2048) & (context != ""), context))
-        pairs = F.arrays_zip(F.array(*[F.lit(k) for k in JSONLD]).alias("k"), F.array(*values).alias("v"))
-        return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+        return _kept(F.array(*[F.lit(k) for k in JSONLD]), value)
 
-    return urls.let(F.try_parse_json(text), items)
+    return urls.let(F.try_parse_json(text), lambda v: urls.let(_members(v), lambda m: items(v, m)))
 
 
 def _structure(page: Column, url: Column) -> Column:
     nodes = page["nodes"]
 
-    def named(head: Column, name: str, by: str = "name") -> Column:
+    def named(head: Column, name: str | Column, by: str = "name") -> Column:
         return F.filter(head, lambda n: (n["tag"] == "meta") & F.coalesce(dom.attr(n, by) == name, F.lit(False)))
 
     def lowered(n: Column, name: str, value: str) -> Column:
@@ -74,7 +83,7 @@ def _structure(page: Column, url: Column) -> Column:
         robots = F.flatten(F.transform(named(head, "robots"), lambda n: F.transform(F.split(F.coalesce(dom.attr(n, "content"), F.lit("")), ","), _stripped)))
         noindex = F.arrays_overlap(robots, F.array(F.lit("noindex"), F.lit("none")))
         asked = F.arrays_overlap(robots, F.array(*[F.lit(w) for w in INDEX]))
-        og = F.arrays_zip(F.array(*[F.lit(k) for k in OG]).alias("k"), F.array(*[content(named(head, f"og:{k}", "property")) for k in OG]).alias("v"))
+        og = _kept(F.array(*[F.lit(k) for k in OG]), lambda k: content(named(head, F.concat(F.lit("og:"), k), "property")))
         scripts = F.filter(nodes, lambda n: (n["tag"] == "script") & lowered(n, "type", "application/ld+json"))
         values = {
             "title": title,
@@ -82,7 +91,7 @@ def _structure(page: Column, url: Column) -> Column:
             "language": F.when((F.length(lang) > 0) & (F.length(lang) <= 10), lang),
             "noindex": noindex,
             "requested_index": ~noindex & asked,
-            "og": F.map_from_entries(F.filter(og, lambda p: F.coalesce(p["v"] != "", F.lit(False)))),
+            "og": og,
             "jsonld": F.flatten(F.array_compact(F.transform(scripts, lambda n: jsonld(dom.text(n, texts))))),
         }
         return F.struct(*[v.alias(k) for k, v in values.items()])
