@@ -260,7 +260,11 @@ def _field(raw, key: str, ways: list):
 
 
 def _with_hits(pages: DataFrame, rules: dict, html: str, url: str) -> DataFrame:
-    """`pages` with the array _x of what the rules find; each page is tokenised once, a null one has no hits."""
+    """`pages` with the array _x of what the rules find; each page is tokenised once, a null one has no hits.
+
+    It is exploded with `explode_outer`: of a plain `explode`, Spark makes a
+    filter on the array's size, for which pages would be tokenised again.
+    """
     return pages.withColumn("_page", dom.elements(F.col(html))).withColumn("_x", _raw(F.col("_page"), F.col(url), rules))
 
 
@@ -275,7 +279,8 @@ def extract(pages: DataFrame, rules: dict, html: str = "html", url: str = "url")
     once; transforms are columns.
     """
     validate_rules(rules)
-    rows = _with_hits(pages, rules, html, url).withColumn("_x", F.explode("_x")).select(*[c for c in pages.columns if c != html], "_x.*")
+    kept = [c for c in pages.columns if c != html]
+    rows = _with_hits(pages, rules, html, url).select(*kept, F.explode_outer("_x").alias("_x")).where("_x is not null").select(*kept, "_x.*")
     values: dict[str, list] = {}
     for rule, r in rules.items():
         if rule == "_meta":
@@ -358,4 +363,4 @@ def messages(pages: DataFrame, rules: dict, context: dict[str, str] | None = Non
     rows = _with_hits(pages, rules, html, url).select(*kept, F.array(*made).alias("_made"))
     m = lambda i: F.get("_made", F.lit(i))
     left = [F.when(_all([m(j).isNull() for j in others]), m(i)) for others, i in shown]
-    return rows.select(*kept, F.explode(F.array_compact(F.array(*left))).alias("_m")).select(*kept, "_m.*")
+    return rows.select(*kept, F.explode_outer(F.array_compact(F.array(*left))).alias("_m")).where("_m is not null").select(*kept, "_m.*")
