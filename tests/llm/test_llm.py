@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.conftest import DATA
-from webtel.llm import ann, embed_dedup, licenses, packing, pii, queries, secret_scan, simhash, sp_codec, substring, toxicity
+from webtel.llm import ann, common, embed_dedup, licenses, packing, pii, queries, secret_scan, simhash, sp_codec, substring, toxicity
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, id string, rid int, cover int, _t string"
@@ -609,6 +610,42 @@ def test_toxicity_without_labels(spark, docs):
     assert got.columns == [*docs.columns, "toxicity"] and got.where("toxicity < 0 or toxicity > 1 or toxicity is null").count() == 0
 
 
+def test_tasks_free_what_earlier_ones_kept(monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    rows = pa.RecordBatch.from_pydict({"t": ["one two", None], "toxic": [1, 0], "half": [0, 1], "id": [1, 2], "rid": [3, 4]})
+    for task in (
+        lambda: toxicity._count_terms(iter([rows])),
+        lambda: toxicity._features({}, ["id"])(iter([rows])),
+        lambda: simhash._fingerprints(iter([rows])),
+        lambda: simhash._compare(iter([]), 3),
+    ):
+        kept = common.worker_held(("cache of another operator",), dict)
+        assert common.worker_held(("cache of another operator",), dict) is kept
+        list(task())
+        assert not common._held
+
+
+def test_terms_are_handed_on_in_parts(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(3, 9) for _ in range(30)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"t": [t], "toxic": [i % 3 == 0], "half": [i % 2]}) for i, t in enumerate(texts)]
+
+    def counted():
+        total = collections.defaultdict(lambda: np.zeros(4, int))
+        sizes = []
+        for b in toxicity._count_terms(iter(batches)):
+            sizes.append(b.num_rows)
+            for r in b.to_pylist():
+                total[r["term"]] += [r[c] for c in ("tox_a", "clean_a", "tox", "clean")]
+        return {k: tuple(v) for k, v in total.items()}, sizes
+
+    assert toxicity.HELD_TERMS <= 100_000
+    whole, one = counted()
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 50)
+    parts, several = counted()
+    assert parts == whole and len(one) == 1 and len(several) > 5 and whole[""] == (7, 13, 14, 26)
+
+
 # --- op9
 
 

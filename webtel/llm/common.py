@@ -35,11 +35,21 @@ _held: dict = {}
 def worker_held(key: tuple, make: Callable):
     """An object that a Python worker keeps between tasks, such as a cache. A worker keeps one: another key frees it."""
     if key not in _held:
-        _held.clear()
+        release_held()
         _held[key] = make()
     return _held[key]
 
 
+def release_held() -> None:
+    """Free what this Python worker keeps, for tasks of operators that keep nothing or something else.
+
+    Workers outlive operators, so a cache would else stay in memory while later operators build their own.
+    """
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 #: Largest table that is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 

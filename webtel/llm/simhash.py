@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, row_key, small_batches, small_side, texts_of, whole_groups
+from webtel.llm.common import block_pairs, forest, group_starts, log2_ceil, release_held, row_key, small_batches, small_side, texts_of, whole_groups
 from webtel.llm.graph import connected_components
 from webtel.session import Stages
 
@@ -53,17 +53,18 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def _fingerprints(batches):
+    release_held()
+    for b in batches:
+        fps = np.array([fingerprint(t) for t in texts_of(b, "t")], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(fps.view(np.int64))], ["id", "rid", "fp"])
+
+
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rid, fp): one row per row of `docs`, its row_key and the fingerprint as a signed long. A null text counts as empty."""
     small_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t) for t in texts_of(b, "t")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(fps.view(np.int64))], ["id", "rid", "fp"])
-
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return base.select("id", row_key("id", "t").alias("rid"), "t").mapInArrow(run, "id long, rid long, fp long")
+    return base.select("id", row_key("id", "t").alias("rid"), "t").mapInArrow(_fingerprints, "id long, rid long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -94,6 +95,7 @@ def grids(n: int, radius: int = 3) -> list[int]:
 
 def _compare(tables, radius: int):
     """Edges inside each block pair: pairs in small groups, a spanning forest in large ones."""
+    release_held()
     for t in tables:
         col = {c: t.column(c).to_numpy() for c in t.column_names}
         starts = group_starts([col[c] for c in ("grid", "cell", "bi", "bj")])

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtel.llm.common import small_batches, without
+from webtel.llm.common import release_held, small_batches, without
 
 #: Labelled rows that are fitted on, about; all are used if there are fewer.
 FIT_ROWS = 40_000
 #: Terms that a lexicon may learn.
 LEXICON_TERMS = 20_000
 PREFIXES = (4, 5, 6, 7)
+#: Terms that a task counts before it hands them on; Spark adds up what is handed on more than once.
+HELD_TERMS = 100_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(1, 7)
 OTHER = 0
@@ -156,6 +158,7 @@ class Grammar:
 
 def _count_terms(batches):
     """Documents with each term: toxic and clean ones, of the first half and of all."""
+    release_held()
     counts: dict[str, list[int]] = {}
 
     def flush():
@@ -175,7 +178,7 @@ def _count_terms(batches):
                 c[2 + (not toxic)] += 1
                 if half == 0:
                     c[not toxic] += 1
-        if len(counts) > 400_000:
+        if len(counts) > HELD_TERMS:
             yield from flush()
     yield from flush()
 
@@ -239,6 +242,7 @@ def fold(c: Column) -> Column:
 
 def _features(learned: dict[str, float], keep: list[str]):
     def run(batches):
+        release_held()
         grammar = Grammar(Lexicon(learned))
         for b in batches:
             x = [grammar.features(t or "") for t in b.column("t").to_pylist()]
