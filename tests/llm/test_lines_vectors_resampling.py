@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,41 @@ def test_bitmaps_are_small(spark):
         assert np.flatnonzero(line_dedup.kept_lines(bytes(r.keep), 10_020)).tolist() == [10_000, *range(10_002, 10_020)]
 
 
+def test_keys_lower_a_to_z_alone(spark):
+    """Letters that Unicode would lower, blanks that are not ASCII, and lengths in code points."""
+    odd = ["K", "k", "\u212a", "\u0130", "i\u0307", "\u03a3", "\u03c3", "É", "é", "ẞ", "ß", "\xa0k", "\x85k", "\x1ck", "\u2028k", "k\rk", "éé", "ÉÉ", "漢字", "\x00", "😀a", "😀A"]
+    docs = [(i, "\n".join(x for j, x in enumerate(odd) if (i + j) % 3)) for i in range(15)] + [(i, "\n".join(odd[i % 7 :])) for i in range(15, 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least, chars in ((10, 1), (18, 1), (10, 2), (10, 3)):
+        assert bag(line_dedup.digest_without_common_lines(df, least, chars).collect()) == bag(lines_brute(docs, least, chars))
+
+
+def test_long_texts_take_small_buffers(spark):
+    """Lines are handed on in parts, texts are read in short vectors, and no sort holds them: each grew the executors' heaps."""
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "rid": [3, 4], "t": ["\n".join(map(str, range(120_000))), "5\n\n 7 "]})
+    parts = list(line_dedup._hashed(1)(iter([batch])))
+    assert [p.num_rows for p in parts] == [50_000, 50_000, 20_002]
+    t = pa.Table.from_batches(parts).to_pydict()
+    assert t["pos"] == [*range(120_000), 0, 2] and t["id"][-2:] == [2, 2] and t["rid"][-2:] == [4, 4]
+    hashes = list(zip(t["h1"], t["h2"], strict=True))
+    assert len(set(hashes)) == 120_000 and hashes[-2:] == [hashes[5], hashes[7]]
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        docs = [(i, f"Foot\nbody {i}") for i in range(12)]
+        got = line_dedup.digest_without_common_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert bag(got.collect()) == bag(lines_brute(docs))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan.split("Initial Plan")[0] and "SortMergeJoin" not in plan.split("Initial Plan")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+
 def test_no_lines(spark):
     assert line_dedup.digest_without_common_lines(spark.createDataFrame([], CLASHING)).count() == 0
     assert line_dedup.drop_common_lines(spark.createDataFrame([], CLASHING)).count() == 0

@@ -13,28 +13,44 @@ document is a compressed bitmap of the lines that stay, not text.
 from __future__ import annotations
 
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtel.llm.common import group_starts, row_key, small_batches, texts_of, without
 from webtel.session import Stages
 
 #: What is stripped from both ends of a line.
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = b" \t\n\x0b\x0c\r"
+#: Rows of hashed lines that are handed on at once.
+HASHED_ROWS = 50_000
+#: Texts of one vector that is read, and the most bitmaps of a partition that are hashed rather than sorted.
+READ_ROWS, HASH_SIDE = 256, "64m"
 #: Rows of the streaming step: surely dropped, undecided, and first of a decided run at a task's edge.
 DROPPED, OPEN, MARKER = 0, 1, 2
 _FOUND = "id long, rid long, pos int, h1 long, h2 long, state int"
 
 
-def line_key(line: Column) -> Column:
-    """What makes two lines equal: stripped, with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), ascii_uppercase, ascii_lowercase)
+def _small_buffers(spark: SparkSession) -> None:
+    """Keep an executor's heap small where texts are long: buffers of many megabytes make the JVM's collector run often and grow its heap.
+
+    Vectors of 4096 texts are such buffers, and so are the pages of a sort by
+    which texts would meet bitmaps; Spark hashes the bitmaps instead where no
+    partition has more than HASH_SIDE, and sorts, with spills, where one has.
+    Spark reads these settings when a query runs, so they stay; tighter ones,
+    and a threshold that a session has, are kept.
+    """
+    small_batches(spark)
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, str(min(READ_ROWS, int(spark.conf.get(rows)))))
+    side = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(side, "0").rstrip("bB") == "0":
+        spark.conf.set(side, HASH_SIDE)
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,6 +59,37 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select(F.coalesce("_i", F.lit(0)).alias("id"), row_key("_i", "t").alias("rid"), "t")
 
 
+def _hashed(least_chars: int):
+    """Texts to a row for each line whose key has `least_chars` code points or more, and one at least.
+
+    Texts are bytes here, since lowering bytes changes A-Z alone; Spark's
+    `translate` makes an object for each character, most of the heap's garbage.
+    """
+
+    def handed_on(digests: list[bytes], places: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        ids, rids, pos = zip(*places, strict=True)
+        columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(pos, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "id", "rid", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, places = [], []
+        for b in batches:
+            for i, r, t in zip(b.column("id").to_pylist(), b.column("rid").to_pylist(), texts_of(b, "t"), strict=True):
+                for pos, line in enumerate(io.BytesIO(t)):
+                    key = line.strip(BLANKS).lower()
+                    if key and (least_chars <= 1 or len(key.decode(errors="replace")) >= least_chars):
+                        digests.append(hashlib.blake2b(key, digest_size=16).digest())
+                        places.append((i, r, pos))
+                        if len(digests) == HASHED_ROWS:
+                            yield handed_on(digests, places)
+                            digests, places = [], []
+        if digests:
+            yield handed_on(digests, places)
+
+    return run
+
+
 def _rows(columns: list[np.ndarray], state: int) -> pa.RecordBatch:
     h1, h2, i, r, pos = columns
     n = len(i)
@@ -150,12 +197,10 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, ke
     nulls among them, are one document; id is 0 where it is null, and rid
     tells such rows apart.
     """
-    small_batches(docs.sparkSession)
+    _small_buffers(docs.sparkSession)
     stages = Stages(docs.sparkSession, "lines")
-    lines = _identified(docs, id_col, text_col).where("t is not null")
-    lines = lines.select("id", "rid", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).withColumn("line", line_key(F.col("line")))
-    lines = lines.where(F.length("line") >= least_chars) if least_chars > 1 else lines.where("line <> ''")
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "id", "rid", "pos")
+    texts = _identified(docs, id_col, text_col).where("t is not null")
+    hashed = texts.mapInArrow(_hashed(least_chars), "h1 long, h2 long, id long, rid long, pos int")
     order = ["h1", "h2", "id", "rid", "pos"]
     streamed = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_streamed(least_docs, keep_first), _FOUND)
     found = stages.write(streamed, "found")
