@@ -18,7 +18,10 @@ def hour(ts: Column) -> Column:
 
 
 def millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    """The nearest millisecond; half of one goes away from 1970, as in the queries' SQL."""
+    t = ts.cast("timestamp")
+    rest = F.pmod(F.unix_micros(t), F.lit(1000))
+    return F.unix_millis(t) + ((rest > 500) | (rest == 500) & (t >= F.timestamp_seconds(F.lit(0)))).cast("long")
 
 
 def next_midnight(ts: Column) -> Column:
