@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from webtel.functions import times
+
 #: How long a page lives at most, and how long after it was left without coming back.
 PAGE_MS, UNSEEN_MS = 3_600_000, 600_000
 ENDED = "tab string, doc string, start_ms long, end_ms long, reason string, requests long, active_ms long"
@@ -150,7 +152,7 @@ class ClockGuard(StatefulProcessor):
 def guarded_buckets(stream: DataFrame, client: str, order: str, ts: str) -> DataFrame:
     """(client, order, bucket, epoch, reset) of a stream whose times may jump; `order` is the order of arrival, across batches too."""
     s = stream.where(F.col(client).isNotNull() & F.col(ts).isNotNull() & F.col(order).isNotNull())
-    s = s.select(F.col(client).cast("string").alias("client"), F.col(order).cast("long").alias("order"), F.unix_millis(ts).alias("at_ms"))
+    s = s.select(F.col(client).cast("string").alias("client"), F.col(order).cast("long").alias("order"), times.millis(F.col(ts)).alias("at_ms"))
     return s.groupBy("client").transformWithStateInPandas(ClockGuard(), BUCKETED, "append", "None")
 
 
