@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -14,10 +19,22 @@ PAGE_MS, UNSEEN_MS = 3_600_000, 600_000
 ENDED = "tab string, doc string, start_ms long, end_ms long, reason string, requests long, active_ms long"
 
 
+#: Rows that wait are sorted so many at a time, and kept and read in parts.
+RUN_ROWS, PART_ROWS, OUT_ROWS = 200_000, 2_000, 10_000
+_WAITING = pa.schema([("at_ms", pa.int64()), ("order", pa.int64()), ("kind", pa.string()), ("doc", pa.string())])
+
+
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
 class PageStates(StatefulProcessor):
     """Pages of a tab from their commit to their end.
 
-    Rows (at_ms, order, kind, doc) wait in a list until the watermark has
+    Rows (at_ms, order, kind, doc) wait in the state until the watermark has
     passed them, so that they are taken in order of time however batches
     are cut. `commit` makes a document the tab's page: a new one, or one that
     was left and is restored. `request` counts for its document, `active` and
@@ -25,26 +42,60 @@ class PageStates(StatefulProcessor):
     all. A page ends an hour after its commit, or ten minutes after it was
     left; a row of such a time comes before the end. State: the waiting rows,
     the open pages, and the tab's current document and whether it is active.
+
+    A tab's rows are never in memory together: they wait as sorted runs,
+    which are merged part by part as they come due.
     """
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_ms long, order long, kind string, doc string")
+        self.runs = handle.getMapState("runs", "run long", "at_ms long, part long, parts long")
+        self.parts = handle.getMapState("parts", "run long, part long", "rows binary")
         self.pages = handle.getMapState("pages", "doc string", "start_ms long, left_ms long, requests long, active_from long, active_ms long")
         self.tab = handle.getValueState("tab", "doc string, active boolean")
 
+    def keep(self, run, pdfs):
+        """Adds a sorted run; returns its first time."""
+        pdf = pd.concat(pdfs).astype({"at_ms": "int64", "order": "int64"}).sort_values(["at_ms", "order", "kind", "doc"], na_position="first")
+        first, parts = int(pdf["at_ms"].iloc[0]), -(-len(pdf) // PART_ROWS)
+        table = pa.Table.from_pandas(pdf, _WAITING, preserve_index=False).replace_schema_metadata()
+        for i in range(parts):
+            self.parts.updateValue((run, i), (_packed(table.slice(i * PART_ROWS, PART_ROWS)),))
+        self.runs.updateValue((run,), (first, 0, parts))
+        return first
+
+    def due(self, run, part, parts, now):
+        """The rows of a run up to now, which leave the state as they are read."""
+        for i in range(part, parts):
+            rows = pa.ipc.open_stream(bytes(self.parts.getValue((run, i))[0])).read_all()
+            columns = rows.to_pydict()
+            n = bisect.bisect_right(columns["at_ms"], now)
+            yield from itertools.islice(zip(*columns.values(), strict=True), n)
+            if n < len(rows):
+                self.parts.updateValue((run, i), (_packed(rows.slice(n)),))
+                self.runs.updateValue((run,), (columns["at_ms"][n], i, parts))
+                return
+            self.parts.removeKey((run, i))
+        self.runs.removeKey((run,))
+
     def handleInputRows(self, key, rows, timerValues):
-        new = [tuple(r) for pdf in rows for r in pdf[["at_ms", "order", "kind", "doc"]].itertuples(index=False)]
-        self.waiting.appendList([(int(a), int(o), k, d) for a, o, k, d in new])
-        self.handle.registerTimer(max(int(min(r[0] for r in new)), timerValues.getCurrentWatermarkInMs() + 1))
+        run = max((k[0] for k in self.runs.keys()), default=-1) + 1
+        new, n, firsts = [], 0, []
+        for pdf in rows:
+            new.append(pdf[_WAITING.names])
+            n += len(pdf)
+            if n >= RUN_ROWS:
+                firsts.append(self.keep(run, new))
+                run, new, n = run + 1, [], 0
+        if n:
+            firsts.append(self.keep(run, new))
+        self.handle.registerTimer(max(min(firsts), timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.waiting.get())
-        ready, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
+        runs = [(k[0], v[1], v[2]) for k, v in self.runs.iterator() if v[0] <= now]
+        ready = heapq.merge(*(self.due(*r, now) for r in runs), key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
         pages = {k[0]: list(v) for k, v in self.pages.iterator()}
         doc, active = self.tab.get() if self.tab.exists() else (None, False)
         before, ended = set(pages), []
@@ -62,6 +113,11 @@ class PageStates(StatefulProcessor):
                 if at < until:
                     end(d, at, reason)
 
+        def output():
+            pdf = pd.DataFrame(ended, columns=["tab", "doc", "start_ms", "end_ms", "reason", "requests", "active_ms"])
+            ended.clear()
+            return pdf
+
         for at, _, kind, d in ready:
             expire(at)
             if kind == "commit" and d is not None:
@@ -86,6 +142,8 @@ class PageStates(StatefulProcessor):
                 for d2 in sorted(pages):
                     end(d2, at, "gone")
                 doc = None
+            if len(ended) >= OUT_ROWS:
+                yield output()
         expire(now + 1)
         for d in before - set(pages):
             self.pages.removeKey((d,))
@@ -95,11 +153,11 @@ class PageStates(StatefulProcessor):
             self.tab.clear()
         else:
             self.tab.update((doc, active))
-        again = [r[0] for r in later[:1]] + [due(d)[0] for d in pages]
+        again = [v[0] for v in self.runs.values()] + [due(d)[0] for d in pages]
         if again:
             self.handle.registerTimer(max(min(again), now + 1))
         if ended:
-            yield pd.DataFrame(ended, columns=["tab", "doc", "start_ms", "end_ms", "reason", "requests", "active_ms"])
+            yield output()
 
     def close(self):
         pass
