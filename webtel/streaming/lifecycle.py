@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -19,16 +20,70 @@ PAGE_MS, UNSEEN_MS = 3_600_000, 600_000
 ENDED = "tab string, doc string, start_ms long, end_ms long, reason string, requests long, active_ms long"
 
 
-#: Rows that wait are sorted so many at a time, and kept and read in parts.
+#: Rows that are to be sorted are sorted so many at a time, and kept and read in parts.
 RUN_ROWS, PART_ROWS, OUT_ROWS = 200_000, 2_000, 10_000
-_WAITING = pa.schema([("at_ms", pa.int64()), ("order", pa.int64()), ("kind", pa.string()), ("doc", pa.string())])
 
 
-def _packed(rows: pa.Table) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema) as w:
-        w.write_table(rows)
-    return out.getvalue().to_pybytes()
+class SortedRuns:
+    """Rows of a key, kept in its state and given back in the order of all their columns, the first of which is a long.
+
+    They are kept as sorted runs, which are merged part by part as they are
+    read, so that a key's rows are never in memory together.
+    """
+
+    def __init__(self, handle, schema: pa.Schema):
+        self.schema = schema
+        self.runs = handle.getMapState("runs", "run long", "least long, part long, parts long")
+        self.parts = handle.getMapState("parts", "run long, part long", "rows binary")
+
+    def _packed(self, rows: pa.Table) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.schema) as w:
+            w.write_table(rows)
+        return out.getvalue().to_pybytes()
+
+    def _keep(self, run: int, pdfs: list[pd.DataFrame]) -> None:
+        longs = {f.name: "int64" for f in self.schema if f.type == pa.int64()}
+        pdf = pd.concat(pdfs).astype(longs).sort_values(self.schema.names, na_position="first")
+        rows = pa.Table.from_pandas(pdf, self.schema, preserve_index=False).replace_schema_metadata()
+        parts = -(-len(rows) // PART_ROWS)
+        for i in range(parts):
+            self.parts.updateValue((run, i), (self._packed(rows.slice(i * PART_ROWS, PART_ROWS)),))
+        self.runs.updateValue((run,), (rows[0][0].as_py(), 0, parts))
+
+    def add(self, pdfs: Iterator[pd.DataFrame]) -> None:
+        run = max((k[0] for k in self.runs.keys()), default=-1) + 1
+        new, n = [], 0
+        for pdf in pdfs:
+            new.append(pdf[self.schema.names])
+            n += len(pdf)
+            if n >= RUN_ROWS:
+                self._keep(run, new)
+                run, new, n = run + 1, [], 0
+        if n:
+            self._keep(run, new)
+
+    def least(self) -> list[int]:
+        """The first column's least value of each run."""
+        return [v[0] for v in self.runs.values()]
+
+    def _take(self, run: int, part: int, parts: int, until: int) -> Iterator[tuple]:
+        for i in range(part, parts):
+            rows = pa.ipc.open_stream(bytes(self.parts.getValue((run, i))[0])).read_all()
+            columns = [c.to_pylist() for c in rows.columns]
+            n = bisect.bisect_right(columns[0], until)
+            yield from itertools.islice(zip(*columns, strict=True), n)
+            if n < len(rows):
+                self.parts.updateValue((run, i), (self._packed(rows.slice(n)),))
+                self.runs.updateValue((run,), (columns[0][n], i, parts))
+                return
+            self.parts.removeKey((run, i))
+        self.runs.removeKey((run,))
+
+    def take(self, until: int = (1 << 63) - 1) -> Iterator[tuple]:
+        """Rows whose first column is `until` at most; they leave the state as they are read, and all have to be."""
+        runs = [(k[0], v[1], v[2]) for k, v in self.runs.iterator() if v[0] <= until]
+        return heapq.merge(*(self._take(*r, until) for r in runs), key=lambda r: tuple("" if x is None else x for x in r))
 
 
 class PageStates(StatefulProcessor):
@@ -42,60 +97,21 @@ class PageStates(StatefulProcessor):
     all. A page ends an hour after its commit, or ten minutes after it was
     left; a row of such a time comes before the end. State: the waiting rows,
     the open pages, and the tab's current document and whether it is active.
-
-    A tab's rows are never in memory together: they wait as sorted runs,
-    which are merged part by part as they come due.
     """
 
     def init(self, handle):
         self.handle = handle
-        self.runs = handle.getMapState("runs", "run long", "at_ms long, part long, parts long")
-        self.parts = handle.getMapState("parts", "run long, part long", "rows binary")
+        self.waiting = SortedRuns(handle, pa.schema([("at_ms", pa.int64()), ("order", pa.int64()), ("kind", pa.string()), ("doc", pa.string())]))
         self.pages = handle.getMapState("pages", "doc string", "start_ms long, left_ms long, requests long, active_from long, active_ms long")
         self.tab = handle.getValueState("tab", "doc string, active boolean")
 
-    def keep(self, run, pdfs):
-        """Adds a sorted run; returns its first time."""
-        pdf = pd.concat(pdfs).astype({"at_ms": "int64", "order": "int64"}).sort_values(["at_ms", "order", "kind", "doc"], na_position="first")
-        first, parts = int(pdf["at_ms"].iloc[0]), -(-len(pdf) // PART_ROWS)
-        table = pa.Table.from_pandas(pdf, _WAITING, preserve_index=False).replace_schema_metadata()
-        for i in range(parts):
-            self.parts.updateValue((run, i), (_packed(table.slice(i * PART_ROWS, PART_ROWS)),))
-        self.runs.updateValue((run,), (first, 0, parts))
-        return first
-
-    def due(self, run, part, parts, now):
-        """The rows of a run up to now, which leave the state as they are read."""
-        for i in range(part, parts):
-            rows = pa.ipc.open_stream(bytes(self.parts.getValue((run, i))[0])).read_all()
-            columns = rows.to_pydict()
-            n = bisect.bisect_right(columns["at_ms"], now)
-            yield from itertools.islice(zip(*columns.values(), strict=True), n)
-            if n < len(rows):
-                self.parts.updateValue((run, i), (_packed(rows.slice(n)),))
-                self.runs.updateValue((run,), (columns["at_ms"][n], i, parts))
-                return
-            self.parts.removeKey((run, i))
-        self.runs.removeKey((run,))
-
     def handleInputRows(self, key, rows, timerValues):
-        run = max((k[0] for k in self.runs.keys()), default=-1) + 1
-        new, n, firsts = [], 0, []
-        for pdf in rows:
-            new.append(pdf[_WAITING.names])
-            n += len(pdf)
-            if n >= RUN_ROWS:
-                firsts.append(self.keep(run, new))
-                run, new, n = run + 1, [], 0
-        if n:
-            firsts.append(self.keep(run, new))
-        self.handle.registerTimer(max(min(firsts), timerValues.getCurrentWatermarkInMs() + 1))
+        self.waiting.add(rows)
+        self.handle.registerTimer(max(min(self.waiting.least()), timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        runs = [(k[0], v[1], v[2]) for k, v in self.runs.iterator() if v[0] <= now]
-        ready = heapq.merge(*(self.due(*r, now) for r in runs), key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
         pages = {k[0]: list(v) for k, v in self.pages.iterator()}
         doc, active = self.tab.get() if self.tab.exists() else (None, False)
         before, ended = set(pages), []
@@ -118,7 +134,7 @@ class PageStates(StatefulProcessor):
             ended.clear()
             return pdf
 
-        for at, _, kind, d in ready:
+        for at, _, kind, d in self.waiting.take(now):
             expire(at)
             if kind == "commit" and d is not None:
                 if doc in pages and doc != d:
@@ -153,7 +169,7 @@ class PageStates(StatefulProcessor):
             self.tab.clear()
         else:
             self.tab.update((doc, active))
-        again = [v[0] for v in self.runs.values()] + [due(d)[0] for d in pages]
+        again = self.waiting.least() + [due(d)[0] for d in pages]
         if again:
             self.handle.registerTimer(max(min(again), now + 1))
         if ended:
@@ -184,24 +200,26 @@ class ClockGuard(StatefulProcessor):
     A time inside the current bucket or later decides by itself; one before
     it by less than two minutes stays in the current bucket; one further
     back clears everything: a new epoch begins. State: the current bucket
-    and the epoch.
+    and the epoch, and a batch's rows while they are sorted.
     """
 
     def init(self, handle):
         self.state = handle.getValueState("state", "bucket long, epoch long")
+        self.rows = SortedRuns(handle, pa.schema([("order", pa.int64()), ("at_ms", pa.int64())]))
 
     def handleInputRows(self, key, rows, timerValues):
         bucket, epoch = self.state.get() if self.state.exists() else (None, 0)
-        new = sorted((int(o), int(a)) for pdf in rows for o, a in zip(pdf["order"], pdf["at_ms"], strict=True))
-        out = []
-        for order, at in new:
-            reset = bucket is not None and bucket * BUCKET_MS - at >= DRIFT_MS
-            if bucket is None or reset or at >= (bucket + 1) * BUCKET_MS:
-                bucket = at // BUCKET_MS
-            epoch += reset
-            out.append((key[0], order, bucket, epoch, reset))
+        self.rows.add(rows)
+        new = self.rows.take()
+        while out := list(itertools.islice(new, OUT_ROWS)):
+            for i, (order, at) in enumerate(out):
+                reset = bucket is not None and bucket * BUCKET_MS - at >= DRIFT_MS
+                if bucket is None or reset or at >= (bucket + 1) * BUCKET_MS:
+                    bucket = at // BUCKET_MS
+                epoch += reset
+                out[i] = (key[0], order, bucket, epoch, reset)
+            yield pd.DataFrame(out, columns=["client", "order", "bucket", "epoch", "reset"])
         self.state.update((bucket, epoch))
-        yield pd.DataFrame(out, columns=["client", "order", "bucket", "epoch", "reset"])
 
     def close(self):
         pass
